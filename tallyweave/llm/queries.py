@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import media, mixing, packing, sharding, token_counts
+from tallyweave.llm import media, mixing, packing, quality, sharding, token_counts
 from tallyweave.llm.common import table
 
 #: The folder of the tokenizer files is a parameter of the operators; the queries take the installed one.
@@ -22,6 +22,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op5_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op6(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_media_columns, op4_packing, op6_hash_tree_sharding, op8_poisson_mixing, op10_token_counts)
+    f.__name__: f for f in (op2_media_columns, op4_packing, op5_quality_knn, op6_hash_tree_sharding, op8_poisson_mixing, op10_token_counts)
 }
 
 ORACLES: dict[str, str] = {
