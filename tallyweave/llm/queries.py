@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import media, mixing, packing, quality, sharding, token_counts
+from tallyweave.llm import embeddings, media, mixing, packing, quality, secrets, sharding, token_counts
 from tallyweave.llm.common import table
 
 #: The folder of the tokenizer files is a parameter of the operators; the queries take the installed one.
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op1(table(spark, sf_dir, "documents"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.store_texts(table(spark, sf_dir, "documents")))
 
@@ -30,6 +34,10 @@ def op6_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op6(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op8(table(spark, sf_dir, "documents"))
 
@@ -40,10 +48,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_media_columns, op4_packing, op5_quality_knn, op6_hash_tree_sharding, op8_poisson_mixing, op10_token_counts)
+    f.__name__: f for f in (op1_secret_scan, op2_media_columns, op4_packing, op5_quality_knn, op6_hash_tree_sharding, op7_embedding_near_dedup, op8_poisson_mixing, op10_token_counts)
 }
 
 ORACLES: dict[str, str] = {
+    "op1_secret_scan": secrets.op1_sql(),
     "op6_hash_tree_sharding": sharding.op6_sql(),
     "op8_poisson_mixing": mixing.op8_sql(),
 }
