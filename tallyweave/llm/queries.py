@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import embeddings, media, mixing, packing, quality, secrets, sharding, token_counts
+from tallyweave.llm import embeddings, media, mixing, packing, quality, repeats, secrets, sharding, token_counts
 from tallyweave.llm.common import table
 
 #: The folder of the tokenizer files is a parameter of the operators; the queries take the installed one.
@@ -22,6 +22,10 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -48,7 +52,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_media_columns, op4_packing, op5_quality_knn, op6_hash_tree_sharding, op7_embedding_near_dedup, op8_poisson_mixing, op10_token_counts)
+    f.__name__: f for f in (op1_secret_scan, op2_media_columns, op3_substring_dedup, op4_packing, op5_quality_knn, op6_hash_tree_sharding, op7_embedding_near_dedup, op8_poisson_mixing, op10_token_counts)
 }
 
 ORACLES: dict[str, str] = {
