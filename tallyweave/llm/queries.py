@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import embeddings, media, mixing, packing, quality, repeats, secrets, sharding, token_counts
+from tallyweave.llm import embeddings, jaccard, media, mixing, packing, quality, repeats, secrets, sharding, token_counts
 from tallyweave.llm.common import table
 
 #: The folder of the tokenizer files is a parameter of the operators; the queries take the installed one.
@@ -46,13 +46,17 @@ def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op8(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.token_counts(docs, public_tokenizers.path(PIECE_BPE)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_media_columns, op3_substring_dedup, op4_packing, op5_quality_knn, op6_hash_tree_sharding, op7_embedding_near_dedup, op8_poisson_mixing, op10_token_counts)
+    f.__name__: f for f in (op1_secret_scan, op2_media_columns, op3_substring_dedup, op4_packing, op5_quality_knn, op6_hash_tree_sharding, op7_embedding_near_dedup, op8_poisson_mixing, op9_ngram_jaccard_join, op10_token_counts)
 }
 
 ORACLES: dict[str, str] = {
