@@ -8,6 +8,7 @@ minimum of a sliding range, which a monotone queue gives in constant time.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -25,7 +26,12 @@ LEAST_GAP, GAP = 16, 64
 #: Tokens planned at a time; all windows but the last are then final, so memory stays bounded.
 PLAN = 1 << 18
 #: Words whose ids a worker remembers, and characters encoded in one go.
-WORDS, STEP = 400_000, 1 << 20
+WORDS, STEP = 1_000_000, 1 << 20
+
+
+#: A control character that stands as a word between words; words that hold it are encoded singly.
+MARK = b"\x01"
+SIMPLE = re.compile(rb"([A-Za-z]+)([.,!?;:]*)")
 
 
 class WordEncoder:
@@ -46,6 +52,13 @@ class WordEncoder:
         self.t.no_padding()
         one, two = (self.t.encode(x, add_special_tokens=False).ids for x in ("a b", "a \n\t b"))
         self.by_word = one == two == [i for x in ("a", "b") for i in self.t.encode(x, add_special_tokens=False).ids]
+        mark = self.t.encode(f"a {MARK.decode()} b", add_special_tokens=False).ids
+        self.mark = mark[1] if len(mark) == 3 else None
+        self.stops: dict[bytes, bytes] = {}
+        # ASCII letters, then stops: does this tokenizer take them as two pieces, lower-cased, and nothing more?
+        self.simple = self.by_word and all(
+            b"".join(self.one(x) for x in parts) == np.array(self.t.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            for w, parts in (("Reading", [b"reading"]), ("XYLOPHONES.", [b"xylophones", b"."]), ("qzj?!..", [b"qzj", b"?!.."]), ("don,;", [b"don", b",;"])))
         self.words: dict[bytes, bytes] = {}
         size = self.t.get_vocab_size(with_added_tokens=True)
         self.ends = np.zeros(size + 1, bool)
@@ -53,25 +66,42 @@ class WordEncoder:
             if i <= size:
                 self.ends[i] = piece.removesuffix("</w>").endswith((".", "!", "?"))
 
-    def ids(self, text: bytes) -> np.ndarray:
+    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         if not self.by_word:
-            return np.array(self.t.encode(text.decode(), add_special_tokens=False).ids, "<u4")
-        out, words = [], text.split()
-        for i in range(0, len(words), STEP >> 3):
-            part = words[i:i + (STEP >> 3)]
-            self.learn(part)
-            out += map(self.words.__getitem__, part)
-        return np.frombuffer(b"".join(out), "<u4")
-
-    def learn(self, words: list[bytes]) -> None:
-        new = list({w for w in words if w not in self.words})
+            return [np.array(e.ids, "<u4") for e in self.t.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        split = [t.split() for t in texts]
+        self.learn({w for words in split for w in words})
+        return [np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4") for words in split]
+
+    def one(self, piece: bytes) -> bytes:
+        """Ids of a piece that is not split further."""
+        ids = self.stops.get(piece)
+        if ids is None:
+            ids = np.array([t.id for t in self.t.model.tokenize(piece.decode())], "<u4").tobytes()
+            if not piece.isalpha() and len(self.stops) < 1000:
+                self.stops[piece] = ids
+        return ids
+
+    def learn(self, words: set[bytes]) -> None:
+        new = [w for w in words if w not in self.words]
         if len(self.words) + len(new) > WORDS:
             self.words.clear()
-            new = list(set(words))
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
-            for w, e in zip(part, self.t.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, "<u4").tobytes()
+            new = list(words)
+        if self.simple:
+            for w in new:
+                if m := SIMPLE.fullmatch(w):
+                    self.words[w] = self.one(m[1].lower()) + (self.one(m[2]) if m[2] else b"")
+            new = [w for w in new if w not in self.words]
+        plain = [w for w in new if MARK not in w] if self.mark is not None else []
+        for i in range(0, len(plain), 4096):  # many words in one call, with a mark between them
+            part = plain[i:i + 4096]
+            ids = np.array(self.t.encode_batch_fast([(b" " + MARK + b" ").join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(ids == self.mark).tolist()
+            raw = ids.tobytes()
+            self.words.update(zip(part, (raw[4 * a:4 * z] for a, z in zip([0, *(x + 1 for x in at)], [*at, len(ids)])), strict=True))
+        rest = [w for w in new if w not in self.words]
+        for w, e in zip(rest, self.t.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
+            self.words[w] = np.array(e.ids, "<u4").tobytes()
 
 
 _loaded: dict[str, WordEncoder] = {}
@@ -170,6 +200,20 @@ class Packer:
         return rows
 
 
+def parts(b: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
+    """Keys and texts of runs of rows with about STEP bytes; a null text is empty."""
+    keys, texts, size = [], [], 0
+    for key, text in zip(b.column(0), b.column(1).cast(pa.binary())):
+        keys.append(key.as_py())
+        texts.append(text.as_py() or b"")
+        size += len(texts[-1])
+        if size >= STEP:
+            yield keys, texts
+            keys, texts, size = [], [], 0
+    if keys:
+        yield keys, texts
+
+
 def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = 4096, end_id: int = 2) -> DataFrame:
     """Pieces of documents in sequences: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -196,10 +240,9 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ca
         for b in batches:
             out = b.column(0).type
             rows: list[tuple] = []
-            keys = b.column(0)
-            for i, t in enumerate(b.column(1).cast(pa.binary())):
-                ids = e.ids(t.as_py() or b"")
-                rows += packer.add(keys[i].as_py(), np.append(ids, np.array([end_id], "<u4")))
+            for keys, texts in parts(b):
+                for key, ids in zip(keys, e.ids(texts), strict=True):
+                    rows += packer.add(key, np.append(ids, np.array([end_id], "<u4")))
                 if len(rows) > 20_000:
                     yield batch(rows)
                     rows = []
