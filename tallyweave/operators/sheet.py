@@ -25,6 +25,12 @@ def repoint(cells: DataFrame, sheet: str, at: int, count: int) -> DataFrame:
     return plain.unionByName(old.withColumn("repointed", F.col("_new") != F.col("formula")).withColumn("formula", F.col("_new")).drop("_new"))
 
 
+def repoint_names(names: DataFrame, sheet: str, at: int, count: int) -> DataFrame:
+    """Defined names (name, scope sheet, ref without =) follow the insert."""
+    moved = shift_for_insert(F.concat(F.lit("="), "ref"), F.coalesce("sheet", F.lit("")), sheet, at, count)
+    return names.withColumn("ref", F.substring(moved, 2, 32767))
+
+
 def repair_ranges(ranges: DataFrame, sheet: str, at: int, count: int) -> DataFrame:
     """Tables, filters, print areas, conditional formats, validations and merges of the sheet: (sheet, kind, name, ref)."""
     return ranges.withColumn("ref", F.when(F.col("sheet") == sheet, shift_range(F.col("ref"), at, count)).otherwise(F.col("ref")))

@@ -25,6 +25,12 @@ def collect(spark: SparkSession, folder: str) -> DataFrame:
     return kept.withColumn("input_ord", F.expr("row_number() over (order by path)").cast("long"))
 
 
+def distinct_names(files: DataFrame) -> DataFrame:
+    """One file for each file name: the first in input order."""
+    named = files.withColumn("name", file_name("path"))
+    return named.groupBy("name").agg(F.min_by(F.struct(*files.columns), "input_ord").alias("f")).select("f.*")
+
+
 def route(files: DataFrame, path: str = "path") -> DataFrame:
     """``files`` with ``route``: image, manual, pdf or unsupported."""
     s = suffix(path)
