@@ -85,14 +85,13 @@ class Model:
         return np.clip(out, 0.0, 1.0)
 
 
-def fit(texts: list[bytes | None], labels: np.ndarray, seed: int = 7) -> Model:
-    """Term weights (inverse document frequency), the space (randomised SVD) and the sample's vectors."""
-    x = terms(texts)
+def fit(x: np.ndarray, labels: np.ndarray, seed: int = 7) -> Model:
+    """From the sample's term vectors: term weights (inverse document frequency), the space (randomised SVD) and its vectors."""
     if not len(x):
         return Model(np.ones(BINS + len(EXTRA), np.float32), np.zeros((BINS + len(EXTRA), RANK), np.float32), np.zeros((0, RANK), np.float32), labels)
     weight = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
     weight[BINS:] = 1.0
-    x *= weight
+    x = x * weight
     q = np.linalg.qr(x.T @ (x @ np.random.default_rng(seed).standard_normal((x.shape[1], RANK + 8)).astype(np.float32)))[0]
     for _ in range(3):
         q = np.linalg.qr(x.T @ (x @ q))[0]
@@ -116,11 +115,17 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """The model of the bounded sample, whose texts (2 * per_class at most) the driver fits on."""
+    """The model of the bounded sample. Executors turn its texts into term vectors; only those, of fixed size, reach the driver."""
 
-    rows = sample_labelled(docs, labels, per_class).select("draw", "quality", "text").orderBy("draw")
-    got = rows.toPandas()
-    return fit([t.encode() for t in got["text"]], got["quality"].to_numpy())
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = terms(b.column(1).cast(pa.binary()).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary()), b.column(2)], names=["quality", "terms", "draw"])
+
+    rows = sample_labelled(docs, labels, per_class).select("quality", "text", "draw").mapInArrow(vectors, "quality int, terms binary, draw string")
+    got = rows.toPandas().sort_values("draw", kind="stable")
+    x = np.frombuffer(b"".join(got["terms"]), np.float32).reshape(len(got), -1) if len(got) else np.zeros((0, BINS + len(EXTRA)), np.float32)
+    return fit(x, got["quality"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
