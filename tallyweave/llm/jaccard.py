@@ -29,12 +29,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyweave.llm.common import connected_components, written
 from tallyweave.llm.embeddings import forest
-from tallyweave.llm.windows import ASKED, REPLIES, answer, ask, batched, mixed, texts_of, totals_of, window_hashes, word_hashes
+from tallyweave.llm.windows import ASKED, REPLIES, answer, ask, batched, discard, mixed, texts_of, totals_of, window_hashes, word_hashes
 
 SHINGLE = 5
 #: A token in more documents is frequent; rare ones have at most RARE * (RARE - 1) / 2 pairs, a fixed number.
 RARE = 16
-BLOCK = 256
+#: Documents, and tokens, that a block of the verification has about at most.
+BLOCK, TOKENS = 256, 500_000
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -126,14 +127,16 @@ def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     none = spark.createDataFrame([], REPLIES)
     replies = answer(rows.groupBy("batch").cogroup(none.groupBy("batch")).applyInArrow(prefixes, ASKED), 0)
     found = rows.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(possible, "key long, n long, tokens binary")
-    return written(found.withColumn("digest", F.md5("tokens")), "sets")
+    sets = written(found.withColumn("digest", F.md5("tokens")), "sets")
+    discard(rows)
+    return sets
 
 
 def _index(sets: DataFrame) -> DataFrame:
     """(index key, single or not, rep) of the distinct sets."""
     spark = sets.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = written(sets.withColumn("batch", F.shiftright(F.monotonically_increasing_id(), 6)), "indexed")
+    rows = sets.select("batch", "rep", "tokens")
 
     def tokens(t: pa.Table) -> list[np.ndarray]:
         return [np.frombuffer(x, np.uint64) for x in t["tokens"].to_pylist()]
@@ -212,7 +215,8 @@ def _group_edges(index: DataFrame, sets: DataFrame) -> DataFrame:
     first = many.groupBy("k").agg(F.min("rep").alias("v"))
     groups = connected_components(many.join(first, "k").select(F.col("rep").alias("u"), "v").where("u <> v").distinct())
     member = groups.select(F.col("component").alias("grp"), F.col("node").alias("rep"))
-    blocks = member.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sized = member.join(sets.select("rep", "n"), "rep")
+    blocks = sized.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / TOKENS)).cast("int").alias("blocks"))
     dealt = member.join(blocks, "grp").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # a block meets every block: side 0 and 1 tell the two apart, 2 is a block with itself
     meets = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -235,17 +239,20 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """
     sets = _sets(docs, key, text)
     same = sets.where("digest is not null and key is not null")
-    classes = written(same.groupBy("digest").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "classes")
-    distinct = classes.groupBy("rep").agg(F.first("digest").alias("digest")).join(classes, ["rep", "digest"])
-    shared = classes.join(distinct.select("digest"), "digest", "left_anti")  # further sets under a key that is in use
-    solo = distinct.unionByName(shared.withColumn("rep", -F.abs(F.xxhash64("digest")) - 2)).select("digest", "rep", "n", "tokens")
-    solo = written(solo, "solo")
-    index = _index(solo.select("rep", "tokens"))
+    # a node for each distinct set, below all keys; the number of its batch is fixed by writing it
+    node = (-F.abs(F.xxhash64("digest")) - 2).alias("rep")
+    distinct = same.groupBy("digest").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")).select("digest", node, "n", "tokens")
+    solo = written(distinct.withColumn("batch", F.shiftright(F.monotonically_increasing_id(), 6)), "distinct")
+    index = _index(solo)
     edges = _pair_edges(index, solo).union(_group_edges(index, solo))
-    own = same.select("key", "digest").join(solo.select("digest", "rep"), "digest").select(F.col("key").alias("u"), F.col("rep").alias("v")).where("u <> v").distinct()
-    components = connected_components(written(edges.union(own), "links"))
-    # stand-in nodes are smaller than any key: the smallest real key of a component is its name
-    named = components.join(same.select(F.col("key").alias("node")).distinct(), "node", "left_semi").groupBy("component").agg(F.min("node").alias("name"))
-    final = components.join(named, "component").select("node", "name")
+    # copies stay out of the graph: only a key that has several sets links them
+    held = same.select("key", node)
+    several = held.distinct().groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1").select("key")
+    own = held.join(several, "key", "left_semi").select(F.col("key").alias("u"), F.col("rep").alias("v")).distinct()
+    components = written(connected_components(written(edges.union(own), "links")), "components")
+    # the smallest key of a component is its name
+    member = held.join(components, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component"))
+    named = written(member.groupBy("component").agg(F.min("key").alias("name"), F.count("*").alias("rows")).where("rows > 1").select("component", "name"), "names")
+    final = member.join(named, "component").select(F.col("key").alias("node"), "name").distinct()
     return (sets.select("key", "n").join(final, F.col("key") == F.col("node"), "left")
             .select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("name", "key").alias("component_id")))

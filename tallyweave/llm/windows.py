@@ -87,8 +87,22 @@ def batched(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
     return spark.table(name), n
 
 
+def discard(rows: DataFrame) -> None:
+    """Delete the files of a table from ``batched`` once nothing reads it any more."""
+    spark = rows.sparkSession
+    jvm = spark.sparkContext._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in rows.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Hashes that were chosen for being small would crowd the first ranges, so ranges are of hashes mixed once more.
+SPREAD = 1
+
+
 def ask(batch: int, hashes: np.ndarray, buckets: int, checks: np.ndarray | None = None) -> pa.Table:
     """Rows of ASKED for a batch's hashes (any order, repeated ones too); with ``checks``, keys have 128 bits."""
+    hashes = mixed(hashes, SPREAD)
     if checks is None:
         keys, counts = np.unique(hashes, return_counts=True)
     else:
@@ -139,7 +153,9 @@ def totals_of(replies: pa.Table, level: int, keys: np.ndarray) -> np.ndarray:
     got = np.frombuffer(b"".join(x for _, x in rows), "<u2")
     if len(got) != len(keys):
         raise RuntimeError(f"{len(got)} answers to {len(keys)} questions")
-    return got
+    out = np.empty_like(got)
+    out[np.argsort(mixed(keys, SPREAD), kind="stable")] = got
+    return out
 
 
 def texts_of(t: pa.Table, column: str = "text") -> list[bytes]:
