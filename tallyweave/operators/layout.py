@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyweave.functions.text import blank, header_key, strip, text
 from tallyweave.schema import HEADER_ROWS, NOT_A_LABEL, SAMPLE_ROWS, SAMPLES, SCORED_ROWS, TOTAL_FORMULA, TOTAL_WORDS
@@ -48,11 +48,11 @@ def data_spans(cells: DataFrame) -> DataFrame:
     """One row a sheet with a header: header_row, first_col, last_col, first_data_row, last_data_row, total_rows, row_count."""
     spans = column_spans(cells, header_rows(cells))
     inside = cells.join(F.broadcast(spans), "sheet").where((F.col("row") > F.col("header_row")) & F.col("col").between(F.col("first_col"), F.col("last_col")))
-    rows = inside.groupBy("sheet", "row").agg(F.bool_or(~is_blank()).alias("filled"), F.bool_or(is_total_cell()).alias("totals")).where("filled")
-    last = rows.groupBy("sheet").agg(F.max(F.when(~F.col("totals"), F.col("row"))).alias("last"))
-    ends = spans.join(last, "sheet", "left").withColumn("last_data_row", F.coalesce("last", "header_row")).drop("last")
-    below = rows.where("totals").join(ends.select("sheet", "last_data_row"), "sheet").where("row > last_data_row").groupBy("sheet").agg(F.sort_array(F.collect_list("row")).alias("total_rows"))
-    return ends.join(below, "sheet", "left").select(
+    rows = inside.groupBy("sheet", "header_row", "row").agg(F.bool_or(~is_blank()).alias("filled"), F.bool_or(is_total_cell()).alias("totals")).where("filled")
+    last = F.max(F.when(~F.col("totals"), F.col("row"))).over(W.partitionBy("sheet"))
+    ended = rows.withColumn("last", F.coalesce(last, "header_row"))
+    found = ended.groupBy("sheet").agg(F.first("last").alias("last"), F.sort_array(F.collect_list(F.when(F.col("totals") & (F.col("row") > F.col("last")), F.col("row")))).alias("total_rows"))
+    return spans.join(found, "sheet", "left").withColumn("last_data_row", F.coalesce("last", "header_row")).select(
         "sheet", "header_row", "first_col", "last_col", (F.col("header_row") + 1).alias("first_data_row"), "last_data_row",
         F.coalesce("total_rows", F.array().cast("array<int>")).alias("total_rows"), (F.col("last_data_row") - F.col("header_row")).alias("row_count"))
 

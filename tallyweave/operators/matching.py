@@ -7,7 +7,7 @@ same cents within days -> probable_duplicate by the best wording; else new.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -81,10 +81,10 @@ def cascade(records: DataFrame, existing: DataFrame, score: Score = similarity,
     return found.select("record_id", status.alias("status"), row.alias("row"), value.alias("score"), reason.alias("reason"))
 
 
-def greedy(group: pd.DataFrame, tolerance: int = DATE_TOLERANCE_DAYS) -> pd.DataFrame:
+def greedy(rows: list[dict], tolerance: int = DATE_TOLERANCE_DAYS) -> list[tuple]:
     """The tiers over one amount's records in order, where each new one becomes a candidate for later ones.
 
-    ``group`` has the book's rows that matter for the amount (is_book) and the records.
+    ``rows`` are the book's rows that matter for the amount (is_book) and the records.
     """
     from difflib import SequenceMatcher
 
@@ -99,7 +99,6 @@ def greedy(group: pd.DataFrame, tolerance: int = DATE_TOLERANCE_DAYS) -> pd.Data
             s = max(s, n / len(ta | tb), n / min(len(ta), len(tb)) * 0.9)
         return s
 
-    rows = [dict(zip(group.columns, x)) for x in group.itertuples(index=False)]
     for x in rows:
         x["words"] = set(x["words"])
     by_reference: dict[str, list[dict]] = {}
@@ -135,7 +134,27 @@ def greedy(group: pd.DataFrame, tolerance: int = DATE_TOLERANCE_DAYS) -> pd.Data
         out.append((x["record_id"], status, row, score))
         if status == "new":
             add({**x, "row": 0})
-    return pd.DataFrame(out, columns=["record_id", "status", "row", "score"]).astype({"row": "Int64"})
+    return out
+
+
+def greedy_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``greedy`` for each amount of a partition sorted by amount (grp); only one amount's rows are held at a time."""
+    held: list[dict] = []
+    for batch in batches:
+        out: list[tuple] = []
+        for x in batch.itertuples(index=False):
+            row = x._asdict()
+            if held and held[0]["grp"] != row["grp"]:
+                out += greedy(held)
+                held = []
+            held.append(row)
+        yield verdict_frame(out)
+    if held:
+        yield verdict_frame(greedy(held))
+
+
+def verdict_frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["record_id", "status", "row", "score"]).astype({"record_id": "int64", "row": "Int64", "score": "float64"})
 
 
 def batch_verdicts(records: DataFrame, existing: DataFrame, by_date: bool = True, skip_book: bool = False) -> DataFrame:
@@ -171,7 +190,7 @@ def batch_verdicts(records: DataFrame, existing: DataFrame, by_date: bool = True
     rows = left.unionByName(right).select(*columns).select(
         "*", normalize("description").alias("norm"), normalize("stored").alias("stored_norm"), tokens("description").alias("words"), tokens("stored").alias("stored_words"),
         (F.col("description") == "").alias("empty"), (F.col("stored") == "").alias("stored_empty"))
-    looped = rows.groupBy("grp").applyInPandas(lambda group: greedy(group), "record_id long, status string, row long, score double")
+    looped = rows.repartition("grp").sortWithinPartitions("grp").mapInPandas(greedy_stream, "record_id long, status string, row long, score double")
     rest = alone.join(open_.select("record_id"), "record_id", "left_anti").select("record_id", "status", "row", "score")
     verdicts = looped.unionByName(rest)
     # records without an amount: an accepted record that comes earlier settles them by reference
