@@ -16,6 +16,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyweave.llm.common import written
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -154,7 +156,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -
     """
     docs = docs.drop("secret_spans", "secret_digest", "secret_kinds")
     indexed = tuple(r for r in rules if trigram_query(r.pattern))
-    found = candidates(docs, indexed, text).select(F.col("digest").alias("secret_digest"), F.col("kinds").alias("secret_kinds"))
+    found = written(candidates(docs, indexed, text).select(F.col("digest").alias("secret_digest"), F.col("kinds").alias("secret_kinds")), "candidates")
     keyed = docs.withColumn("secret_digest", F.md5(F.col(text).cast("binary")))
     joined = keyed.join(found, "secret_digest", "left")
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
