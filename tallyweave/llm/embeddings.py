@@ -180,14 +180,15 @@ def near_dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
     links = _links(classes, threshold)
     counts = links.groupBy(*NODE).agg(F.sum("links").alias("links"))
     edges = links.where("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v"))
-    same = coded.where("code is not null").join(classes.select(*NODE, "copies"), ["grp", "dim", "code"])
-    own = same.select("key", "node").where("key <> node").distinct()  # copies hang on their first
-    components = connected_components(edges.union(own))
-    named = classes.select(*NODE, "copies").join(counts, list(NODE), "left").select("grp", "dim", "code", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = (coded.select("key", "grp", "dim", "code").join(named, ["grp", "dim", "code"], "left")
-           .join(components, F.col("key") == F.col("node"), "left"))
-    return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                      F.coalesce("component", "key").alias("component_id"), F.coalesce(F.coalesce("component", "key") == F.col("key"), F.lit(False)).alias("kept"))
+    named = classes.select(*NODE, "copies").join(counts, list(NODE), "left").select("grp", "dim", "code", "node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    rows = coded.select("key", "grp", "dim", "code").join(written(named, "named"), ["grp", "dim", "code"], "left")
+    # copies stay out of the graph: only a key that has several vectors links them
+    several = rows.where("code is not null").select("key", "node").distinct().groupBy("key").agg(F.count("*").alias("nodes")).where("nodes > 1").select("key")
+    own = rows.join(several, "key", "left_semi").select(F.col("key").alias("u"), F.col("node").alias("v")).where("u <> v")
+    components = written(connected_components(edges.union(own)).select(F.col("node").alias("reached"), "component"), "components")
+    out = rows.join(components, F.col("node") == F.col("reached"), "left").withColumn("component", F.coalesce("component", "node", "key"))
+    return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("component").alias("component_id"),
+                      F.coalesce(F.col("component") == F.col("key"), F.lit(False)).alias("kept"))
 
 
 def _links(classes: DataFrame, threshold: float) -> DataFrame:
@@ -222,6 +223,7 @@ def _links(classes: DataFrame, threshold: float) -> DataFrame:
     sizes = (placed.groupBy("grp", "dim", F.col("home").alias("cell")).agg(F.count("*").alias("n_stored"))
              .join(asking.groupBy(*cell).agg(F.count("*").alias("n_asking")), cell)
              .select(*cell, blocks("n_stored").alias("stored_blocks"), blocks("n_asking").alias("asking_blocks")))
+    sizes = written(sizes, "sizes")  # so that joins with it can be split where a cell is crowded
     deal = F.xxhash64("node", "code", "cell")
 
     def part(n: str):
