@@ -81,11 +81,44 @@ def cascade(records: DataFrame, existing: DataFrame, score: Score = similarity,
     return found.select("record_id", status.alias("status"), row.alias("row"), value.alias("score"), reason.alias("reason"))
 
 
-def greedy(rows: list[dict], tolerance: int = DATE_TOLERANCE_DAYS) -> list[tuple]:
-    """The tiers over one amount's records in order, where each new one becomes a candidate for later ones.
-
-    ``rows`` are the book's rows that matter for the amount (is_book) and the records.
+def against_book(records: DataFrame, existing: DataFrame) -> DataFrame:
+    """``records`` with ref_row, exact (e_row, score, empty) and near (score, minus_row) of the book.
+
+    The tiers of ``cascade`` one after the other, each for what the one before
+    left open, as equi-joins on (reference), (cents, date) and (cents, day around
+    it). The book is brought to its first row of each reference, date or wording
+    before each of them, so an amount that many rows share makes no more pairs
+    than it has different wordings.
+    """
+    coded = existing.withColumn("reference", normalize("reference")).where("reference <> ''").groupBy("reference", "amount_cents").agg(F.min("row").alias("row"))
+    found = records.join(reference_tier(records, coded), "record_id", "left")
+    e = existing.where("amount_cents is not null and date is not null").select("amount_cents", "date", text("description").alias("e_description"), F.col("row").cast("long").alias("e_row"))
+    first = e.groupBy("amount_cents", "date").agg(F.min(F.struct("e_row", "e_description")).alias("first"))
+    found = found.join(first, ["amount_cents", "date"], "left").withColumn("first", F.when(F.col("ref_row").isNull(), F.col("first")))
+    score = similarity(F.col("description"), F.col("first.e_description"))
+    empty = (F.col("description") == "") | (F.col("first.e_description") == "")
+    found = found.withColumn("exact", F.when(F.col("first").isNotNull(), F.struct(F.col("first.e_row").alias("e_row"), score.alias("score"), empty.alias("empty")))).drop("first")
+    wordings = e.groupBy("amount_cents", "date", "e_description").agg(F.min("e_row").alias("e_row"))
+    asked = found.where("ref_row is null and exact is null and amount_cents is not null and date is not null").select("amount_cents", "date", "description").distinct()
+    pairs = asked.join(around(wordings), ["amount_cents", "date"]).withColumn("score", similarity(F.col("description"), F.col("e_description"))).where(F.col("score") >= WEAK_SIMILARITY)
+    near = pairs.groupBy("amount_cents", "date", "description").agg(F.max(F.struct("score", (-F.col("e_row")).alias("minus_row"))).alias("near"))
+    found = found.join(near, ["amount_cents", "date", "description"], "left")
+    return found.withColumn("near", F.when(F.col("ref_row").isNull() & F.col("exact").isNull(), F.col("near")))
+
+
+def around(dated: DataFrame, days: int = DATE_TOLERANCE_DAYS) -> DataFrame:
+    """Each row once for every day within ``days`` of its date, which becomes ``date``."""
+    return dated.withColumn("date", F.explode(F.sequence(F.date_sub("date", days), F.date_add("date", days))))
+
+
+def accept_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The records of each amount that are accepted, out of those sorted by amount and order.
+
+    A record is accepted unless an accepted one has its reference, its date, or a
+    like wording within the tolerance. So an amount has at most one accepted record
+    a date, and only these are held; rows are given out batch by batch.
     """
+    from datetime import timedelta
     from difflib import SequenceMatcher
 
     def alike(a: str, b: str, ta: set, tb: set) -> float:
@@ -99,62 +132,46 @@ def greedy(rows: list[dict], tolerance: int = DATE_TOLERANCE_DAYS) -> list[tuple
             s = max(s, n / len(ta | tb), n / min(len(ta), len(tb)) * 0.9)
         return s
 
-    for x in rows:
-        x["words"] = set(x["words"])
-    by_reference: dict[str, list[dict]] = {}
-    dated: dict[object, list[dict]] = {}
-    cands: list[dict] = []
-
-    def add(x: dict) -> None:
-        if x["ref_key"]:
-            by_reference.setdefault(x["ref_key"], []).append(x)
-        if pd.notna(x["amount_cents"]):
-            cands.append(x)
-            if x["date"] is not None:
-                dated.setdefault(x["date"], []).append(x)
-
-    book = sorted((x for x in rows if x["is_book"]), key=lambda x: x["row"])
-    for x in book:
-        add(x)
-    out = []
-    for x in sorted((x for x in rows if not x["is_book"]), key=lambda x: x["position"]):
-        status, row, score = "new", None, None
-        if x["ref_key"] in by_reference and x["ref_key"]:
-            status, row, score = "duplicate", by_reference[x["ref_key"]][0]["row"], 1.0
-        elif x["date"] is not None and x["date"] in dated:
-            c = dated[x["date"]][0]
-            score = alike(x["norm"], c["stored_norm"], x["words"], set(c["stored_words"]))
-            status, row = ("duplicate" if score >= STRONG_SIMILARITY or x["empty"] or c["stored_empty"] else "probable_duplicate"), c["row"]
-        elif x["date"] is not None:
-            for c in cands:
-                if c["date"] is not None and abs((x["date"] - c["date"]).days) <= tolerance:
-                    s = alike(x["norm"], c["stored_norm"], x["words"], set(c["stored_words"]))
-                    if s >= WEAK_SIMILARITY and (score is None or s > score):
-                        status, row, score = "probable_duplicate", c["row"], s
-        out.append((x["record_id"], status, row, score))
-        if status == "new":
-            add({**x, "row": 0})
-    return out
-
-
-def greedy_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``greedy`` for each amount of a partition sorted by amount (grp); only one amount's rows are held at a time."""
-    held: list[dict] = []
+    gaps = [timedelta(k) for k in range(-DATE_TOLERANCE_DAYS, DATE_TOLERANCE_DAYS + 1) if k]
+    amount, dated, references = None, {}, set()
     for batch in batches:
-        out: list[tuple] = []
+        taken = []
         for x in batch.itertuples(index=False):
-            row = x._asdict()
-            if held and held[0]["grp"] != row["grp"]:
-                out += greedy(held)
-                held = []
-            held.append(row)
-        yield verdict_frame(out)
-    if held:
-        yield verdict_frame(greedy(held))
+            if x.amount_cents != amount:
+                amount, dated, references = x.amount_cents, {}, set()
+            hit = x.date in dated or (x.ref_key and x.ref_key in references)
+            if not hit and (near := [dated[x.date + g] for g in gaps if x.date + g in dated]):
+                words = set(x.words)
+                hit = any(alike(x.norm, c[0], words, c[1]) >= WEAK_SIMILARITY for c in near)
+            if not hit:
+                dated[x.date] = (x.stored_norm, set(x.stored_words))
+                if x.ref_key:
+                    references.add(x.ref_key)
+            taken.append(not hit)
+        yield batch[taken][ACCEPTED]
+
+
+ACCEPTED = ["record_id", "input_ord", "date", "description", "stored", "ref_key", "amount_cents"]
+
+
+def contenders(judged: DataFrame, by_date: bool = True) -> DataFrame:
+    """The records that may become candidates: those the loop has to look at.
+
+    ``judged`` as from ``against_book``. What the book settles in any tier is never
+    accepted; without a date only the reference counts, which needs no loop; and of
+    equal amount, date, wording and reference only the first can be accepted, as
+    whatever holds it back holds back the others and else it does.
+    """
+    key = _order_key(by_date)
+    open_ = judged.where("amount_cents is not null and ref_row is null and exact is null and near is null")
+    undated = _first_references(open_.where("date is null"), by_date).withColumnRenamed("first", "undated")
+    dated = open_.where("date is not null").join(undated, ["amount_cents", "ref_key"], "left").where(F.col("undated").isNull() | (F.col("undated") > key))
+    firsts = dated.withColumn("norm", normalize("description")).groupBy("amount_cents", "date", "norm", "ref_key").agg(F.min(F.struct(key.alias("key"), "record_id", "input_ord", "description", "stored")).alias("x"))
+    return firsts.select("amount_cents", "date", "norm", "ref_key", "x.record_id", "x.input_ord", "x.description", "x.stored")
 
 
-def verdict_frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["record_id", "status", "row", "score"]).astype({"record_id": "int64", "row": "Int64", "score": "float64"})
+def _first_references(records: DataFrame, by_date: bool) -> DataFrame:
+    return records.where("ref_key <> ''").groupBy("amount_cents", "ref_key").agg(F.min(_order_key(by_date)).alias("first"))
 
 
 def batch_verdicts(records: DataFrame, existing: DataFrame, by_date: bool = True, skip_book: bool = False) -> DataFrame:
@@ -162,50 +179,50 @@ def batch_verdicts(records: DataFrame, existing: DataFrame, by_date: bool = True
 
     An accepted record becomes a candidate for later ones (row 0). Records are
     taken in order (date with nulls last, description, input order; input order
-    alone without ``by_date``). Only records with equal cents can meet, so the
-    loop runs for each amount by itself; records that the book settles, or whose
-    amount and reference are theirs alone, never enter it. ``skip_book`` leaves
-    the book out (in-batch duplicates are found all the same).
+    alone without ``by_date``). A loop over the ``contenders`` of each amount
+    finds who is accepted, at most one record a date; all verdicts then come from
+    joins with these. One very common amount is one task of that loop, which
+    streams and is linear in its contenders. ``skip_book`` leaves the book out
+    (in-batch duplicates are found all the same).
     """
     from tallyweave.functions.text import tokens
 
-    book = existing.where(F.lit(not skip_book))
     r = records.select("record_id", "input_ord", "date", text("description").alias("description"), first_filled("description", "vendor").alias("stored"),
                        normalize("reference").alias("ref_key"), cents(F.coalesce("amount", "total")).alias("amount_cents"))
-    order = [F.col("date").asc_nulls_last(), F.col("description").asc(), F.col("input_ord").asc()] if by_date else [F.col("input_ord").asc()]
-    alone = cascade(r, book)
-    # a record is settled without the loop if the book has it, it has no amount, or no other record shares its cents
-    shared = r.where("amount_cents is not null").groupBy("amount_cents").agg(F.count("*").alias("n")).where("n > 1").select("amount_cents")
-    open_ = r.join(shared, "amount_cents", "left_semi")
-    e = book.select(F.col("row").cast("long").alias("row"), "date", text("description").alias("stored"), normalize("reference").alias("ref_key"), "amount_cents")
-    amounts = shared.select(F.col("amount_cents").alias("grp"))
-    near = e.join(amounts, F.col("amount_cents") == F.col("grp"))
-    refs = open_.where("ref_key <> ''").select(F.col("amount_cents").alias("grp"), "ref_key").distinct()
-    unpriced = e.where("amount_cents is null and ref_key <> ''").join(refs, "ref_key").select("row", "date", "stored", "ref_key", "amount_cents", "grp")
-    empty = F.lit(None)
-    columns = ("grp", "is_book", "record_id", "row", "position", "date", "ref_key", "amount_cents", "description", "stored")
-    ranked = open_.withColumn("position", F.row_number().over(W.partitionBy("amount_cents").orderBy(*order)))
-    left = ranked.select(F.col("amount_cents").alias("grp"), F.lit(False).alias("is_book"), "record_id", empty.cast("long").alias("row"), "position", "date", "ref_key", "amount_cents", "description", "stored")
-    right = near.unionByName(unpriced).select("grp", F.lit(True).alias("is_book"), empty.cast("long").alias("record_id"), "row", F.lit(0).alias("position"), "date", "ref_key", "amount_cents", F.lit("").alias("description"), "stored")
-    rows = left.unionByName(right).select(*columns).select(
-        "*", normalize("description").alias("norm"), normalize("stored").alias("stored_norm"), tokens("description").alias("words"), tokens("stored").alias("stored_words"),
-        (F.col("description") == "").alias("empty"), (F.col("stored") == "").alias("stored_empty"))
-    looped = rows.repartition("grp").sortWithinPartitions("grp").mapInPandas(greedy_stream, "record_id long, status string, row long, score double")
-    rest = alone.join(open_.select("record_id"), "record_id", "left_anti").select("record_id", "status", "row", "score")
-    verdicts = looped.unionByName(rest)
-    # records without an amount: an accepted record that comes earlier settles them by reference
-    accepted = verdicts.where("status = 'new'").select("record_id").join(r.where("ref_key <> ''"), "record_id")
-    late = r.where("amount_cents is null and ref_key <> ''")
     key = _order_key(by_date)
-    hit = (late.select("record_id", "ref_key", key.alias("at")).join(accepted.select("ref_key", key.alias("from")), "ref_key")
-           .where("from < at").select("record_id").distinct().withColumn("hit", F.lit(True)))
-    final = verdicts.join(hit, "record_id", "left")
-    dup = F.col("hit") & (F.col("status") == "unmatchable")
-    return final.select("record_id", F.when(dup, "duplicate").otherwise(F.col("status")).alias("status"),
-                        F.when(dup, 0).otherwise(F.col("row")).cast("long").alias("row"), F.when(dup, 1.0).otherwise(F.col("score")).alias("score"))
+    judged = against_book(r, existing.where(F.lit(not skip_book))).cache()
+    asked = contenders(judged, by_date).withColumns({"words": tokens("description"), "stored_norm": normalize("stored"), "stored_words": tokens("stored")})
+    accepted = (asked.repartition("amount_cents").sortWithinPartitions("amount_cents", key)
+                .mapInPandas(accept_stream, "record_id long, input_ord long, date date, description string, stored string, ref_key string, amount_cents long").cache())
+    # the first of each reference in the batch: an accepted record, or an undated one that only a reference could hold back
+    undated = judged.where("amount_cents is not null and ref_row is null and date is null").select(*ACCEPTED)
+    firsts = _first_references(accepted.unionByName(undated), by_date)
+    unpriced = firsts.groupBy("ref_key").agg(F.min("first").alias("first")).withColumn("amount_cents", F.lit(None).cast("long"))
+    by_reference = F.col("first").isNotNull() & (F.col("first") < key) & F.col("ref_row").isNull()
+    j = judged.join(firsts.unionByName(unpriced.select(*firsts.columns)).withColumnRenamed("amount_cents", "f_cents").withColumnRenamed("ref_key", "f_ref"),
+                    (F.col("ref_key") == F.col("f_ref")) & F.col("amount_cents").eqNullSafe(F.col("f_cents")), "left").withColumn("by_ref", by_reference).drop("first", "f_cents", "f_ref")
+    same = accepted.select("amount_cents", "date", key.alias("a_key"), F.col("stored").alias("a_stored"))
+    j = j.join(same, ["amount_cents", "date"], "left")
+    held = F.col("a_key").isNotNull() & (F.col("a_key") < key) & ~F.col("by_ref") & F.col("ref_row").isNull() & F.col("exact").isNull()
+    score = similarity(F.col("description"), F.when(held, F.col("a_stored")))
+    empty = (F.col("description") == "") | (F.col("a_stored") == "")
+    j = j.withColumn("exact", F.when(held, F.struct(F.lit(0).cast("long").alias("e_row"), score.alias("score"), empty.alias("empty"))).otherwise(F.col("exact"))).drop("a_key", "a_stored")
+    left = j.where("amount_cents is not null and date is not null and ref_row is null and not by_ref and exact is null")
+    pairs = left.join(around(same), ["amount_cents", "date"]).where(F.col("a_key") < key).withColumn("score", similarity(F.col("description"), F.col("a_stored")))
+    batch_near = pairs.where(F.col("score") >= WEAK_SIMILARITY).groupBy("record_id").agg(F.max("score").alias("a_score"))
+    j = j.join(batch_near, "record_id", "left")
+    # the book's rows come first, so a score of the batch has to be higher
+    near = F.when(F.col("a_score").isNotNull() & (F.col("near").isNull() | (F.col("a_score") > F.col("near.score"))), F.struct(F.col("a_score").alias("score"), F.lit(0).cast("long").alias("minus_row"))).otherwise(F.col("near"))
+    j = j.withColumn("near", near)
+    strong = (F.col("exact.score") >= STRONG_SIMILARITY) | F.col("exact.empty")
+    priced, ref = F.col("amount_cents").isNotNull(), F.col("ref_row").isNotNull() | F.col("by_ref")
+    status = (F.when(ref, "duplicate").when(~priced, "unmatchable").when(F.col("exact").isNotNull(), F.when(strong, "duplicate").otherwise("probable_duplicate"))
+              .when(F.col("near").isNotNull(), "probable_duplicate").otherwise("new"))
+    return j.select("record_id", status.alias("status"), F.coalesce(F.col("ref_row").cast("long"), F.when(F.col("by_ref"), F.lit(0).cast("long")), F.col("exact.e_row"), -F.col("near.minus_row")).alias("row"),
+                    F.when(ref, 1.0).otherwise(F.coalesce("exact.score", "near.score")).alias("score"))
 
 
 def _order_key(by_date: bool) -> Column:
     if not by_date:
-        return F.struct("input_ord")
-    return F.struct(F.col("date").isNull().cast("int").alias("undated"), F.coalesce("date", F.lit("0001-01-01").cast("date")).alias("day"), "description", "input_ord")
+        return F.struct("input_ord", "record_id")
+    return F.struct(F.col("date").isNull().cast("int").alias("undated"), F.coalesce("date", F.lit("0001-01-01").cast("date")).alias("day"), "description", "input_ord", "record_id")

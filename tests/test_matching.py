@@ -116,3 +116,37 @@ def test_to_existing_takes_vendor(spark):
     r = spark.createDataFrame([(1, 1, DAY, "", "V", "", None, Decimal("2.50"))], RECORD)
     e = m.to_existing(r, F.lit(9)).first()
     assert (e["description"], e["amount_cents"], e["row"]) == ("V", 250, 9)
+
+
+def crowded():
+    """One amount for nearly all rows: 40 days, many wordings and references, a book that settles some of them."""
+    rng = random.Random(11)
+    names = ["AWS CLOUD", "OFFICE RENT MARCH", "AWS CLOUD EU", "", "-", "CLIENT NORTHGATE", "GYM", "CLIENT NORTH GATE LTD"]
+
+    def date():
+        return None if rng.random() < 0.1 else DAY + dt.timedelta(rng.randrange(40))
+
+    book = [(i, DAY + dt.timedelta(rng.randrange(12)), rng.choice(names), rng.choice(["", "", "R1", "R2"]), rng.choice([None, 100, 100])) for i in range(40)]
+    records = [(i, 999 - i, date(), rng.choice(names), rng.choice(["", "V"]), rng.choice(["", "", "r1", f"N{rng.randrange(60)}"]), rng.choice([None, *[Decimal("1.00")] * 9]), None) for i in range(600)]
+    return records, book
+
+
+def test_crowded_amount_equals_the_sequential_loop_and_streams(spark):
+    records, book = crowded()
+    df, known = spark.createDataFrame(records, RECORD).repartition(7), spark.createDataFrame(book, BOOK)
+    want = sequential(records, book)
+    assert {r["record_id"]: r["status"] for r in m.batch_verdicts(df, known).collect()} == want
+    priced = m.against_book(m.keyed(df).join(df.select("record_id", F.col("description").alias("stored")), "record_id"), known)
+    asked = m.contenders(priced).collect()
+    accepted = {i for i, status in want.items() if status == "new" and records[i][2]}
+    assert accepted <= {r["record_id"] for r in asked}
+    settled = priced.where("ref_row is not null or exact is not null or near is not null").select("record_id").collect()
+    assert settled and not {r[0] for r in settled} & {r["record_id"] for r in asked}
+
+
+def test_a_repeated_record_enters_the_loop_once(spark):
+    df = spark.range(5000).select("id", "id", F.lit(DAY), F.lit("A"), F.lit(""), F.lit(""), F.lit(1).cast("decimal(18,2)"), F.lit(None).cast("decimal(18,2)")).toDF(*[c.split()[0] for c in RECORD.split(", ")])
+    none = spark.createDataFrame([], BOOK)
+    judged = m.against_book(m.keyed(df).withColumn("stored", F.col("description")), none)
+    assert [r["record_id"] for r in m.contenders(judged).collect()] == [0]
+    assert {(r["status"], r["n"]) for r in m.batch_verdicts(df, none).groupBy("status").agg(F.count("*").alias("n")).collect()} == {("new", 1), ("duplicate", 4999)}
