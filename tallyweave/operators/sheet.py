@@ -27,13 +27,25 @@ def repoint(cells: DataFrame, sheet: str, at: int, count: int) -> DataFrame:
 
 def repoint_names(names: DataFrame, sheet: str, at: int, count: int) -> DataFrame:
     """Defined names (name, scope sheet, ref without =) follow the insert."""
-    moved = shift_for_insert(F.concat(F.lit("="), "ref"), F.coalesce("sheet", F.lit("")), sheet, at, count)
-    return names.withColumn("ref", F.substring(moved, 2, 32767))
+    return names.withColumn("ref", expected_ref("ref", "sheet", sheet, at, count))
 
 
 def repair_ranges(ranges: DataFrame, sheet: str, at: int, count: int) -> DataFrame:
-    """Tables, filters, print areas, conditional formats, validations and merges of the sheet: (sheet, kind, name, ref)."""
-    return ranges.withColumn("ref", F.when(F.col("sheet") == sheet, shift_range(F.col("ref"), at, count)).otherwise(F.col("ref")))
+    """Tables, filters, print areas, conditional formats, validations and merges of the sheet: (sheet, kind, name, ref).
+
+    A ref of several parts has them apart by spaces. One with a sheet name or commas (a print area) goes the way of formulas.
+    """
+    parts = F.array_join(F.transform(F.split("ref", r"\s+"), lambda p: shift_range(p, at, count)), " ")
+    mine = ranges.where(F.col("sheet") == sheet)
+    bare = ~F.col("ref").rlike("[!,]")
+    plain = mine.where(bare).withColumn("ref", parts)
+    named = mine.where(~bare).withColumn("ref", expected_ref("ref", "sheet", sheet, at, count))
+    return ranges.where(~F.col("sheet").eqNullSafe(F.lit(sheet)) | F.col("ref").isNull()).unionByName(plain).unionByName(named)
+
+
+def expected_ref(ref: str, scope: str, sheet: str, at: int, count: int) -> Column:
+    """A ref without = after the insert, by the rule of formulas."""
+    return F.substring(shift_for_insert(F.concat(F.lit("="), ref), F.coalesce(scope, F.lit("")), sheet, at, count), 2, 32767)
 
 
 def new_cells(added: DataFrame, columns: DataFrame, mapped: DataFrame, sheet: str, at: int, last_data_row: int, date_format: str = "") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyweave.operators.sheet import shifted_row
+from tallyweave.operators.sheet import expected_ref, shifted_row
 from tallyweave.schema import MOST_PROBLEMS
 
 
@@ -50,10 +50,35 @@ def missing_sheets(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.select("sheet").distinct().join(after.select("sheet").distinct(), "sheet", "left_anti")
 
 
-def verify_untouched(before: DataFrame, after: DataFrame, sheet: str, at: int, count: int) -> None:
+def ref_differences(before: DataFrame, after: DataFrame, sheet: str, at: int, count: int) -> DataFrame:
+    """(sheet, name, ref, problem): ranges or names that went, or are not where the formula rule puts them; equal ones are counted."""
+    keys = [c for c in ("sheet", "kind", "name") if c in before.columns]
+    old = before.withColumn("new_ref", F.when(F.col("ref").isNotNull(), expected_ref("ref", "sheet", sheet, at, count))).groupBy(*keys, "new_ref").agg(F.count("*").alias("n"), F.min("ref").alias("ref"))
+    new = after.groupBy(*[F.col(c).alias(f"a_{c}") for c in keys], F.col("ref").alias("a_ref")).agg(F.count("*").alias("m"))
+    same = F.col("new_ref").eqNullSafe(F.col("a_ref"))
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"a_{c}"))
+    return old.join(new, same, "left").where(~F.col("n").eqNullSafe(F.col("m"))).select("sheet", "name", "ref", F.lit("range differs").alias("problem"))
+
+
+def verify_parts(before: dict[str, DataFrame], after: dict[str, DataFrame], sheet: str, at: int, count: int) -> list[str]:
+    """Problems of what a sheet has besides cells: row_dims, widths, ranges, names, each if given."""
+    problems = []
+    if "row_dims" in before:
+        problems += [f"{r['sheet']} row {r['row']}: {r['problem']}" for r in dimension_differences(before["row_dims"], after["row_dims"], sheet, at, count).limit(MOST_PROBLEMS).collect()]
+    if "widths" in before:
+        problems += [f"{r['sheet']} column {r['letter']}: {r['problem']}" for r in width_differences(before["widths"], after["widths"]).limit(MOST_PROBLEMS).collect()]
+    for part in ("ranges", "names"):
+        if part in before:
+            problems += [f"{r['sheet']} {r['name']} {r['ref']}: {r['problem']}" for r in ref_differences(before[part], after[part], sheet, at, count).limit(MOST_PROBLEMS).collect()]
+    return problems
+
+
+def verify_untouched(before: DataFrame, after: DataFrame, sheet: str, at: int, count: int, parts: dict[str, DataFrame] | None = None, parts_after: dict[str, DataFrame] | None = None) -> None:
     """Raise PreservationError naming up to 12 differences; to be called before anything is published."""
     gone = [r[0] for r in missing_sheets(before, after).limit(MOST_PROBLEMS).collect()]
     found = differences(before, after, sheet, at, count).limit(MOST_PROBLEMS).collect()
     problems = [f"sheet '{s}' is missing" for s in gone] + [f"{r['sheet']}!{r['row']},{r['col']}: {r['problem']}" for r in found]
+    problems += verify_parts(parts or {}, parts_after or {}, sheet, at, count)
     if problems:
         raise PreservationError("The result does not match the original where it should: " + "; ".join(problems[:MOST_PROBLEMS]))

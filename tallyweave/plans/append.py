@@ -7,6 +7,7 @@ while planning; a result is verified before it is published.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -33,6 +34,16 @@ class Plan:
     first_row: int = 0
 
 
+@dataclass
+class Appended:
+    """``cells`` after an append; ``parts``: row_dims, widths, ranges and names, as far as they were given; rows for the notes and state sheets."""
+
+    cells: DataFrame
+    parts: dict[str, DataFrame]
+    notes: DataFrame
+    state: DataFrame
+
+
 def split_by_kind(records: DataFrame, kinds: list[str]) -> tuple[DataFrame, DataFrame]:
     ok = F.col("kind").isin(*kinds)
     return records.where(ok), records.where(~ok)
@@ -92,8 +103,17 @@ def plan_append(records: DataFrame, cells: DataFrame, profile: Profile, as_of_ye
     return Plan("ready", "", judged, flags, insertion_row(span["last_data_row"], span["header_row"]))
 
 
-def perform_append(plan: Plan, cells: DataFrame, profile: Profile) -> DataFrame:
-    """The sheet's and all other sheets' cells after the append, verified against ``cells`` before they are returned."""
+def move_parts(parts: dict[str, DataFrame], sheet: str, at: int, count: int) -> dict[str, DataFrame]:
+    """What a workbook has besides cells, after the insert: row_dims (sheet, row, height), widths (sheet, letter, width), ranges (sheet, kind, name, ref), names (name, sheet, ref)."""
+    moves = {"row_dims": sheets.insert_rows, "widths": lambda rows, *_: rows, "ranges": sheets.repair_ranges, "names": sheets.repoint_names}
+    if unknown := set(parts) - set(moves):
+        raise ValueError(f"unknown parts: {sorted(unknown)}")
+    return {k: moves[k](rows, sheet, at, count) for k, rows in parts.items()}
+
+
+def perform_append(plan: Plan, cells: DataFrame, profile: Profile, parts: dict[str, DataFrame] | None = None, now: datetime | None = None) -> Appended:
+    """All sheets' cells and ``parts`` after the append, verified before they are returned, and the rows for notes and state."""
+    parts, now = parts or {}, now or datetime.now()
     spans = layout.data_spans(cells.where(F.col("sheet") == profile.sheet))
     span = spans.first()
     columns = layout.describe_columns(cells.where(F.col("sheet") == profile.sheet), spans)
@@ -103,17 +123,24 @@ def perform_append(plan: Plan, cells: DataFrame, profile: Profile) -> DataFrame:
     moved = sheets.repoint(sheets.insert_rows(cells, profile.sheet, plan.first_row, count), profile.sheet, plan.first_row, count).drop("repointed")
     fresh = sheets.styled(sheets.new_cells(added, columns, mapped, profile.sheet, plan.first_row, span["last_data_row"], profile.date_format), cells, profile.sheet, span["last_data_row"])
     after = moved.unionByName(fresh)
-    verify.verify_untouched(cells, after, profile.sheet, plan.first_row, count)
-    return after
+    moved_parts = move_parts(parts, profile.sheet, plan.first_row, count)
+    verify.verify_untouched(cells, after, profile.sheet, plan.first_row, count, parts, moved_parts)
+    return Appended(after, moved_parts, review_notes(plan.flags, now.strftime("%Y-%m-%d %H:%M")), state_rows(added, now.isoformat(timespec="seconds")))
 
 
-def append_records(records: DataFrame, cells: DataFrame, profile: Profile, output: str, as_of_year: int, dry_run: bool = False) -> Plan:
-    """Plan, verify, then publish to ``output`` (which must not exist). A dry run or a stop writes nothing."""
+def append_records(records: DataFrame, cells: DataFrame, profile: Profile, output: str, as_of_year: int, dry_run: bool = False, parts: dict[str, DataFrame] | None = None, now: datetime | None = None) -> Plan:
+    """Plan, verify, then publish. A dry run or a stop writes nothing.
+
+    Cells go to ``output``; each of ``parts``, the notes and the state rows go to
+    ``output`` with _row_dims, _notes and so on behind it. None of them may exist.
+    """
     plan = plan_append(records, cells, profile, as_of_year)
     if plan.status != "ready" or dry_run:
         plan.status = "dry_run" if plan.status == "ready" else plan.status
         return plan
-    perform_append(plan, cells, profile).write.mode("errorifexists").parquet(output)
+    done = perform_append(plan, cells, profile, parts, now)
+    for name, rows in {"": done.cells, **{f"_{k}": v for k, v in done.parts.items()}, "_notes": done.notes, "_state": done.state}.items():
+        rows.write.mode("errorifexists").parquet(output + name)
     plan.status = "written"
     return plan
 

@@ -131,3 +131,37 @@ def test_verification_finds_faults(spark):
 
 def test_output_name():
     assert append.output_name("book.xlsx") == "book_updated.xlsx"
+
+
+def sheet_parts(spark):
+    return {"row_dims": spark.createDataFrame([("Transactions", 3, 30.0), ("Transactions", 13, 44.0), ("Summary", 13, 9.0)], "sheet string, row int, height double"),
+            "widths": spark.createDataFrame([("Transactions", "B", 33.0)], "sheet string, letter string, width double"),
+            "ranges": spark.createDataFrame([("Transactions", "table", "T", "A3:G11"), ("Transactions", "validation", "", "C4:C11 E4:E11 G13"), ("Transactions", "merge", "", "A13:B13"), ("Transactions", "print_area", "", "Transactions!$A$1:$G$13"),
+                                             ("Summary", "merge", "", "A13:B13")], "sheet string, kind string, name string, ref string"),
+            "names": spark.createDataFrame([("ins", None, "Transactions!$D$4:$D$11"), ("sums", None, "Summary!$A$13")], "name string, sheet string, ref string")}
+
+
+def test_append_moves_all_parts_and_gives_notes_and_state(spark, tmp_path):
+    profile = Profile("Transactions", {"A": "date", "B": "description", "D": "deposit", "E": "withdrawal", "G": "reference"}, "yyyy-mm-dd", ["transaction"])
+    records = spark.createDataFrame([record(1, dt.date(2026, 3, 2), "ACME", "-5.00"), record(2, dt.date(2026, 3, 3), "WEST", "6.00"), record(3, dt.date(2026, 3, 3), "NONE", None)], RECORD)
+    out = str(tmp_path / "out")
+    append.append_records(records, ledger(spark), profile, out, 2026, parts=sheet_parts(spark), now=dt.datetime(2026, 4, 1, 8, 30, 5))
+    def read(name):
+        return {tuple(r) for r in spark.read.parquet(f"{out}_{name}").collect()}
+
+    assert read("row_dims") == {("Transactions", 3, 30.0), ("Transactions", 15, 44.0), ("Summary", 13, 9.0)}
+    assert read("widths") == {("Transactions", "B", 33.0)}
+    assert read("ranges") == {("Transactions", "table", "T", "A3:G13"), ("Transactions", "validation", "", "C4:C13 E4:E13 G15"), ("Transactions", "merge", "", "A15:B15"), ("Transactions", "print_area", "", "Transactions!$A$1:$G$15"), ("Summary", "merge", "", "A13:B13")}
+    assert read("names") == {("ins", None, "Transactions!$D$4:$D$13"), ("sums", None, "Summary!$A$13")}
+    assert [r[:4] for r in read("notes")] == [("2026-04-01 08:30", "s.pdf", "page 1", "amount")]
+    state = spark.read.parquet(f"{out}_state").orderBy("date").collect()
+    assert [(len(r["fingerprint"]), r["added"], r["source"], r["amount"]) for r in state] == [(16, "2026-04-01T08:30:05", "s.pdf", Decimal("-5.00")), (16, "2026-04-01T08:30:05", "s.pdf", Decimal("6.00"))]
+
+
+@pytest.mark.parametrize("part,word", [("row_dims", "height"), ("widths", "width"), ("ranges", "range"), ("names", "range")])
+def test_verification_finds_parts_left_behind(spark, part, word):
+    before = sheet_parts(spark)
+    after = append.move_parts(before, "Transactions", 12, 2)
+    assert verify.verify_parts(before, after, "Transactions", 12, 2) == []
+    problems = verify.verify_parts(before, after | {part: before[part].limit(0) if part == "widths" else before[part]}, "Transactions", 12, 2)
+    assert problems and all(word in p for p in problems)
