@@ -79,7 +79,15 @@ def styled(cells: DataFrame, template: DataFrame, sheet: str, last_data_row: int
 
 
 def existing_rows(cells: DataFrame, mapped: DataFrame, sheet: str, first_row: int, last_row: int, as_of_year: int) -> DataFrame:
-    """Rows of the data span reduced to identity: row, date, description, reference, amount_cents.
+    """``existing_rows_of`` for one sheet whose data span is known, without the sheet column."""
+    spans = cells.sparkSession.createDataFrame([(sheet, first_row, last_row)], "sheet string, first_data_row int, last_data_row int")
+    return existing_rows_of(cells, mapped.select("col", "field").withColumn("sheet", F.lit(sheet)), spans, as_of_year).drop("sheet")
+
+
+def existing_rows_of(cells: DataFrame, mapped: DataFrame, spans: DataFrame, as_of_year: int) -> DataFrame:
+    """Rows of each sheet's data span reduced to identity: sheet, row, date, description, reference, amount_cents.
+
+    ``mapped`` has sheet, col, field; ``spans`` sheet, first_data_row, last_data_row; sheets in only one of them give no rows.
 
     Amount is the amount column, else deposit less withdrawal if either is not 0,
     else the total; formulas and text money are not read.
@@ -87,8 +95,8 @@ def existing_rows(cells: DataFrame, mapped: DataFrame, sheet: str, first_row: in
     from tallyweave.functions.text import first_filled, text
     from tallyweave.functions.values import cents, coerce_date, numeric_cell
 
-    inside = cells.where((F.col("sheet") == sheet) & F.col("row").between(first_row, last_row) & F.col("formula").isNull())
-    c = inside.join(F.broadcast(mapped.select("col", "field")), "col")
+    inside = cells.where("formula is null").join(F.broadcast(spans.select("sheet", "first_data_row", "last_data_row")), "sheet").where("row between first_data_row and last_data_row")
+    c = inside.join(F.broadcast(mapped.select("sheet", "col", "field")), ["sheet", "col"])
 
     def number(f: str) -> Column:
         return F.max(F.when(F.col("field") == f, numeric_cell("vtype", "v_num"))).alias(f)
@@ -97,9 +105,9 @@ def existing_rows(cells: DataFrame, mapped: DataFrame, sheet: str, first_row: in
         shown = F.coalesce("v_str", F.col("v_num").cast("string"), F.col("v_date").cast("string"))
         return F.max(F.when(F.col("field") == f, shown)).alias(f)
 
-    rows = c.groupBy("row").agg(*[number(f) for f in ("amount", "deposit", "withdrawal", "total")], *[string(f) for f in ("description", "payee", "vendor", "reference")],
+    rows = c.groupBy("sheet", "row").agg(*[number(f) for f in ("amount", "deposit", "withdrawal", "total")], *[string(f) for f in ("description", "payee", "vendor", "reference")],
                                 F.max(F.when(F.col("field") == "date", F.struct("vtype", "v_date", "v_str"))).alias("day"))
     net = F.when((F.coalesce("deposit", F.lit(0)) != 0) | (F.coalesce("withdrawal", F.lit(0)) != 0), F.coalesce("deposit", F.lit(0)) - F.coalesce("withdrawal", F.lit(0)))
-    return rows.select(F.col("row").cast("long").alias("row"), coerce_date(F.col("day.vtype"), F.col("day.v_date"), F.col("day.v_str"), as_of_year).alias("date"),
+    return rows.select("sheet", F.col("row").cast("long").alias("row"), coerce_date(F.col("day.vtype"), F.col("day.v_date"), F.col("day.v_str"), as_of_year).alias("date"),
                        first_filled("description", "payee", "vendor").alias("description"), text("reference").alias("reference"),
                        cents(F.coalesce("amount", net, "total")).alias("amount_cents"))

@@ -281,6 +281,15 @@ def existing_rows(spark, d):
     return sheet.existing_rows(c, mapped, "S1", span["first_data_row"], span["last_data_row"], 2026).withColumn("sheet", F.lit("S1"))
 
 
+@query(f"""with c as ({b.CELLS}) select sheet, row::BIGINT as row, max(v_date) as date, max(v_str) filter (col = 2) as description, max(v_str) filter (col = 6) as reference,
+  round_even(abs(coalesce(max(v_num) filter (col = 3), 0)::DECIMAL(18,2) - coalesce(max(v_num) filter (col = 4), 0)::DECIMAL(18,2)) * 100, 0)::BIGINT as amount_cents from c where row > 3 group by 1, 2 having max(v_date) is not null""")
+def existing_rows_all(spark, d):
+    """``existing_rows`` of every sheet; that query keeps to the one sheet its SQL names."""
+    c = cells(spark, d)
+    spans = layout.data_spans(c)
+    return sheet.existing_rows_of(c, mapping.suggest_columns(layout.describe_columns(c, spans)), spans, 2026)
+
+
 # --- inserting and proving ------------------------------------------------------
 
 

@@ -47,3 +47,12 @@ def test_queries_equal_their_sql(spark, name):
         return sorted(tuple("" if v is None else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in values)
 
     assert rows(got.select(*want.columns).collect()) == rows(want.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_existing_rows_of_all_sheets(spark):
+    """Every sheet's rows reach the operator, and each sheet's equal those read for it alone."""
+    test_queries_equal_their_sql(spark, "existing_rows_all")
+    every, one = queries.QUERIES["existing_rows_all"](spark, DATA), queries.QUERIES["existing_rows"](spark, DATA)
+    assert every.select("sheet").distinct().count() == 7
+    assert {tuple(r) for r in every.where("sheet = 'S1'").select(*one.columns).collect()} == {tuple(r) for r in one.collect()}
