@@ -170,6 +170,11 @@ def contenders(judged: DataFrame, by_date: bool = True) -> DataFrame:
     return firsts.select("amount_cents", "date", "norm", "ref_key", "x.record_id", "x.input_ord", "x.description", "x.stored")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Written and read again, else plans nest and fill the driver; on executors' own disks only if no folder for checkpoints is set."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
+
+
 def _first_references(records: DataFrame, by_date: bool) -> DataFrame:
     return records.where("ref_key <> ''").groupBy("amount_cents", "ref_key").agg(F.min(_order_key(by_date)).alias("first"))
 
@@ -190,10 +195,10 @@ def batch_verdicts(records: DataFrame, existing: DataFrame, by_date: bool = True
     r = records.select("record_id", "input_ord", "date", text("description").alias("description"), first_filled("description", "vendor").alias("stored"),
                        normalize("reference").alias("ref_key"), cents(F.coalesce("amount", "total")).alias("amount_cents"))
     key = _order_key(by_date)
-    judged = against_book(r, existing.where(F.lit(not skip_book))).localCheckpoint()  # cut off here and below, else plans nest and fill the driver
+    judged = cut(against_book(r, existing.where(F.lit(not skip_book))))
     asked = contenders(judged, by_date).withColumns({"words": tokens("description"), "stored_norm": normalize("stored"), "stored_words": tokens("stored")})
-    accepted = (asked.repartition("amount_cents").sortWithinPartitions("amount_cents", key)
-                .mapInPandas(accept_stream, "record_id long, input_ord long, date date, description string, stored string, ref_key string, amount_cents long").localCheckpoint())
+    accepted = cut(asked.repartition("amount_cents").sortWithinPartitions("amount_cents", key)
+                .mapInPandas(accept_stream, "record_id long, input_ord long, date date, description string, stored string, ref_key string, amount_cents long"))
     # the first of each reference in the batch: an accepted record, or an undated one that only a reference could hold back
     undated = judged.where("amount_cents is not null and ref_row is null and date is null").select(*ACCEPTED)
     firsts = _first_references(accepted.unionByName(undated), by_date)
@@ -206,7 +211,7 @@ def batch_verdicts(records: DataFrame, existing: DataFrame, by_date: bool = True
     held = F.col("a_key").isNotNull() & (F.col("a_key") < key) & ~F.col("by_ref") & F.col("ref_row").isNull() & F.col("exact").isNull()
     score = similarity(F.col("description"), F.when(held, F.col("a_stored")))
     empty = (F.col("description") == "") | (F.col("a_stored") == "")
-    j = j.withColumn("exact", F.when(held, F.struct(F.lit(0).cast("long").alias("e_row"), score.alias("score"), empty.alias("empty"))).otherwise(F.col("exact"))).drop("a_key", "a_stored").localCheckpoint()
+    j = cut(j.withColumn("exact", F.when(held, F.struct(F.lit(0).cast("long").alias("e_row"), score.alias("score"), empty.alias("empty"))).otherwise(F.col("exact"))).drop("a_key", "a_stored"))
     left = j.where("amount_cents is not null and date is not null and ref_row is null and not by_ref and exact is null")
     pairs = left.join(around(same), ["amount_cents", "date"]).where(F.col("a_key") < key).withColumn("score", similarity(F.col("description"), F.col("a_stored")))
     batch_near = pairs.where(F.col("score") >= WEAK_SIMILARITY).groupBy("record_id").agg(F.max("score").alias("a_score"))
