@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyweave.functions.text import first_filled, normalize, similarity, text
 from tallyweave.functions.values import cents
+from tallyweave.scratch import written
 from tallyweave.schema import DATE_TOLERANCE_DAYS, NO_AMOUNT, STRONG_SIMILARITY, WEAK_SIMILARITY
 
 Score = Callable[[Column, Column], Column]
@@ -76,8 +77,8 @@ def cascade(records: DataFrame, existing: DataFrame, score: Score = similarity,
     row = F.coalesce("ref_row", F.when(held, F.coalesce(F.col("exact.e_row"), -F.col("near.minus_row"))))
     value = F.when(F.col("ref_row").isNotNull(), 1.0).when(held, F.coalesce(F.col("exact.score"), F.col("near.score")))
     reason = (F.when(F.col("ref_row").isNotNull(), "same reference").when(F.col("amount_cents").isNull(), NO_AMOUNT)
-              .when(F.col("exact").isNotNull(), F.when(strong, "same date and amount").otherwise("same date and amount, but the wording differs"))
-              .when(F.col("near").isNotNull(), F.concat(F.lit("same amount, "), F.col("near.gap"), F.lit(" day(s) apart, wording matches"))).otherwise(""))
+              .when(F.col("exact").isNotNull(), F.when(strong, "same date and amount").otherwise("same day and amount in other words"))
+              .when(F.col("near").isNotNull(), F.concat(F.lit("same amount, "), F.col("near.gap"), F.lit(" days between, alike in words"))).otherwise(""))
     return found.select("record_id", status.alias("status"), row.alias("row"), value.alias("score"), reason.alias("reason"))
 
 
@@ -170,11 +171,6 @@ def contenders(judged: DataFrame, by_date: bool = True) -> DataFrame:
     return firsts.select("amount_cents", "date", "norm", "ref_key", "x.record_id", "x.input_ord", "x.description", "x.stored")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Written and read again, else plans nest and fill the driver; on executors' own disks only if no folder for checkpoints is set."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
-
-
 def _first_references(records: DataFrame, by_date: bool) -> DataFrame:
     return records.where("ref_key <> ''").groupBy("amount_cents", "ref_key").agg(F.min(_order_key(by_date)).alias("first"))
 
@@ -195,10 +191,10 @@ def batch_verdicts(records: DataFrame, existing: DataFrame, by_date: bool = True
     r = records.select("record_id", "input_ord", "date", text("description").alias("description"), first_filled("description", "vendor").alias("stored"),
                        normalize("reference").alias("ref_key"), cents(F.coalesce("amount", "total")).alias("amount_cents"))
     key = _order_key(by_date)
-    judged = cut(against_book(r, existing.where(F.lit(not skip_book))))
+    judged = written(against_book(r, existing.where(F.lit(not skip_book))), "judged")
     asked = contenders(judged, by_date).withColumns({"words": tokens("description"), "stored_norm": normalize("stored"), "stored_words": tokens("stored")})
-    accepted = cut(asked.repartition("amount_cents").sortWithinPartitions("amount_cents", key)
-                .mapInPandas(accept_stream, "record_id long, input_ord long, date date, description string, stored string, ref_key string, amount_cents long"))
+    accepted = written(asked.repartition("amount_cents").sortWithinPartitions("amount_cents", key)
+                .mapInPandas(accept_stream, "record_id long, input_ord long, date date, description string, stored string, ref_key string, amount_cents long"), "accepted")
     # the first of each reference in the batch: an accepted record, or an undated one that only a reference could hold back
     undated = judged.where("amount_cents is not null and ref_row is null and date is null").select(*ACCEPTED)
     firsts = _first_references(accepted.unionByName(undated), by_date)
@@ -211,7 +207,7 @@ def batch_verdicts(records: DataFrame, existing: DataFrame, by_date: bool = True
     held = F.col("a_key").isNotNull() & (F.col("a_key") < key) & ~F.col("by_ref") & F.col("ref_row").isNull() & F.col("exact").isNull()
     score = similarity(F.col("description"), F.when(held, F.col("a_stored")))
     empty = (F.col("description") == "") | (F.col("a_stored") == "")
-    j = cut(j.withColumn("exact", F.when(held, F.struct(F.lit(0).cast("long").alias("e_row"), score.alias("score"), empty.alias("empty"))).otherwise(F.col("exact"))).drop("a_key", "a_stored"))
+    j = written(j.withColumn("exact", F.when(held, F.struct(F.lit(0).cast("long").alias("e_row"), score.alias("score"), empty.alias("empty"))).otherwise(F.col("exact"))).drop("a_key", "a_stored"), "verdicts")
     left = j.where("amount_cents is not null and date is not null and ref_row is null and not by_ref and exact is null")
     pairs = left.join(around(same), ["amount_cents", "date"]).where(F.col("a_key") < key).withColumn("score", similarity(F.col("description"), F.col("a_stored")))
     batch_near = pairs.where(F.col("score") >= WEAK_SIMILARITY).groupBy("record_id").agg(F.max("score").alias("a_score"))

@@ -9,17 +9,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallyweave.functions.text import fingerprint, text
 from tallyweave.operators import aggregates, layout, mapping, sheet as sheets, verify
 from tallyweave.operators.mapping import Profile
 from tallyweave.operators.matching import batch_verdicts, usable
+from tallyweave.scratch import numbered, written
 
 MESSAGES = {
     "nothing_extracted": "No records were found for this sheet.",
     "unsafe_to_match": "The sheet has rows but none has a readable date and amount, so nothing can be checked. Nothing was written.",
-    "no_new_records": "0 new records. 100% duplicate history.",
+    "no_new_records": "Everything here is in the sheet already.",
 }
 
 
@@ -69,12 +70,9 @@ def held_back_flags(judged: DataFrame, sheet: str) -> DataFrame:
 
 
 def placed(judged: DataFrame, by_date: bool = True) -> DataFrame:
-    """New records with ``position`` from 0, in the order they are appended.
-
-    An append goes to one sheet of at most a million rows, so one window over it is bounded.
-    """
+    """New records with ``position`` from 0, in the order they are appended: a sort by ranges, in no single task."""
     order = [F.col("date").asc_nulls_last(), text("description").asc(), F.col("input_ord").asc()] if by_date else [F.col("input_ord").asc()]
-    return judged.where("status = 'new'").withColumn("position", F.row_number().over(W.orderBy(*order)) - 1)
+    return numbered(judged.where("status = 'new'"), order).withColumn("position", F.col("position").cast("int"))
 
 
 def insertion_row(last_data_row: int, header_row: int) -> int:
@@ -96,7 +94,8 @@ def plan_append(records: DataFrame, cells: DataFrame, profile: Profile, as_of_ye
         n = existing.agg(F.count("*").alias("rows"), F.count_if(usable(existing)).alias("usable")).first()
         if span["row_count"] > 0 and n["usable"] == 0:
             return Plan("unsafe_to_match", MESSAGES["unsafe_to_match"], None, None)
-    judged = audit(records, existing, profile.kinds, profile.sort_by_date, profile.skip_duplicates).cache()
+    judged = audit(records, existing, profile.kinds, profile.sort_by_date, profile.skip_duplicates)
+    judged = written(judged, "audit")
     flags = held_back_flags(judged, profile.sheet)
     if judged.where("status = 'new'").isEmpty():
         return Plan("no_new_records", MESSAGES["no_new_records"], judged, flags)
@@ -162,9 +161,28 @@ def state_rows(added: DataFrame, stamp: str) -> DataFrame:
 
 
 def payload(plan: Plan, profile: Profile) -> DataFrame:
-    """One row of JSON: status, message, counts by verdict, first new row."""
+    """One row of JSON: status, message, counts by verdict, first new row, and whether there is something to append.
+
+    The rows and flags that belong to it are ``payload_lines``.
+    """
+    can = F.lit(plan.status in ("ready", "dry_run", "written")) & (F.coalesce(F.element_at("counts", F.lit("new")), F.lit(0)) > 0)
     counts = plan.audit.groupBy("status").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("status", "n"))).alias("counts"))
-    return counts.select(F.to_json(F.struct(F.lit(plan.status).alias("status"), F.lit(plan.message).alias("message"), F.lit(profile.sheet).alias("sheet"), "counts", F.lit(plan.first_row).alias("first_new_row"))).alias("json"))
+    return counts.select(F.to_json(F.struct(F.lit(plan.status).alias("status"), F.lit(plan.message).alias("message"), F.lit(profile.sheet).alias("sheet"), "counts", F.lit(plan.first_row).alias("first_new_row"), can.alias("can_append"))).alias("json"))
+
+
+def payload_lines(plan: Plan, profile: Profile) -> DataFrame:
+    """(part, json): a line for each audited row and each flag; as many as there are, so they stay distributed."""
+    rows = audit_rows(plan.audit, profile).select(F.lit("rows").alias("part"), F.to_json(F.struct("record_id", "status", "row", "cells", "rank")).alias("json"))
+    return rows.unionByName(plan.flags.select(F.lit("flags").alias("part"), F.to_json(F.struct(*plan.flags.columns)).alias("json")))
+
+
+def append_counts(plan: Plan) -> DataFrame:
+    """One row: added, skipped_duplicates (certain and probable ones), unmatchable, other_kind, file_written."""
+    def n(*statuses: str):
+        return F.count_if(F.col("status").isin(*statuses))
+
+    return plan.audit.agg(n("new").alias("added"), n("duplicate", "probable_duplicate").alias("skipped_duplicates"), n("unmatchable").alias("unmatchable"),
+                          n("other_kind").alias("other_kind")).withColumn("file_written", F.lit(plan.status == "written"))
 
 
 def audit_rows(judged: DataFrame, profile: Profile) -> DataFrame:
