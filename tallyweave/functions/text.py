@@ -67,13 +67,17 @@ def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp ratio of two normalised texts; not symmetric."""
     from difflib import SequenceMatcher
 
-    return pd.Series([0.0 if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(left, right)], dtype="float64")
+    pairs = list(zip(left, right))
+    known = {p: SequenceMatcher(None, *p).ratio() for p in set(pairs) if None not in p}
+    return pd.Series([known.get(p, 0.0) for p in pairs], dtype="float64")
 
 
 def similarity(left: Column | str, right: Column | str) -> Column:
     """How alike two descriptions are, 0 to 1: the largest of sequence ratio and token scores."""
     a, b = normalize(left), normalize(right)
-    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(F.greatest(sequence_ratio(a, b), token_similarity(left, right)))
+    open_ = (a != "") & (b != "") & (a != b)  # other pairs reach Python as nulls, as a condition around it would not keep them away
+    ratio = sequence_ratio(F.when(open_, a), F.when(open_, b))
+    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(F.greatest(ratio, token_similarity(left, right)))
 
 
 def reference_in(c: Column | str) -> Column:

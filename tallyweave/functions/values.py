@@ -15,24 +15,28 @@ from tallyweave.schema import MONEY_PATTERN, MONEY_TOKEN
 def parse_money(c: Column | str, eu_format: bool = False) -> Column:
     """decimal(38,6) of a money text, or null: signs, parentheses, CR/DR, grouping, a lone decimal comma."""
     raw = strip(col(c))
-
-    def group(k: int) -> Column:
-        return F.regexp_extract(raw, MONEY_PATTERN, k)
-
-    num = group(3)
-    if eu_format:
-        plain = F.replace(F.replace(F.replace(num, F.lit("."), F.lit("")), F.lit(" "), F.lit("")), F.lit(","), F.lit("."))
-    else:
-        comma, dot = num.contains(","), num.contains(".")
-        no_commas = F.replace(num, F.lit(","), F.lit(""))
-        tail = F.substring_index(num, ",", -1)
-        head = F.replace(num.substr(F.lit(1), F.length(num) - F.length(tail) - 1), F.lit(","), F.lit(""))
-        plain = F.when(comma & dot, no_commas).when(comma & F.length(tail).isin(1, 2), F.concat(head, F.lit("."), tail)).when(comma, no_commas).otherwise(num)
-        plain = F.replace(plain, F.lit(" "), F.lit(""))
-    value = plain.try_cast("decimal(38,6)")
-    suffix = F.upper(group(5))
-    negative = ((group(1) != "") & (group(4) != "")) | (group(2) == "-") | suffix.isin("DR", "-")
-    return F.when(raw.isNull() | raw.isin("", "-", "--", ".") | ~raw.rlike(MONEY_PATTERN), None).when(negative & (suffix != "CR"), -value).otherwise(value)
+    # one match gives all groups; texts that don't match give a single part
+    parts = F.split(F.regexp_replace(raw, MONEY_PATTERN, "$1\u0001$2\u0001$3\u0001$4\u0001$5"), "\u0001")
+
+    def value(g: Column) -> Column:
+        num = g[2]
+        if eu_format:
+            plain = F.replace(F.replace(F.replace(num, F.lit("."), F.lit("")), F.lit(" "), F.lit("")), F.lit(","), F.lit("."))
+        else:
+            comma, dot = num.contains(","), num.contains(".")
+            no_commas = F.replace(num, F.lit(","), F.lit(""))
+            tail = F.substring_index(num, ",", -1)
+            head = F.replace(num.substr(F.lit(1), F.length(num) - F.length(tail) - 1), F.lit(","), F.lit(""))
+            plain = F.when(comma & dot, no_commas).when(comma & F.length(tail).isin(1, 2), F.concat(head, F.lit("."), tail)).when(comma, no_commas).otherwise(num)
+            plain = F.replace(plain, F.lit(" "), F.lit(""))
+        amount = plain.try_cast("decimal(38,6)")
+        suffix = F.upper(g[4])
+        negative = ((g[0] != "") & (g[3] != "")) | (g[1] == "-") | suffix.isin("DR", "-")
+        return F.when(negative & (suffix != "CR"), -amount).otherwise(amount)
+
+    # bound by a lambda, so that the match is made once even inside other lambdas
+    matched = F.filter(F.array(F.when(~raw.contains("\u0001"), parts)), lambda g: F.size(g) == 5)
+    return F.get(F.transform(matched, value), 0)
 
 
 def is_money_token(c: Column | str) -> Column:
@@ -49,6 +53,15 @@ def cents(c: Column | str) -> Column:
     return F.bround(F.abs(col(c).cast("string").try_cast("decimal(38,6)")) * 100, 0).cast("long")
 
 
+def number_text(c: Column | str) -> Column:
+    """A stored number as its cell reads it: whole numbers without a point, none with an exponent."""
+    n = col(c)
+    whole = n.try_cast("decimal(38,0)")
+    plain = F.regexp_replace(n.try_cast("decimal(38,15)").cast("string"), r"\.?0+$", "")
+    said = n.cast("string")
+    return F.when(n == whole.cast("double"), whole.cast("string")).otherwise(F.when(said.contains("E"), plain).otherwise(said))
+
+
 def numeric_cell(vtype: Column | str, v_num: Column | str) -> Column:
     """Numbers only: a text that looks like money is not read from a stored cell."""
     return F.when(col(vtype) == "n", col(v_num).cast("string").try_cast("decimal(38,6)"))
@@ -83,6 +96,16 @@ def parse_date(raw: pd.Series, dayfirst: pd.Series, year: pd.Series) -> pd.Serie
     return pd.Series([one(*x) for x in zip(raw, dayfirst, year)], dtype="object")
 
 
+def parse_any_date(raw: Column, dayfirst: Column, year: Column) -> Column:
+    """``parse_date``, with dates of two numbers and a year of four digits read without Python."""
+    said = F.trim(F.regexp_replace(raw, r"(?U)\s+", " "))
+    plain = said.rlike(r"^[0-9]{1,2}([/-])[0-9]{1,2}\1[0-9]{4}$")
+    slashed = F.translate(said, "-", "/")
+    month_first, day_first = (F.try_to_timestamp(slashed, F.lit(f)).cast("date") for f in ("M/d/yyyy", "d/M/yyyy"))
+    read = F.when(plain, F.when(dayfirst, F.coalesce(day_first, month_first)).otherwise(F.coalesce(month_first, day_first)))
+    return F.coalesce(read, parse_date(F.when(~plain, raw), dayfirst, year))
+
+
 def dayfirst_of(sample: Column | str) -> Column:
     """What one sample says: true, false, or null if it is not decisive."""
     a = F.nullif(F.regexp_extract(col(sample), r"^\s*(\d{1,2})[/-](\d{1,2})[/-]", 1), F.lit("")).cast("int")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyweave.functions.text import blank, header_key, strip, text
+from tallyweave.functions.values import number_text
 from tallyweave.schema import HEADER_ROWS, NOT_A_LABEL, SAMPLE_ROWS, SAMPLES, SCORED_ROWS, TOTAL_FORMULA, TOTAL_WORDS
 
 
@@ -67,7 +68,7 @@ def describe_columns(cells: DataFrame, spans: DataFrame) -> DataFrame:
     """One row for each column of each sheet: header, formula template, number format, samples, inferred type."""
     c = cells.join(F.broadcast(spans), "sheet").where(F.col("col").between(F.col("first_col"), F.col("last_col")))
     sample = (F.col("row") >= F.col("first_data_row")) & (F.col("row") <= F.least(F.col("last_data_row"), F.col("first_data_row") + SAMPLE_ROWS - 1)) & ~is_blank()
-    shown = F.coalesce(cell_text(), F.col("v_date").cast("string"), F.col("v_num").cast("string"))
+    shown = F.coalesce(cell_text(), F.col("v_date").cast("string"), number_text("v_num"))
     format_row = F.greatest(F.col("first_data_row"), F.least(F.col("last_data_row"), F.col("first_data_row")))
     got = c.groupBy("sheet", "col").agg(
         F.max(F.when(F.col("row") == F.col("header_row"), strip(shown))).alias("header"),
@@ -80,6 +81,12 @@ def describe_columns(cells: DataFrame, spans: DataFrame) -> DataFrame:
                       inferred_type(F.col("dates"), F.col("numbers"), F.col("number_format")).alias("inferred_type"))
 
 
+def with_table_names(spans: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``spans`` with ``table_name``: the sheet's first table by name, from ranges (sheet, kind, name, ref); null without one."""
+    first = ranges.where("kind = 'table'").groupBy("sheet").agg(F.min("name").alias("table_name"))
+    return spans.drop("table_name").join(first, "sheet", "left")
+
+
 def column_letter(n: Column) -> Column:
     """1 -> A, 27 -> AA, up to three letters."""
     def letter(x: Column) -> Column:

@@ -93,7 +93,7 @@ def existing_rows_of(cells: DataFrame, mapped: DataFrame, spans: DataFrame, as_o
     else the total; formulas and text money are not read.
     """
     from tallyweave.functions.text import first_filled, text
-    from tallyweave.functions.values import cents, coerce_date, numeric_cell
+    from tallyweave.functions.values import cents, coerce_date, number_text, numeric_cell
 
     inside = cells.where("formula is null").join(F.broadcast(spans.select("sheet", "first_data_row", "last_data_row")), "sheet").where("row between first_data_row and last_data_row")
     c = inside.join(F.broadcast(mapped.select("sheet", "col", "field")), ["sheet", "col"])
@@ -102,7 +102,7 @@ def existing_rows_of(cells: DataFrame, mapped: DataFrame, spans: DataFrame, as_o
         return F.max(F.when(F.col("field") == f, numeric_cell("vtype", "v_num"))).alias(f)
 
     def string(f: str) -> Column:
-        shown = F.coalesce("v_str", F.col("v_num").cast("string"), F.col("v_date").cast("string"))
+        shown = F.coalesce("v_str", number_text("v_num"), F.col("v_date").cast("string"))
         return F.max(F.when(F.col("field") == f, shown)).alias(f)
 
     rows = c.groupBy("sheet", "row").agg(*[number(f) for f in ("amount", "deposit", "withdrawal", "total")], *[string(f) for f in ("description", "payee", "vendor", "reference")],

@@ -84,6 +84,6 @@ ITEM_HEADER = r"(?i)\b(description|item|details|service|product|qty|quantity)\b"
 VENDOR_NOISE = r"(?i)^\s*(invoice|tax invoice|bill|statement|receipt|proforma)\s*$"
 MONEY_ROLES = ("withdrawal", "deposit", "amount", "balance")
 INVOICE_ONLY, BANK_ONLY = ("vendor", "tax", "subtotal", "total"), ("deposit", "withdrawal", "balance")
-NO_AMOUNT = "No amount could be read, so this cannot be checked against the rows already present."
+NO_AMOUNT = "Without an amount nothing can be compared."
 #: Widths by which the outermost statement columns reach beyond their captions (half of each counts).
 LEFT_MARGIN, RIGHT_MARGIN, LEAST_OVERLAP = 40.0, 60.0, 0.25
