@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweave.functions.text import fingerprint, strip
-from tallyweave.functions.values import infer_dayfirst, is_money_token, parse_date, parse_money
+from tallyweave.functions.values import infer_dayfirst, is_money_token, parse_any_date, parse_money
+from tallyweave.operators.statements import bodies
 from tallyweave.schema import DATE_LABEL, INVOICE_NUMBER, ITEM_HEADER, MOST_ITEMS, OTHER_DATE, TOTAL_LABELS, VENDOR_LINES, VENDOR_NOISE
 
 
@@ -27,7 +28,7 @@ def invoice_dates(lines: DataFrame, as_of_year: int) -> DataFrame:
     dayfirst = infer_dayfirst(lines.select("source", F.col("line_no").alias("ord"), F.col("text").alias("sample")), ["source"])
     labelled = lines.where(F.col("text").rlike(DATE_LABEL) & ~F.col("text").rlike(OTHER_DATE)).join(dayfirst, "source")
     raw = F.regexp_replace(F.regexp_extract("text", DATE_LABEL, 2), "^[ :#]+|[ :#]+$", "")
-    read = labelled.withColumn("raw", raw).withColumn("date", parse_date(F.col("raw"), F.col("dayfirst"), F.lit(as_of_year)))
+    read = labelled.withColumn("raw", raw).withColumn("date", parse_any_date(F.col("raw"), F.col("dayfirst"), F.lit(as_of_year)))
     got = read.groupBy("source").agg(F.min_by("date", F.when(F.col("date").isNotNull(), F.col("line_no"))).alias("date"), F.max_by("raw", F.when(F.col("date").isNull(), F.col("line_no"))).alias("raw"))
     return got.select("source", "date", F.when(F.col("date").isNull(), F.col("raw")).alias("unread"))
 
@@ -42,10 +43,12 @@ def labelled_amounts(lines: DataFrame) -> DataFrame:
     Which label a line serves depends on the lines before, so a document's lines
     with amounts are folded in order.
     """
-    amounts = F.filter(F.transform("words", lambda w: F.when(is_amount(w["text"]), parse_money(w["text"]))), lambda x: x.isNotNull())
-    says = lines.select("source", "line_no", F.get(amounts, F.size(amounts) - 1).alias("value"),
-                        *[F.col("text").rlike(p).alias(k) for k, p in TOTAL_LABELS])
-    useful = says.where(F.col("value").isNotNull() & (F.col("total") | F.col("tax") | F.col("subtotal")))
+    labelled = lines.select("source", "line_no", "words", *[F.col("text").rlike(p).alias(k) for k, p in TOTAL_LABELS]).where("total or tax or subtotal")
+    tokens = labelled.withColumn("tokens", F.filter(F.transform("words", lambda w: w["text"]), is_money_token))
+    # nearly always the last such word is the amount; only else are those before it read
+    before = F.filter(F.transform(F.slice("tokens", F.lit(1), F.greatest(F.size("tokens") - 1, F.lit(0))), lambda w: parse_money(w)), lambda x: x.isNotNull())
+    value = F.coalesce(parse_money(F.try_element_at("tokens", F.lit(-1))), F.try_element_at(before, F.lit(-1)))
+    useful = tokens.select("source", "line_no", value.alias("value"), "total", "tax", "subtotal").where("value is not null")
     listed = useful.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("line_no", "value", "total", "tax", "subtotal"))).alias("l"))
     none = F.lit(None).cast("decimal(38,6)")
     start = F.struct(none.alias("total"), none.alias("tax"), none.alias("subtotal"))
@@ -86,7 +89,7 @@ def arithmetic_off(subtotal: Column, tax: Column, total: Column) -> Column:
 
 def parse_invoices(lines: DataFrame, as_of_year: int) -> tuple[DataFrame, DataFrame]:
     """(records, flags) from the lines of invoices (see ``statements.lines_of``)."""
-    body = lines.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]), "\n").alias("body"))
+    body = bodies(lines).withColumnRenamed("text", "body")
     value = F.array_max(F.transform("words", lambda w: F.when(is_money_token(w["text"]), parse_money(w["text"]))))
     largest = lines.groupBy("source").agg(F.max(value).alias("largest"))
     d = body

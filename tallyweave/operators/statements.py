@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyweave.functions.text import fingerprint, reference_in, strip, year_in
-from tallyweave.functions.values import infer_dayfirst, is_money_token, parse_date, parse_money
+from tallyweave.functions.values import dayfirst_of, is_money_token, parse_any_date, parse_money
 from tallyweave.schema import (ANCHOR_LINES, COLUMN_ROLES, CURRENCY_SHAPED, DATE_AT_START, DATED_ROW, INVOICE_HINTS, LEAST_OVERLAP, LEFT_MARGIN,
                                MONEY_ROLES, RIGHT_MARGIN, STATEMENT_HINTS, STATEMENT_NOISE)
 
@@ -16,18 +15,21 @@ LINE = ["source", "page", "line"]
 def group_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """Words with ``line``: in order of rounded top, a word joins a line if within ``tolerance`` of the line's first word.
 
-    The rule looks back to a line's first word, so it is a fold over one page's words.
+    The rule looks back to a line's first word, so it is a fold over one page's
+    words: an array, as a page has few of them.
     """
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.assign(_t=page["top"].round(1)).sort_values(["_t", "x0"], kind="stable")
-        line, anchor, out = -1, None, []
-        for top in page["top"]:
-            if anchor is None or abs(top - anchor) > tolerance:
-                line, anchor = line + 1, top
-            out.append(line)
-        return page.drop(columns="_t").assign(line=out)
+    word = F.struct(F.bround("top", 1).alias("t"), "x0", "word_id", "text", "x1", "top", "size")
+    pages = words.groupBy("source", "page").agg(F.array_sort(F.collect_list(word)).alias("w"))
+    start = F.struct(F.lit(-1).alias("line"), F.lit(None).cast("double").alias("anchor"), F.array().cast("array<int>").alias("lines"))
 
-    return words.groupBy("source", "page").applyInPandas(fold, "source string, page int, word_id int, text string, x0 double, x1 double, top double, size double, line int")
+    def step(acc: Column, w: Column) -> Column:
+        new = acc["anchor"].isNull() | (F.abs(w["top"] - acc["anchor"]) > tolerance)
+        line = acc["line"] + F.when(new, 1).otherwise(0)
+        return F.struct(line.alias("line"), F.when(new, w["top"]).otherwise(acc["anchor"]).alias("anchor"), F.array_append(acc["lines"], line).alias("lines"))
+
+    dealt = pages.select("source", "page", "w", F.aggregate("w", start, step, lambda acc: acc["lines"]).alias("line"))
+    return dealt.select("source", "page", F.explode(F.arrays_zip("w", "line")).alias("x")).select(
+        "source", "page", "x.w.word_id", "x.w.text", "x.w.x0", "x.w.x1", "x.w.top", "x.w.size", "x.line")
 
 
 def lines_of(words: DataFrame) -> DataFrame:
@@ -43,26 +45,31 @@ def classify(documents: DataFrame, body: str = "text") -> DataFrame:
     return documents.withColumn("doc_kind", F.when(statement > F.regexp_count(F.col(body), F.lit(INVOICE_HINTS)), "statement").otherwise("invoice"))
 
 
+def bodies(lines: DataFrame) -> DataFrame:
+    """(source, text): a document's lines as one text."""
+    return lines.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]), "\n").alias("text"))
+
+
 def role_of(word: Column | str) -> Column:
     key = F.trim(F.regexp_replace(F.lower(F.col(word) if isinstance(word, str) else word), "[^a-z ]", ""))
     table = F.create_map(*[F.lit(x) for kv in COLUMN_ROLES.items() for x in kv])
     return F.element_at(table, key)
 
 
-def find_anchors(words: DataFrame, numbered: DataFrame) -> DataFrame:
+def find_anchors(lines: DataFrame) -> DataFrame:
     """(source, role, x0, x1, ord): column captions of the header line among the first lines, widened to bands.
 
     Neighbouring captions of one role merge. The header has a date and a money
     column; most captions win, the first of equals.
     """
-    top = words.join(numbered.where(F.col("line_no") <= ANCHOR_LINES).select(*LINE, "line_no"), LINE).withColumn("role", role_of("text")).where("role is not null")
+    top = lines.where(F.col("line_no") <= ANCHOR_LINES).select("source", "line_no", F.explode("words").alias("w")).select("source", "line_no", "w.*").withColumn("role", role_of("text")).where("role is not null")
     in_line = W.partitionBy("source", "line_no").orderBy("x0", "word_id")
     run = top.withColumn("new", (F.col("role") != F.coalesce(F.lag("role").over(in_line), F.lit(""))).cast("int")).withColumn("run", F.sum("new").over(in_line))
     merged = run.groupBy("source", "line_no", "run", "role").agg(F.min_by("x0", F.struct("x0", "word_id")).alias("x0"), F.max_by("x1", F.struct("x0", "word_id")).alias("x1"))
-    lines = merged.groupBy("source", "line_no").agg(F.count("*").alias("n"), F.collect_set("role").alias("roles"))
-    ok = lines.where(F.array_contains("roles", "date") & F.arrays_overlap("roles", F.array(*map(F.lit, MONEY_ROLES))))
-    best = ok.groupBy("source").agg(F.max_by("line_no", F.struct("n", -F.col("line_no"))).alias("line_no"))
-    return widen(merged.join(best, ["source", "line_no"]).select("source", "role", "x0", "x1"))
+    captions = merged.groupBy("source", "line_no").agg(F.count("*").alias("n"), F.collect_set("role").alias("roles"), F.collect_list(F.struct("role", "x0", "x1")).alias("c"))
+    ok = captions.where(F.array_contains("roles", "date") & F.arrays_overlap("roles", F.array(*map(F.lit, MONEY_ROLES))))
+    best = ok.groupBy("source").agg(F.max_by("c", F.struct("n", -F.col("line_no"))).alias("c"))
+    return widen(best.select("source", F.explode("c").alias("c")).select("source", "c.*"))
 
 
 def widen(anchors: DataFrame) -> DataFrame:
@@ -73,37 +80,38 @@ def widen(anchors: DataFrame) -> DataFrame:
     return anchors.select("source", "role", ((left + F.col("x0")) / 2).alias("x0"), ((F.col("x1") + right) / 2).alias("x1"), F.row_number().over(w).alias("ord"))
 
 
-def assign_roles(words: DataFrame, anchors: DataFrame) -> DataFrame:
-    """``words`` with ``role``: the band that covers most of the word, above a quarter; the leftmost of equals.
-
-    A document's bands are few: they join as one array a document.
-    """
-    bands = anchors.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("ord", "role", F.col("x0").alias("a"), F.col("x1").alias("b")))).alias("bands"))
-    span = F.greatest(F.col("x1") - F.col("x0"), F.lit(0.1))
+def best_role(word: Column) -> Column:
+    """The band of column ``bands`` that covers most of the word, above a quarter; the leftmost of equals."""
+    span = F.greatest(word["x1"] - word["x0"], F.lit(0.1))
 
     def step(best: Column, band: Column) -> Column:
-        o = F.greatest(F.lit(0.0), F.least(band["b"], F.col("x1")) - F.greatest(band["a"], F.col("x0"))) / span
+        o = F.greatest(F.lit(0.0), F.least(band["b"], word["x1"]) - F.greatest(band["a"], word["x0"])) / span
         return F.when(o > best["o"], F.struct(o.alias("o"), band["role"].alias("role"))).otherwise(best)
 
     start = F.struct(F.lit(0.0).alias("o"), F.lit(None).cast("string").alias("role"))
-    best = F.aggregate(F.coalesce("bands", F.array().cast("array<struct<ord:int,role:string,a:double,b:double>>")), start, step)
-    return (words.join(bands, "source", "left").withColumn("has_anchors", F.col("bands").isNotNull()).withColumn("_best", best)
-            .withColumn("role", F.when(F.col("_best.o") > LEAST_OVERLAP, F.col("_best.role"))).drop("bands", "_best"))
+    bands = F.coalesce("bands", F.array().cast("array<struct<ord:int,role:string,a:double,b:double>>"))
+    return F.aggregate(bands, start, step, lambda best: F.when(best["o"] > LEAST_OVERLAP, best["role"]))
 
 
-def money_words(words: DataFrame) -> DataFrame:
-    """``words`` (with roles) and ``money``, their value if they count as an amount, else null.
+def with_money(lines: DataFrame, anchors: DataFrame) -> DataFrame:
+    """``lines`` with has_anchors and ``words`` of (text, role, money): the role of each word, and its value if it counts as an amount.
 
     A number counts in a money column, or outside all columns if written like
-    currency; where a column has several, those written like currency win.
+    currency; where a column has several, those written like currency win. A
+    document's bands are few: they join as one array a document.
     """
-    value = parse_money("text")
-    shaped = F.col("text").rlike(CURRENCY_SHAPED)
-    candidate = is_money_token("text") & value.isNotNull() & (F.col("role").isin(*MONEY_ROLES) | (F.col("role").isNull() & shaped))
-    w = words.withColumn("_c", F.coalesce(candidate, F.lit(False))).withColumn("_shaped", F.coalesce(F.col("_c") & shaped, F.lit(False)))
-    same = W.partitionBy(*LINE, "role", "_c")
-    w = w.withColumn("_any", F.max("_shaped").over(same))
-    return w.withColumn("money", F.when(F.col("_c") & (F.col("_shaped") | ~F.col("_any")), value)).drop("_c", "_shaped", "_any")
+    bands = anchors.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("ord", "role", F.col("x0").alias("a"), F.col("x1").alias("b")))).alias("bands"))
+    placed = lines.join(bands, "source", "left").withColumn("placed", F.transform("words", lambda w: F.struct(
+        w["text"].alias("text"), best_role(w).alias("role"), F.when(is_money_token(w["text"]), parse_money(w["text"])).alias("value"), w["text"].rlike(CURRENCY_SHAPED).alias("shaped"))))
+
+    def counts(w: Column) -> Column:
+        return w["value"].isNotNull() & F.coalesce(w["role"].isin(*MONEY_ROLES), w["shaped"])
+
+    def beaten(w: Column) -> Column:
+        return ~w["shaped"] & F.exists("placed", lambda v: counts(v) & v["shaped"] & v["role"].eqNullSafe(w["role"]))
+
+    words = F.transform("placed", lambda w: F.struct(w["text"].alias("text"), w["role"].alias("role"), F.when(counts(w) & ~beaten(w), w["value"]).alias("money")))
+    return placed.withColumn("words", words).withColumn("has_anchors", F.col("bands").isNotNull()).drop("placed", "bands")
 
 
 def description_of(words: Column, leading: Column) -> Column:
@@ -138,18 +146,15 @@ def parse_statements(words: DataFrame, as_of_year: int) -> tuple[DataFrame, Data
     are windows over a document's lines. The year for dates without one is the
     document's first year, else ``as_of_year``.
     """
-    numbered = lines_of(words)
-    body = numbered.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]), "\n").alias("body"))
-    starts = numbered.withColumn("lead", F.regexp_extract("text", DATE_AT_START, 1))
-    dayfirst = infer_dayfirst(starts.where("lead <> ''").select("source", F.col("line_no").alias("ord"), F.col("lead").alias("sample")), ["source"])
-    hints = body.select("source", F.coalesce(year_in("body"), F.lit(as_of_year)).alias("year")).join(dayfirst, "source", "left")
-    marked = money_words(assign_roles(words, find_anchors(words, numbered)))
-    lines = (marked.groupBy(*LINE).agg(F.array_sort(F.collect_list(F.struct("x0", "word_id", "text", "role", "money"))).alias("words"), F.max("has_anchors").alias("has_anchors"))
-             .join(starts.select(*LINE, "line_no", "text", "lead"), LINE).join(hints, "source", "left"))
+    numbered = lines_of(words).withColumn("lead", F.regexp_extract("text", DATE_AT_START, 1))
+    year, says = year_in("text"), dayfirst_of("lead")
+    hints = numbered.groupBy("source").agg(F.coalesce(F.min_by(year, F.when(year.isNotNull(), F.col("line_no"))), F.lit(as_of_year)).alias("year"),
+                                           F.coalesce(F.min_by(says, F.when(says.isNotNull(), F.col("line_no"))), F.lit(False)).alias("dayfirst"))
+    lines = with_money(numbered, find_anchors(numbered)).join(hints, "source")
     live = lines.where((strip("text") != "") & ~F.col("text").rlike(STATEMENT_NOISE))
     money = F.filter("words", lambda w: w["money"].isNotNull())
     loose = F.filter("words", lambda w: w["money"].isNotNull() & w["role"].isNull())
-    r = live.withColumn("dated", F.col("lead") != "").withColumn("when", F.when(F.col("dated"), parse_date(F.col("lead"), F.coalesce("dayfirst", F.lit(False)), F.col("year")))).withColumn("n_money", F.size(money))
+    r = live.withColumn("dated", F.col("lead") != "").withColumn("when", F.when(F.col("dated"), parse_any_date(F.col("lead"), F.col("dayfirst"), F.col("year")))).withColumn("n_money", F.size(money))
     for c in ("deposit", "withdrawal", "balance", "amount"):
         r = r.withColumn(c, single(F.col("words"), c))
     fallback = ~F.col("has_anchors") | (F.col("deposit").isNull() & F.col("withdrawal").isNull() & F.col("amount").isNull())
@@ -185,10 +190,10 @@ def parse_statements(words: DataFrame, as_of_year: int) -> tuple[DataFrame, Data
     def flag(df: DataFrame, field: str, raw: Column, reason: Column, key: Column | None = None) -> DataFrame:
         return df.select("source", where.alias("location"), F.lit(field).alias("field"), raw.alias("raw"), reason.alias("reason"), (F.lit("") if key is None else key).alias("row_key"))
 
-    unread = flag(r.where("dated and when is null"), "date", F.col("lead"), F.lit("Date text could not be read unambiguously."))
-    crowd = flag(r.where("accepted").where(F.col("_fallback") & (F.size("_values") > 2)), "amount", F.substring("text", 1, 80), F.concat(F.size("_values"), F.lit(" amounts on one row with no column header to tell them apart.")))
+    unread = flag(r.where("dated and when is null"), "date", F.col("lead"), F.lit("No date can be read here."))
+    crowd = flag(r.where("accepted").where(F.col("_fallback") & (F.size("_values") > 2)), "amount", F.substring("text", 1, 80), F.concat(F.size("_values"), F.lit(" amounts in one line, and no captions that say which is which.")))
     keyed = rows.where(off).withColumn("kind", F.lit("transaction")).withColumn("vendor", F.lit("")).withColumn("reference", reference_in("description"))
-    wrong = flag(keyed, "amount", F.substring("text", 1, 80), F.concat(F.lit("Amount "), F.col("net").cast(money_type), F.lit(" does not reconcile with the balance change of "), implied.cast(money_type), F.lit(".")),
+    wrong = flag(keyed, "amount", F.substring("text", 1, 80), F.concat(F.lit("The balance does not move by "), F.col("net").cast(money_type), F.lit(" but by "), implied.cast(money_type), F.lit(".")),
                  fingerprint(date="when", amount="net", total="net"))
     return records, unread.unionByName(crowd).unionByName(wrong)
 
