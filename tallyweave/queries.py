@@ -10,6 +10,7 @@ from tallyweave import bindings as b
 from tallyweave.functions import text as t, values as v
 from tallyweave.operators import aggregates, invoices, layout, mapping, matching, sheet, statements, verify
 from tallyweave.plans import append
+from tallyweave.scratch import written
 from tallyweave.schema import INVOICE_HINTS, NOISE_TOKENS, STATEMENT_HINTS, SYNONYMS
 from tallyweave.sources import documents
 
@@ -21,10 +22,11 @@ ORD = "case when date is null then 1 else 0 end, date, description, input_ord"
 
 def query(sql: str | None = None, money: tuple[str, ...] = ()):
     """Register a query and its SQL. Columns in ``money`` leave as doubles on both sides, which every client reads alike."""
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = (lambda spark, d: f(spark, d).withColumns({c: F.col(c).cast("double") for c in money})) if money else f
+    def add(f: Query, name: str = "") -> Query:
+        name = name or f.__name__
+        QUERIES[name] = (lambda spark, d: f(spark, d).withColumns({c: F.col(c).cast("double") for c in money})) if money else f
         if sql:
-            ORACLES[f.__name__] = f"select * replace ({', '.join(f'{c}::DOUBLE as {c}' for c in money)}) from ({sql})" if money else sql
+            ORACLES[name] = f"select * replace ({', '.join(f'{c}::DOUBLE as {c}' for c in money)}) from ({sql})" if money else sql
         return f
 
     return add
@@ -200,12 +202,12 @@ def reference_extract(spark, d):
         F.lit("paid "), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Chq: A"), F.col("event_id"))).otherwise("none"), F.lit(" in "),
         F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(""), F.lit(2000) + F.col("event_id") % 30)).otherwise("x"), F.lit(" end")).alias("s"))
     e = e.withColumn("s", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("of "), (F.lit(2000) + F.col("event_id") % 30).cast("string"), F.lit(" "), F.col("s"))).otherwise(F.concat(F.lit("of x"), F.col("s"))))
-    return e.select("event_id", t.reference_in("s").alias("reference"), t.year_in(F.substring("s", 1, 8)).alias("year"))
+    return e.select("event_id", t.reference_in("s").alias("reference"), t.year_in("s").alias("year"))
 
 
 def cells(spark: SparkSession, d: str) -> DataFrame:
-    """Kept while layout, mapping and insertion pass over it several times; a sheet has at most a million rows."""
-    return b.relation(spark, d, b.CELLS).cache()
+    """Written once, as layout, mapping and insertion pass over it several times."""
+    return written(b.relation(spark, d, b.CELLS), "cells")
 
 
 # --- layout and mapping -----------------------------------------------------
@@ -240,7 +242,7 @@ def choose_sheet(spark, d):
 @query(f"""with c as ({b.CELLS}), m as (select sheet, max(row) filter (vtype = 'd') as last from c group by 1)
 select sheet, col::INT as col, letter, header, case when col = 5 then '=C' || last || '-D' || last end as formula_template, col = 5 as is_computed,
   case when col = 3 or col = 4 then coalesce((select max(number_format) from c where c.sheet = m.sheet and c.row = 4 and c.col = v.col), 'General') else fmt end as number_format,
-  case when col = 1 then 'date' when col = 5 then 'money' when col in (3, 4) then case when exists (select 1 from c where c.sheet = m.sheet and c.row = 4 and c.col = v.col) then 'money' else 'number' end else 'text' end as inferred_type
+  case when col = 1 then 'date' when col = 5 then 'money' when col in (3, 4) then case when exists (select 1 from c where c.sheet = m.sheet and c.row = 4 and c.col = v.col) then 'money' else 'number' end when col = 6 and exists (select 1 from c where c.sheet = m.sheet and c.col = 6 and c.row between 4 and least(m.last, 29) and c.vtype = 'n') then 'number' else 'text' end as inferred_type
 from m cross join (values (1, 'A', 'Date', 'yyyy-mm-dd'), (2, 'B', 'Description', 'General'), (3, 'C', 'Deposit', ''), (4, 'D', 'Withdrawal', ''), (5, 'E', 'Net', '#,##0.00'), (6, 'F', 'Invoice No', 'General')) v(col, letter, header, fmt)""")
 def column_types(spark, d):
     c = cells(spark, d)
@@ -270,26 +272,21 @@ def kinds_for(spark, d):
     return o.select("o_orderkey", F.array_join(mapping.kinds_for(F.col("f")), ",").alias("kinds"))
 
 
-@query(f"""with c as ({b.CELLS}) select sheet, row::BIGINT as row, max(v_date) as date, max(v_str) filter (col = 2) as description, max(v_str) filter (col = 6) as reference,
-  round_even(abs(coalesce(max(v_num) filter (col = 3), 0)::DECIMAL(18,2) - coalesce(max(v_num) filter (col = 4), 0)::DECIMAL(18,2)) * 100, 0)::BIGINT as amount_cents from c where row > 3 and sheet = 'S1' group by 1, 2 having max(v_date) is not null""")
-def existing_rows(spark, d):
-    c = cells(spark, d)
-    spans = layout.data_spans(c)
-    columns = layout.describe_columns(c, spans)
-    span = spans.where("sheet = 'S1'").first()
-    mapped = mapping.suggest_columns(columns).where("sheet = 'S1'")
-    return sheet.existing_rows(c, mapped, "S1", span["first_data_row"], span["last_data_row"], 2026).withColumn("sheet", F.lit("S1"))
+EXISTING_ROWS = f"""with c as ({b.CELLS}) select sheet, row::BIGINT as row, max(v_date) as date, max(v_str) filter (col = 2) as description, max(coalesce(v_str, v_num::BIGINT::VARCHAR)) filter (col = 6) as reference,
+  round_even(abs(coalesce(max(v_num) filter (col = 3), 0)::DECIMAL(18,2) - coalesce(max(v_num) filter (col = 4), 0)::DECIMAL(18,2)) * 100, 0)::BIGINT as amount_cents from c where row > 3 group by 1, 2 having max(v_date) is not null"""
 
 
-@query(f"""with c as ({b.CELLS}) select sheet, row::BIGINT as row, max(v_date) as date, max(v_str) filter (col = 2) as description, max(v_str) filter (col = 6) as reference,
-  round_even(abs(coalesce(max(v_num) filter (col = 3), 0)::DECIMAL(18,2) - coalesce(max(v_num) filter (col = 4), 0)::DECIMAL(18,2)) * 100, 0)::BIGINT as amount_cents from c where row > 3 group by 1, 2 having max(v_date) is not null""")
-def existing_rows_all(spark, d):
-    """``existing_rows`` of every sheet; that query keeps to the one sheet its SQL names."""
+@query(EXISTING_ROWS)
+def existing_rows(spark, d):
+    """Rows of all sheets of the book; a fifth of the references are stored as numbers."""
     c = cells(spark, d)
     spans = layout.data_spans(c)
     return sheet.existing_rows_of(c, mapping.suggest_columns(layout.describe_columns(c, spans)), spans, 2026)
 
 
+query(EXISTING_ROWS)(lambda spark, d: existing_rows(spark, d), "existing_rows_all")
+
+
 # --- inserting and proving ------------------------------------------------------
 
 
@@ -415,14 +412,14 @@ def labelled_amounts(spark, d):
 
 @query(f"select record_id::VARCHAR as source, reference as number from ({b.INVOICES})")
 def invoice_numbers(spark, d):
-    return invoice_lines(spark, d).where("line_no = 1").select("source", invoices.invoice_number("text").alias("number"))
+    return statements.bodies(invoice_lines(spark, d)).select("source", invoices.invoice_number("text").alias("number"))
 
 
 def statement_words(spark: SparkSession, d: str) -> DataFrame:
-    """Each user's events as a statement of positioned words: a caption line, then a line an event."""
+    """Each user's events as a statement of positioned words: a caption line, then a line an event, 50 lines a page."""
     s = b.relation(spark, d, b.STATEMENT).withColumn("n", F.expr("row_number() over (partition by user_id order by ts, event_id)"))
     captions = F.array(*[F.struct(F.lit(w).alias("text"), F.lit(float(x)).alias("x0"), F.lit(float(x + 40)).alias("x1")) for w, x in (("Date", 60), ("Description", 120), ("Withdrawal", 360), ("Deposit", 430), ("Balance", 505))])
-    head = s.select("user_id").distinct().select(F.col("user_id").cast("string").alias("source"), F.lit(10.0).alias("top"), F.posexplode(captions).alias("word_id", "w"))
+    head = s.select("user_id").distinct().select(F.col("user_id").cast("string").alias("source"), F.lit(1).alias("page"), F.lit(10.0).alias("top"), F.posexplode(captions).alias("word_id", "w"))
     money = F.col("amount").isNotNull()
     cells = F.array_compact(F.array(
         F.struct(F.date_format("ts", "MM/dd/yyyy").alias("text"), F.lit(60.0).alias("x0"), F.lit(110.0).alias("x1")),
@@ -430,23 +427,128 @@ def statement_words(spark: SparkSession, d: str) -> DataFrame:
         F.when(money & (F.col("amount") < 0), F.struct(F.format_number(-F.col("amount"), 2).alias("text"), F.lit(370.0).alias("x0"), F.lit(400.0).alias("x1"))),
         F.when(money & (F.col("amount") > 0), F.struct(F.format_number("amount", 2).alias("text"), F.lit(440.0).alias("x0"), F.lit(470.0).alias("x1"))),
         F.when(F.col("balance").isNotNull(), F.struct(F.when(F.col("balance") < 0, F.concat(F.lit("("), F.format_number(-F.col("balance"), 2), F.lit(")"))).otherwise(F.format_number("balance", 2)).alias("text"), F.lit(515.0).alias("x0"), F.lit(545.0).alias("x1")))))
-    body = s.select(F.col("user_id").cast("string").alias("source"), (F.lit(10.0) + F.col("n") * 12).alias("top"), F.posexplode(cells).alias("word_id", "w"))
-    return head.unionByName(body).select("source", F.lit(1).alias("page"), "word_id", "w.text", "w.x0", "w.x1", "top", F.lit(9.0).alias("size"))
+    body = s.select(F.col("user_id").cast("string").alias("source"), F.expr("cast(n div 50 + 1 as int)").alias("page"), (F.lit(10.0) + F.col("n") % 50 * 12).alias("top"), F.posexplode(cells).alias("word_id", "w"))
+    return head.unionByName(body).select("source", "page", "word_id", "w.text", "w.x0", "w.x1", "top", F.lit(9.0).alias("size"))
 
 
 @query(f"""select user_id::VARCHAR as source, cast(ts as date) as date, 'EVENT' || event_id as description, amount, balance, case when amount > 0 then amount end as deposit, case when amount < 0 then (-amount)::DECIMAL(18,2) end as withdrawal from ({b.STATEMENT})""", money=("amount", "balance", "deposit", "withdrawal",))
 def statement_records(spark, d):
-    records, _ = statements.parse_statements(statements.group_lines(statement_words(spark, d)).cache(), 2024)
+    records, _ = statements.parse_statements(statements.group_lines(statement_words(spark, d)), 2024)
     return records.select("source", "date", "description", "amount", "balance", "deposit", "withdrawal")
 
 
 @query(f"""select u.source, role, x0::DOUBLE as x0, x1::DOUBLE as x1, ord::INT as ord from (select distinct user_id::VARCHAR as source from ({b.STATEMENT})) u
   cross join (values ('date', 40, 110, 1), ('description', 110, 260, 2), ('withdrawal', 260, 415, 3), ('deposit', 415, 487.5, 4), ('balance', 487.5, 575, 5)) v(role, x0, x1, ord)""")
 def statement_anchors(spark, d):
-    words = statements.group_lines(statement_words(spark, d)).cache()
-    return statements.find_anchors(words, statements.lines_of(words))
+    return statements.find_anchors(statements.lines_of(statements.group_lines(statement_words(spark, d))))
 
 
-@query(f"""select count(*) as n, count(*) filter (fingerprint <> '') as with_key from (select 'x' as fingerprint from ({b.RECORDS}))""")
+def fingerprint_sql(columns: str = "") -> str:
+    return f"""substr(sha1(kind || '|' || coalesce(date::VARCHAR, '') || '|' || upper(trim(regexp_replace(case when coalesce(description, '') <> '' then description else coalesce(vendor, '') end, '\\s+', ' ', 'g'))) || '|' ||
+  upper(trim(regexp_replace(coalesce(reference, ''), '\\s+', ' ', 'g'))) || '|' || coalesce(coalesce(amount, total)::VARCHAR, '')), 1, 16)"""
+
+
+@query(f"""select {fingerprint_sql()} as fingerprint, '2026-01-01T00:00' as added, source, date, coalesce(amount, total) as amount from ({b.RECORDS})""", money=("amount",))
 def state_rows(spark, d):
-    return append.state_rows(b.relation(spark, d, b.RECORDS), "2026-01-01T00:00").agg(F.count("*").alias("n"), F.count_if(F.col("fingerprint") != "").alias("with_key"))
+    return append.state_rows(b.relation(spark, d, b.RECORDS), "2026-01-01T00:00")
+
+
+# --- what moves with an append --------------------------------------------------------
+
+
+def shifted(part: str) -> str:
+    """SQL of one part of a range of sheet S1 after 3 rows are put in above row 12."""
+    c1, r1, c2, r2 = (f"regexp_extract({part}, '^(\\$?[A-Z]+\\$?)(\\d+)(?::(\\$?[A-Z]+\\$?)(\\d+))?$', {k})" for k in (1, 2, 3, 4))
+    a, z = f"{r1}::INT", f"try_cast(nullif({r2}, '') as INT)"
+    return f"""case when {z} is null then {c1} || case when {a} >= 12 then {a} + 3 else {a} end when {a} >= 12 then {c1} || ({a} + 3) || ':' || {c2} || ({z} + 3) when {z} >= 11 then {c1} || {a} || ':' || {c2} || ({z} + 3) else {part} end"""
+
+
+@query(f"""with r as ({b.RANGES}) select sheet, kind, name, case when sheet <> 'S1' then ref else array_to_string(list_transform(string_split(ref, ' '), lambda p: {shifted('p')}), ' ') end as ref from r""")
+def append_ranges(spark, d):
+    return sheet.repair_ranges(b.relation(spark, d, b.RANGES), "S1", 12, 3)
+
+
+NAMES = f"select name, case when kind = 'merge' then sheet end as sheet, case when kind = 'merge' then ref else sheet || '!' || ref end as ref from ({b.RANGES}) n where kind <> 'validation'"
+
+
+@query(f"""with n as ({NAMES}), p as (select *, case when contains(ref, '!') then split_part(ref, '!', 1) else sheet end as target, case when contains(ref, '!') then split_part(ref, '!', 2) else ref end as bare from n)
+select name, sheet, case when target <> 'S1' then ref else case when contains(ref, '!') then 'S1!' else '' end || {shifted('bare')} end as ref from p""")
+def append_names(spark, d):
+    return sheet.repoint_names(b.relation(spark, d, NAMES), "S1", 12, 3)
+
+
+@query(f"""select sheet, (case when sheet = 'S1' and row >= 12 then row + 3 else row end)::INT as row, height::DOUBLE as height from ({b.ROW_DIMS})""")
+def append_dimensions(spark, d):
+    return sheet.insert_rows(b.relation(spark, d, b.ROW_DIMS), "S1", 12, 3).withColumn("height", F.col("height").cast("double"))
+
+
+@query(f"""select sheet, row, 'height changed' as problem from ({b.ROW_DIMS}) where row % 7 = 0 or (sheet = 'S2' and row % 11 = 0)""")
+def verify_dimensions(spark, d):
+    """Heights after an append that went wrong: every seventh is another, some rows are missing."""
+    before = b.relation(spark, d, b.ROW_DIMS)
+    after = sheet.insert_rows(before.withColumn("height", F.when(F.col("row") % 7 == 0, F.col("height") + 1).otherwise(F.col("height"))).where("not (sheet = 'S2' and row % 11 = 0)"), "S1", 12, 3)
+    return verify.dimension_differences(before, after, "S1", 12, 3)
+
+
+@query(f"""with r as ({b.RANGES}) select sheet, name, ref, 'range differs' as problem from r where right(name, 2) = '77' or (sheet = 'S1' and right(name, 1) = '4' and {shifted("string_split(ref, ' ')[1]")} || case when contains(ref, ' ') then ' ' || {shifted("string_split(ref, ' ')[2]")} else '' end <> ref)""")
+def verify_ranges(spark, d):
+    """Ranges after an append that lost some and left others where they were."""
+    before = b.relation(spark, d, b.RANGES)
+    stale = F.col("name").endswith("4")
+    after = sheet.repair_ranges(before.where(~stale), "S1", 12, 3).unionByName(before.where(stale)).where("name not like '%77'")
+    return verify.ref_differences(before, after, "S1", 12, 3)
+
+
+# --- whole invoices ----------------------------------------------------------------------
+
+#: Each order as an invoice: every seventh has no labelled total, every fifth no date that can be read, every eleventh no number.
+SOURCE = "record_id::VARCHAR"
+INVOICE_SQL = f"""select record_id::VARCHAR as source, vendor, case when record_id % 11 = 0 then '' else reference end as reference, case when record_id % 5 = 0 then null else date end as date,
+  case when record_id % 7 = 0 then greatest(subtotal, tax) else total end as total, tax, subtotal, 'Goods K' || record_id || '; Carriage' as description,
+  case when record_id % 7 = 0 then abs(subtotal + tax - greatest(subtotal, tax)) > 0.02 else abs(subtotal + tax - total) > 0.02 end as off from ({b.INVOICES})"""
+
+
+def whole_invoices(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of words: a large vendor line, heading, number, two dates, items, and the amounts."""
+    o = b.relation(spark, d, b.INVOICES)
+    k = F.col("record_id")
+    said = [(F.lit("INVOICE"), 10.0), (F.col("vendor"), 16.0), (F.when(k % 11 != 0, F.concat(F.lit("Invoice No: "), "reference")), 10.0), (F.lit("Due date: 01/31/2031"), 10.0),
+            (F.concat(F.lit("Invoice date: "), F.when(k % 5 == 0, "soon enough").otherwise(F.date_format("date", "MM/dd/yyyy"))), 10.0), (F.lit("Description Qty Amount"), 10.0), (F.concat(F.lit("Goods K"), k, F.lit(" 3 "), F.lit("0.01")), 10.0), (F.lit("Carriage 0.02"), 10.0),
+            (F.concat(F.lit("Subtotal "), F.format_number("subtotal", 2)), 10.0), (F.concat(F.lit("VAT 20% "), F.format_number("tax", 2)), 10.0), (F.when(k % 7 != 0, F.concat(F.lit("Total due "), F.format_number("total", 2))), 10.0)]
+    lines = F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(F.lit(i).alias("line_no"), c.alias("text"), F.lit(size).alias("size"))) for i, (c, size) in enumerate(said, 1)]))
+    one = o.select(k.cast("string").alias("source"), F.explode(lines).alias("l")).select("source", "l.*")
+    return one.withColumn("words", F.transform(F.split("text", " "), lambda w: F.struct(w.alias("text"))))
+
+
+@query(INVOICE_SQL, money=("total", "tax", "subtotal"))
+def invoice_records(spark, d):
+    records, _ = invoices.parse_invoices(whole_invoices(spark, d), 2026)
+    return records.select("source", "vendor", "reference", "date", "total", "tax", "subtotal", "description", (F.col("confidence") == "uncertain").alias("off"))
+
+
+@query(f"""with i as ({INVOICE_SQL}) select source, 'invoice date' as field from i where date is null union all select source, 'date' from i where date is null union all select source, 'total' from i where source::BIGINT % 7 = 0
+  union all select source, 'total' from i where off union all select source, 'invoice number' from i where reference = '' union all select source, 'total' from i where coalesce(total, 0) = 0""")
+def invoice_flags(spark, d):
+    return invoices.parse_invoices(whole_invoices(spark, d), 2026)[1].select("source", "field")
+
+
+@query(f"select record_id::VARCHAR as source, vendor from ({b.INVOICES})")
+def invoice_vendors(spark, d):
+    return invoices.vendors(whole_invoices(spark, d))
+
+
+@query(f"select record_id::VARCHAR as source, case when record_id % 5 = 0 then null else date end as date, case when record_id % 5 = 0 then 'soon enough' end as unread from ({b.INVOICES})")
+def invoice_dates(spark, d):
+    return invoices.invoice_dates(whole_invoices(spark, d), 2026)
+
+
+@query(f"select record_id::VARCHAR as source, 'Goods K' || record_id || '|Carriage' as items from ({b.INVOICES})")
+def invoice_items(spark, d):
+    return invoices.line_items(whole_invoices(spark, d)).select("source", F.array_join("line_items", "|").alias("items"))
+
+
+@query("select 'p' || page_id || '.pdf' as source from pages where page_id % 3 = 0")
+def scan_flags(spark, d):
+    """Every third page is a file without words."""
+    p = spark.read.parquet(f"{d}/pages.parquet").select(F.concat(F.lit("p"), "page_id", F.lit(".pdf")).alias("source"), "page_id")
+    return documents.scan_flags(p, p.where("page_id % 3 <> 0").select("source")).select("source")

@@ -21,6 +21,23 @@ def test_money_shapes(spark):
     assert column(spark, list(said), v.parse_money) == [Decimal(x) for x in said.values()]
 
 
+def test_numbers_as_their_cells_read(spark):
+    said = {88213.0: "88213", 40218777.0: "40218777", 12.5: "12.5", -3.0: "-3", 1.5e-5: "0.000015", 123456789012.25: "123456789012.25", 0.0: "0", None: None}
+    assert column(spark, list(said), v.number_text, "double") == list(said.values())
+
+
+def test_dates_without_python_read_as_with_it(spark):
+    said = ["03/04/2025", "13/04/2025", "04/13/2025", "31-12-1999", "02/30/2025", "13/13/2025", "3/4/25", "2025-04-03", " 3/4/2025 ", "12 May 2025", "x", "", None, "00/10/2025"]
+    for dayfirst in (False, True):
+        fast = column(spark, said, lambda c: v.parse_any_date(c, F.lit(dayfirst), F.lit(2026)))
+        assert fast == column(spark, said, lambda c: v.parse_date(c, F.lit(dayfirst), F.lit(2026))), dayfirst
+
+
+def test_money_inside_arrays(spark):
+    rows = spark.createDataFrame([(["(1,000.50)", "x", "7-"],)], "a array<string>").select(F.transform("a", lambda w: v.parse_money(w)).alias("m"))
+    assert rows.first()["m"] == [Decimal("-1000.5"), None, Decimal("-7")]
+
+
 def test_money_refusals(spark):
     assert column(spark, ["abc", "", "-", "--", ".", "12/03/2025", "3.14159", "-$5", None, "1.234.567"], v.parse_money) == [None] * 10
 

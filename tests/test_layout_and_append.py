@@ -69,7 +69,7 @@ def test_profile_round_trip(tmp_path):
 
 @pytest.mark.parametrize("old,new", [
     ("=SUM(D4:D11)", "=SUM(D4:D14)"), ("=D12", "=D15"), ("=D11", "=D11"), ("=SUM(D12:D20)", "=SUM(D15:D23)"), ("=SUM(D2:D5)", "=SUM(D2:D5)"), ('="D12"&D12', '="D12"&D15'), ("=LOG10(D12)", "=LOG10(D15)"),
-    ("='My Sheet'!D12", "='My Sheet'!D12"), ("=Other!D12", "=Other!D12"), ("=L!$D$12", "=L!$D$15"), ("=Tax_2026+1", "=Tax_2026+1"), ("text D12", "text D12")])
+    ("='My Sheet'!D12", "='My Sheet'!D12"), ("=Other!D12", "=Other!D12"), ("=L!$D$12", "=L!$D$15"), ("= L ! D12 : D14*2", "= L ! D15:D17*2"), ("='L'!D12&'It''s'!D12", "='L'!D15&'It''s'!D12"), ("=D12abc+Q1!Rate", "=D12abc+Q1!Rate"), ("=D12:OFFSET(D12,1,0)", "=D15:OFFSET(D15,1,0)"), ("=$AB12:AC$12", "=$AB15:AC$15"), ("=SUM(D11:\nD20)", "=SUM(D11:D23)"), ("=", "="), (None, None), ("=Tax_2026+1", "=Tax_2026+1"), ("text D12", "text D12")])
 def test_shift(old, new):
     assert formulas.shift_formula(old, "L", "L", 12, 3) == new
 
@@ -106,7 +106,11 @@ def test_append_end_to_end_and_again(spark, tmp_path):
     assert (totals["money_in"], totals["money_out"], totals["total_added"]) == (Decimal("6500.00"), Decimal("1240.55"), Decimal("5259.45"))
     assert plan.flags.count() == 1
     assert append.audit_rows(plan.audit, profile).first()["cells"]["B"] == "ACME SUPPLIES"
-    assert '"new":2' in append.payload(plan, profile).first()["json"]
+    sent = append.payload(plan, profile).first()["json"]
+    assert '"new":2' in sent and '"can_append":true' in sent and '"can_append":false' in append.payload(again, profile).first()["json"]
+    lines = append.payload_lines(plan, profile).groupBy("part").count().collect()
+    assert {r["part"]: r["count"] for r in lines} == {"rows": 6, "flags": 1}
+    assert append.append_counts(plan).first().asDict() == {"added": 2, "skipped_duplicates": 2, "unmatchable": 1, "other_kind": 1, "file_written": True}
 
 
 def test_stops(spark):
@@ -129,6 +133,28 @@ def test_verification_finds_faults(spark):
         verify.verify_untouched(cells, restyled, "Transactions", 12, 2)
 
 
+def test_places_in_order_without_one_task(spark):
+    from tallyweave.scratch import numbered
+
+    rows = spark.range(5000).select(F.pmod(F.xxhash64("id"), F.lit(1000)).alias("x"), "id").repartition(7)
+    got = numbered(rows, [F.col("x").desc(), F.col("id").asc()]).collect()
+    assert [r["id"] for r in sorted(got, key=lambda r: r["position"])] == [r["id"] for r in sorted(got, key=lambda r: (-r["x"], r["id"]))]
+    assert sorted(r["position"] for r in got) == list(range(5000)) and numbered(rows.limit(0), [F.col("x")]).count() == 0
+
+
+def test_table_names_and_numeric_references(spark):
+    cells = ledger(spark).withColumn("v_num", F.when((F.col("row").between(4, 11)) & (F.col("col") == 7), F.col("row") * 1e7).otherwise(F.col("v_num"))).withColumn("vtype", F.when((F.col("row").between(4, 11)) & (F.col("col") == 7), "n").otherwise(F.col("vtype"))).withColumn("v_str", F.when((F.col("row").between(4, 11)) & (F.col("col") == 7), None).otherwise(F.col("v_str")))
+    spans = layout.data_spans(cells)
+    assert {r["sheet"]: r["table_name"] for r in layout.with_table_names(spans, sheet_parts(spark)["ranges"]).collect()}["Transactions"] == "T"
+    columns = layout.describe_columns(cells, spans)
+    assert columns.where("sheet = 'Transactions' and col = 7").first()["samples"][0] == "40000000"
+    rows = sheet.existing_rows_of(cells, mapping.suggest_columns(columns), spans, 2026).where("sheet = 'Transactions'")
+    assert {r["reference"] for r in rows.collect()} == {str(r * 10**7) for r in range(4, 12)}
+    profile = Profile("Transactions", {"A": "date", "B": "description", "D": "deposit", "E": "withdrawal", "G": "reference"}, "", ["transaction"])
+    found = append.plan_append(spark.createDataFrame([record(1, dt.date(2025, 1, 1), "OTHER WORDS", "60.00", "50000000")], RECORD), cells, profile, 2026)
+    assert [(r["status"], r["row"]) for r in found.audit.collect()] == [("duplicate", 5)]
+
+
 def test_output_name():
     assert append.output_name("book.xlsx") == "book_updated.xlsx"
 
