@@ -2,67 +2,63 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tallyweave.scratch import delete, discard, shared_dir, written
+
+__all__ = ["connected_components", "delete", "discard", "shared_dir", "table", "written"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is set, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+#: Nodes with more neighbours than this, or than a CENTRES-th of all ends, are joined by broadcast: at most CENTRES rows.
+CROWD, CENTRES = 20_000, 20_000
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder and read it back.
-
-    Lost executors cost nothing that was written, and values that Spark may
-    compute differently a second time (row numbers, samples) are fixed.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def with_least(rows: DataFrame, low: DataFrame, centres: DataFrame | None) -> DataFrame:
+    """``rows`` (u, v) with the m of their u. What a crowded u has doesn't gather in one task: such u are few and broadcast."""
+    if centres is None:
+        return rows.join(low, "u")
+    few = F.broadcast(centres)
+    return (rows.join(F.broadcast(low.join(few, "u", "left_semi")), "u")
+            .unionByName(rows.join(few, "u", "left_anti").join(low.join(few, "u", "left_anti"), "u")))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Components of the graph with long columns ``u``, ``v``: rows ``(node, component)``.
 
     ``component`` is the smallest node reachable. Alternates two steps until
     nothing changes: each node points its larger neighbours at the smallest
-    neighbour (large star), then its smaller neighbours (small star). Minima are
-    plain aggregates, so a hub with very many neighbours is pre-aggregated and
-    never gathered into one row. Nodes without an edge to another node are not
-    returned. Null ends and self links are ignored.
+    neighbour (large star), then its smaller neighbours (small star). Rounds grow
+    with the logarithm of the longest path, so a long chain ends too. Minima are
+    plain aggregates, and the few nodes with very many neighbours are joined by
+    broadcast. Nodes without an edge to another node are not returned. Null ends
+    and self links are ignored.
     """
-    spark = edges.sparkSession
     e = edges.where("u is not null and v is not null and u <> v")
     e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        degrees = both.groupBy("u").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        *after, most = degrees.agg(F.sum("n"), F.sum("h"), F.max("n")).first()
+        if after == before or most is None:
+            break
+        before = after
+        crowd = max(CROWD, after[0] // CENTRES)
+        # a node has no more neighbours after the large star than before it, as far as it is joined by them
+        centres = written(degrees.where(F.col("n") > crowd).select("u"), "centres") if most > crowd else None
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (both.where("v > u").join(low, "u")
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        large = with_least(both.where("v > u"), low, centres).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: u keeps its smallest neighbour m, and the other smaller ones point at m
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = (with_least(large, least, centres).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
                  .union(least.select("u", F.col("m").alias("v"))).distinct())
-        e = written(small, "edges")
-        after = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))).first())
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        new = written(small, "edges")
+        discard(e, *([centres] if centres is not None else []))
+        e = new
     own = e.groupBy("u").agg(F.min("v").alias("component"))
     return (own.select(F.col("u").alias("node"), "component")
             .union(own.select(F.col("component").alias("node"), "component").distinct()))

@@ -12,7 +12,7 @@ counted. At the asked length every candidate is counted, with 128-bit keys.
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tallyweave.llm.windows import ASKED, REPLIES, answer, ask, batched, texts_of, totals_of, window_hashes, word_hashes
+from tallyweave.llm.common import written
+from tallyweave.llm.windows import ASKED, REPLIES, Batched, answer, ask, chunks, longer, mixed, parts, texts_of, told, totals_of
 
 
 def lengths(window: int, least: int = 8) -> list[int]:
@@ -42,37 +43,32 @@ def least_in(x: np.ndarray, n: int) -> np.ndarray:
     return at
 
 
-@dataclass
-class Batch:
-    """The words of a batch's texts and the windows that are still candidates."""
+class Candidates:
+    """Windows of ``window`` words in one part of a batch that may still repeat."""
 
-    words: np.ndarray
-    starts: np.ndarray  # of texts, in words
-    live: np.ndarray  # where windows of the asked length start
-
-    @staticmethod
-    def of(texts: list[bytes], window: int) -> Batch:
-        hashes = word_hashes(b"\n".join(texts)) if any(texts) else np.zeros(0, np.uint64)
-        counts = [len(t.split()) for t in texts]
-        starts = np.concatenate([[0], np.cumsum(counts)])
-        ok = np.zeros(len(hashes) + 1, bool)
-        for a, n in zip(starts.tolist(), counts):
+    def __init__(self, words: np.ndarray, counts: list[int], window: int):
+        ok = np.zeros(words.shape[1], bool)
+        a = 0
+        for n in counts:
             ok[a:a + max(0, n - window + 1)] = True
-        return Batch(hashes, starts, np.flatnonzero(ok[:-1]))
+            a += n
+        self.window, self.live = window, np.flatnonzero(ok)  # where they start
+        self.x, self.check = mixed(words)
+        self.have = 1
 
-    def level(self, n: int, window: int) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    def level(self, n: int) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
         """Hashes and checks of the places that stand for the candidates, and which place each candidate has."""
         if not len(self.live):
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64) if n == window else None, np.zeros(0, np.int64)
-        x = window_hashes(self.words, n)
-        if n == window:
-            return x[self.live], window_hashes(self.words, n, salt=77)[self.live], np.arange(len(self.live))
-        place, of = np.unique(least_in(x, window - n + 1)[self.live], return_inverse=True)
-        return x[place], None, of
-
-    def keep(self, n: int, window: int, level: int, replies: pa.Table) -> None:
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64) if n == self.window else None, np.zeros(0, np.int64)
+        self.x, self.have = longer(self.x, self.have, n), n
+        if n == self.window:
+            return self.x[self.live], longer(self.check, 1, n)[self.live], np.arange(len(self.live))
+        place, of = np.unique(least_in(self.x, self.window - n + 1)[self.live], return_inverse=True)
+        return self.x[place], None, of
+
+    def keep(self, n: int, level: int, part: int, answers: dict) -> None:
         """Drop the candidates whose representative occurs once."""
-        hashes, checks, of = self.level(n, window)
+        hashes, checks, of = self.level(n)
         if checks is None:
             keys, back = np.unique(hashes, return_inverse=True)
         else:
@@ -81,7 +77,7 @@ class Batch:
             back = np.empty(len(hashes), np.int64)
             back[order] = np.cumsum(new) - 1
             keys = hashes[order][new]
-        totals = totals_of(replies, level, keys)
+        totals = totals_of(answers, level, part, keys)
         self.live = self.live[(totals >= 2)[back][of]] if len(of) else self.live
 
 
@@ -92,27 +88,32 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     starts anywhere else too, in the same text or another (exact copies of a text
     included). Windows are judged on the input. Kept words are joined by one
     space. A null or empty text has no words; null and repeated keys are rows
-    like others; other columns are not carried. What a frequent window costs
-    does not grow with its number but with the batches that have it.
+    like others; other columns are not carried; a table without rows gives none.
+    What a frequent window costs does not grow with its number but with the
+    batches that have it. A very long text is a batch of its own, hashed in parts.
     """
     spark = docs.sparkSession
-    rows, buckets = batched(docs.selectExpr(f"`{key}` as key", f"`{text}` as text"))
+    held = Batched(docs.selectExpr(f"`{key}` as key", f"`{text}` as text"))
+    rows, buckets = held.rows, held.buckets
     steps = lengths(window)
-    replies = spark.createDataFrame([], REPLIES)
+    none = spark.createDataFrame([], REPLIES)
+    replies = none
 
-    def advance(t: pa.Table, told: pa.Table, level: int) -> tuple[list[bytes], Batch]:
-        texts = texts_of(t)
-        b = Batch.of(texts, window)
-        for k in range(level):
-            b.keep(steps[k], window, k, told)
-        return texts, b
+    def candidates(t: pa.Table, answers: dict, level: int) -> Iterator[tuple[int, Candidates, list[tuple[int, int, int]]]]:
+        """Of each part, those that the levels before ``level`` left, and its pieces."""
+        for k, (words, pieces) in enumerate(parts(texts_of(t), window - 1)):
+            c = Candidates(words, [n for _, _, n in pieces], window)
+            for done in range(level):
+                c.keep(steps[done], done, k, answers)
+            yield k, c, pieces
 
     def questions(level: int):
-        def run(t: pa.Table, told: pa.Table) -> pa.Table:
-            if not len(t):
-                return ask(0, np.zeros(0, np.uint64), buckets)
-            hashes, checks, _ = advance(t, told, level)[1].level(steps[level], window)
-            return ask(t["batch"][0].as_py(), hashes, buckets, checks)
+        def run(t: pa.Table, replies: pa.Table) -> pa.Table:
+            asked = [ask(0, 0, np.zeros(0, np.uint64), buckets)]
+            for k, c, _ in candidates(t, told(replies), level):
+                hashes, checks, _ = c.level(steps[level])
+                asked.append(ask(t["batch"][0].as_py(), k, hashes, buckets, checks))
+            return pa.concat_tables(asked)
 
         return run
 
@@ -123,19 +124,42 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     kind = docs.schema[key].dataType
     schema = T.StructType([T.StructField(key, kind), *T.StructType.fromDDL("n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text).fields])
 
-    def finish(t: pa.Table, told: pa.Table) -> pa.Table:
-        texts, b = advance(t, told, len(steps))
-        change = np.zeros(len(b.words) + 1, np.int64)
-        np.add.at(change, b.live, 1)
-        np.add.at(change, b.live + window, -1)
-        keep = np.cumsum(change)[:-1] == 0
+    def finish(t: pa.Table, replies: pa.Table) -> pa.Table:
+        texts = texts_of(t)
+        last: dict[int, int] = {}  # words of each text
+        covered: list[tuple[int, np.ndarray]] = []  # text, numbers of the words where its removed windows start
+        for _, c, pieces in candidates(t, told(replies), len(steps)):
+            a = 0
+            for i, first, n in pieces:
+                last[i] = first + n
+                own = c.live[slice(*np.searchsorted(c.live, [a, a + n]))]
+                if len(own):
+                    covered.append((i, own - a + first))
+                a += n
+        keep = {}
+        for i, starts in covered:
+            change = keep.setdefault(i, np.zeros(last[i] + 1, np.int32))
+            np.add.at(change, starts, 1)
+            np.add.at(change, starts + window, -1)
         out = []
-        for x, a, z in zip(texts, b.starts.tolist(), b.starts[1:].tolist()):
-            k = keep[a:z]
-            kept = b" ".join(compress(x.split(), k.tolist()))
-            out.append((z - a, int((~k).sum()), hashlib.sha256(kept).hexdigest(), *([kept.decode()] if with_text else ())))
+        for i, x in enumerate(texts):
+            k = np.cumsum(keep.pop(i))[:-1] == 0 if i in keep else np.ones(last[i], bool)
+            digest, kept, at, sep = hashlib.sha256(), [], 0, b""
+            for chunk in chunks(x):
+                words = chunk.split()
+                left = list(compress(words, k[at:at + len(words)].tolist()))
+                at += len(words)
+                if left:
+                    joined = sep + b" ".join(left)
+                    sep = b" "
+                    digest.update(joined)
+                    if with_text:
+                        kept.append(joined)
+            out.append((at, at - int(np.count_nonzero(k)), digest.hexdigest(), *([b"".join(kept).decode()] if with_text else ())))
         columns = list(zip(*out)) if out else [()] * len(schema.names[1:])
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.table([t["key"].combine_chunks(), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=schema.names)
 
-    return rows.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(finish, schema)
+    out = written(rows.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(finish, schema), "kept")
+    held.discard()
+    return out
