@@ -11,49 +11,57 @@ at least 80 % of the larger one, so:
    of the prefix are indexed singly. Frequent ones are indexed by combinations:
    the prefix is extended by g tokens, tokens fall into g classes, so partners
    without a common rare token share two of one class.
-3. Few documents share a rare token: their pairs are verified. Documents that
-   share frequent combinations are grouped, and the groups are verified in blocks,
-   each block giving a spanning forest of its links and no pairs.
-
-Everything counts and verifies exactly; no partner or candidate is capped.
+3. Few documents share a rare token: their pairs are verified.
+4. Partners that share combinations alone have no rare token in common, so their
+   intersection is that of their frequent tokens. Documents with the same
+   frequent tokens and size are one kind, and kinds are verified: within a
+   combination that few have all pairs, within a common one each with the
+   smallest. Links found make components; only combinations that still hold
+   several components are left, and of those, blocks of kinds that share one are
+   verified, except blocks of one and the same component. A block gives a
+   spanning forest of its links.
+
+Everything counts and verifies exactly; no partner or candidate is capped. Tokens
+have 64 bits, from 128-bit word hashes: that one of n tokens of a text equals one
+of another text by chance has a probability of about n * n / 2**64.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import types as T
 
-from tallyweave.llm.common import connected_components, written
+from tallyweave.llm.common import connected_components, discard, written
 from tallyweave.llm.embeddings import forest
-from tallyweave.llm.windows import ASKED, REPLIES, answer, ask, batched, discard, mixed, texts_of, totals_of, window_hashes, word_hashes
+from tallyweave.llm.windows import ASKED, REPLIES, TIMES, Batched, answer, ask, longer, mixed, parts, texts_of, told, totals_of
 
 SHINGLE = 5
 #: A token in more documents is frequent; rare ones have at most RARE * (RARE - 1) / 2 pairs, a fixed number.
 RARE = 16
-#: Documents, and tokens, that a block of the verification has about at most.
+#: Kinds, and tokens, that a block of the verification has about at most.
 BLOCK, TOKENS = 256, 500_000
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 def token_sets(texts: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's shingles; fewer words than ``n`` make one, none make none."""
-    low = [t.translate(LOWER) for t in texts]
-    words = word_hashes(b"\n".join(low)) if any(low) else np.zeros(0, np.uint64)
-    all_windows, out, at = window_hashes(words, n), [], 0
-    for t in low:
-        count = len(t.split())
-        if count >= n:
-            out.append(np.unique(all_windows[at:at + count - n + 1]))
-        elif count:
-            out.append(mixed(window_hashes(words[at:at + count], count), salt=count))
-        else:
-            out.append(np.zeros(0, np.uint64))
-        at += count
-    return out
+    found: list[list[np.ndarray]] = [[] for _ in texts]
+    short: dict[int, np.ndarray] = {}
+    for words, pieces in parts([t.translate(LOWER) for t in texts], n - 1):
+        x = mixed(words[0] ^ (words[1] * TIMES))
+        windows, a = longer(x, 1, n), 0
+        for i, first, m in pieces:
+            if m >= n:
+                found[i].append(windows[a:a + m - n + 1])
+            elif m and not first:  # all words of the text so far
+                short[i] = mixed(longer(x[a:a + m], 1, m), salt=m)
+            a += m
+    return [np.unique(np.concatenate(x)) if x else short.get(i, np.zeros(0, np.uint64)) for i, x in enumerate(found)]
 
 
 def shared_least(n: int) -> int:
@@ -101,129 +109,174 @@ def index_keys(tokens: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return single, np.concatenate(combined) if combined else np.zeros(0, np.uint64)
 
 
-def links(x: np.ndarray, y: np.ndarray) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= 80 * (len(x) + len(y) - both) and both > 0
-
-
 def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, n, digest, tokens): tokens only where a partner is possible."""
     spark = docs.sparkSession
-    rows, buckets = batched(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")))
+    held = Batched(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")))
+    rows, buckets = held.rows, held.buckets
 
-    def prefixes(t: pa.Table, told: pa.Table) -> pa.Table:
+    def prefixes(t: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(t):
-            return ask(0, np.zeros(0, np.uint64), buckets)
-        return ask(t["batch"][0].as_py(), np.concatenate([extended(x) for x in token_sets(texts_of(t))]), buckets)
+            return ask(0, 0, np.zeros(0, np.uint64), buckets)
+        return ask(t["batch"][0].as_py(), 0, np.concatenate([extended(x) for x in token_sets(texts_of(t))]), buckets)
 
-    def possible(t: pa.Table, told: pa.Table) -> pa.Table:
+    def possible(t: pa.Table, replies: pa.Table) -> pa.Table:
         sets = token_sets(texts_of(t))
         heads = [extended(x) for x in sets]
         keys = np.unique(np.concatenate([*heads, np.zeros(0, np.uint64)]))
-        twice = totals_of(told, 0, keys) > 1
-        tokens = [x.tobytes() if len(x) and np.count_nonzero(twice[np.searchsorted(keys, h)]) >= enough(len(x)) else None for x, h in zip(sets, heads)]
-        return pa.table({"key": t["key"].combine_chunks(), "n": pa.array([len(x) for x in sets], pa.int64()), "tokens": pa.array(tokens, pa.binary())})
+        twice = totals_of(told(replies), 0, 0, keys) > 1
+        tokens = [x if len(x) and np.count_nonzero(twice[np.searchsorted(keys, h)]) >= enough(len(x)) else None for x, h in zip(sets, heads)]
+        digest = [None if x is None else hashlib.md5(x.tobytes()).digest() for x in tokens]
+        return pa.table({"key": t["key"].combine_chunks(), "n": pa.array([len(x) for x in sets], pa.int64()), "digest": pa.array(digest, pa.binary()), "tokens": lists(tokens)})
 
     none = spark.createDataFrame([], REPLIES)
     replies = answer(rows.groupBy("batch").cogroup(none.groupBy("batch")).applyInArrow(prefixes, ASKED), 0)
-    found = rows.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(possible, "key long, n long, tokens binary")
-    sets = written(found.withColumn("digest", F.md5("tokens")), "sets")
-    discard(rows)
+    found = rows.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(possible, "key long, n long, digest binary, tokens array<long>")
+    sets = written(found, "sets")
+    held.discard()
+    discard(replies)
     return sets
 
 
-def _index(sets: DataFrame) -> DataFrame:
-    """(index key, single or not, rep) of the distinct sets."""
-    spark = sets.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = sets.select("batch", "rep", "tokens")
+def lists(tokens: list[np.ndarray | None]) -> pa.ListArray:
+    """Token sets as lists of long; None as null."""
+    size = np.array([0 if x is None else len(x) for x in tokens], np.int64)
+    values = np.concatenate([np.zeros(0, np.uint64), *(x for x in tokens if x is not None)]).view(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([x is None for x in tokens], pa.bool_()))
 
-    def tokens(t: pa.Table) -> list[np.ndarray]:
-        return [np.frombuffer(x, np.uint64) for x in t["tokens"].to_pylist()]
 
-    def questions(t: pa.Table) -> pa.Table:
-        return ask(t["batch"][0].as_py(), np.concatenate(tokens(t)), buckets)
+def tokens_of(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Token sets from lists of long, none of them null."""
+    out = []
+    for c in column.chunks:
+        at, values = c.offsets.to_numpy().tolist(), c.values.to_numpy().view(np.uint64)
+        out += [values[a:z] for a, z in zip(at, at[1:])]
+    return out
 
-    def keys(t: pa.Table, told: pa.Table) -> pa.Table:
-        if not len(t):
-            return pa.table({"k": pa.array([], pa.int64()), "single": pa.array([], pa.bool_()), "rep": pa.array([], pa.int64())})
-        sets = tokens(t)
-        known = np.unique(np.concatenate(sets))
-        totals = totals_of(told, 0, known).astype(np.int64)
-        out, single, rep = [], [], []
-        for x, r in zip(sets, t["rep"].to_pylist()):
-            for k, one in zip(index_keys(x, totals[np.searchsorted(known, x)]), (True, False)):
-                out.append(k)
-                single.append(np.full(len(k), one))
-                rep.append(np.full(len(k), r, np.int64))
-        return pa.table({"k": pa.array(np.concatenate(out).view(np.int64)), "single": pa.array(np.concatenate(single)), "rep": pa.array(np.concatenate(rep))})
+
+def _index(solo: DataFrame) -> DataFrame:
+    """(rep, n, single, combined, kind, often) of the distinct sets: index keys, and the frequent tokens of sets with combinations, with their digest."""
+    held = Batched(solo.select("rep", "tokens"), "tokens")
+    rows, buckets = held.rows, held.buckets
+
+    def questions(t: pa.Table) -> pa.Table:
+        return ask(t["batch"][0].as_py(), 0, np.concatenate(tokens_of(t["tokens"])), buckets)
+
+    def keys(t: pa.Table, replies: pa.Table) -> pa.Table:
+        sets = tokens_of(t["tokens"])
+        known = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]))
+        totals = totals_of(told(replies), 0, 0, known).astype(np.int64)
+        single, combined, often = [], [], []
+        for x in sets:
+            df = totals[np.searchsorted(known, x)]
+            one, two = index_keys(x, df)
+            single.append(one)
+            combined.append(two)
+            often.append(x[df > RARE] if len(two) else None)
+        kind = [None if x is None else hashlib.md5(x.tobytes()).digest() for x in often]
+        return pa.table({"rep": t["rep"].combine_chunks(), "n": pa.array([len(x) for x in sets], pa.int64()), "single": lists(single), "combined": lists(combined), "kind": pa.array(kind, pa.binary()), "often": lists(often)})
 
     replies = answer(rows.groupBy("batch").applyInArrow(questions, ASKED), 0)
-    return written(rows.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(keys, "k long, single boolean, rep long"), "index")
+    found = rows.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(keys, "rep long, n long, single array<long>, combined array<long>, kind binary, often array<long>")
+    index = written(found, "index")
+    held.discard()
+    discard(replies)
+    return index
+
 
+def _pairs(keys: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v), u < v, that share a key and whose sizes may link; ``keys`` (k, u, n) has RARE rows a key at most."""
+    other = keys.select("k", F.col("u").alias("v"), F.col("n").alias("nv"))
+    return keys.join(other, "k").where("u < v and 5 * least(n, nv) >= 4 * greatest(n, nv)").select("u", "v").distinct()
 
-def _pair_edges(index: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among documents that share a rare token: at most RARE documents a token."""
-    one = index.where("single").select("k", "rep")
-    size = sets.select("rep", "n")
-    a = one.join(size, "rep").select("k", F.col("rep").alias("u"), F.col("n").alias("nu"))
-    b = a.select("k", F.col("u").alias("v"), F.col("nu").alias("nv"))
-    pairs = (a.join(b, "k").where("u < v and 5 * least(nu, nv) >= 4 * greatest(nu, nv)").select("u", "v").distinct())
-    left = pairs.join(sets.select(F.col("rep").alias("u"), F.col("tokens").alias("tu")), "u")
-    full = left.join(sets.select(F.col("rep").alias("v"), F.col("tokens").alias("tv")), "v").select("u", "v", "tu", "tv")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            ok = [links(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(t.column(2), t.column(3))]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in t.columns[:2]], names=["u", "v"])
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs whose ``sets`` (u, n, tokens) link. Row by row in the JVM, so a set that many pairs have costs no memory."""
+    left = pairs.join(sets.select("u", F.col("n").alias("nu"), F.col("tokens").alias("tu")), "u")
+    full = left.join(sets.select(F.col("u").alias("v"), F.col("n").alias("nv"), F.col("tokens").alias("tv")), "v")
+    both = F.size(F.array_intersect("tu", "tv"))
+    return full.where(100 * both >= 80 * (F.col("nu") + F.col("nv") - both)).select("u", "v")
 
-    return full.mapInArrow(verify, "u long, v long")
+
+def linked(both: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Does an intersection of ``both`` make sets of ``n`` and ``m`` tokens link?"""
+    return 100 * both >= 80 * (n + m - both)
 
 
 def block_edges(t: pa.Table) -> pa.Table:
-    """Spanning links between the documents of two blocks (or within one), from a product of their token matrices."""
-    side = t["side"].to_numpy()
-    rep = t["rep"].to_numpy()
-    sets = [np.frombuffer(x, np.uint64) for x in t["tokens"].to_pylist()]
-    n = np.array([len(x) for x in sets])
-    flat = np.concatenate(sets)
-    # only tokens of two documents count; columns are taken in parts, so memory stays bounded
-    known, inverse, often = np.unique(flat, return_inverse=True, return_counts=True)
-    doc = np.repeat(np.arange(len(sets)), n)
+    """Spanning links between the kinds of two blocks (or within one), from a product of their token matrices."""
+    side, u, n = (t[c].to_numpy() for c in ("side", "u", "n"))
+    sets = tokens_of(t["tokens"])
+    # only tokens of two kinds count; columns are taken in parts, so memory stays bounded
+    _, inverse, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    kind = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     use = often[inverse] > 1
     number = np.cumsum(often > 1) - 1
-    column, doc = number[inverse[use]], doc[use]
+    column, kind = number[inverse[use]], kind[use]
     order = np.argsort(column, kind="stable")
-    column, doc = column[order], doc[order]
+    column, kind = column[order], kind[order]
     rows, columns = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     both = np.zeros((len(rows), len(columns)), np.float32)
     width = 8192
     for at in range(0, int(number[-1]) + 1 if len(number) else 0, width):
         a, b = np.searchsorted(column, [at, at + width])
         m = np.zeros((len(sets), width), np.float32)
-        m[doc[a:b], column[a:b] - at] = 1
+        m[kind[a:b], column[a:b] - at] = 1
         both += m[rows] @ m[columns].T
-    both = np.rint(both).astype(np.int64)
-    link = (100 * both >= 80 * (n[rows][:, None] + n[columns] - both)) & (rep[rows][:, None] != rep[columns])
-    found = [(int(rep[rows[i]]), int(rep[columns[j]])) for i, j in forest(link)]
+    link = linked(np.rint(both).astype(np.int64), n[rows][:, None], n[columns]) & (u[rows][:, None] != u[columns])
+    found = [(int(u[rows[i]]), int(u[columns[j]])) for i, j in forest(link)]
     return pa.table([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
 
-def _group_edges(index: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among documents that share frequent combinations: groups of them, in blocks."""
-    many = index.where("not single").select("k", "rep")
-    first = many.groupBy("k").agg(F.min("rep").alias("v"))
-    groups = connected_components(many.join(first, "k").select(F.col("rep").alias("u"), "v").where("u <> v").distinct())
-    member = groups.select(F.col("component").alias("grp"), F.col("node").alias("rep"))
-    sized = member.join(sets.select("rep", "n"), "rep")
-    blocks = sized.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / TOKENS)).cast("int").alias("blocks"))
-    dealt = member.join(blocks, "grp").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # a block meets every block: side 0 and 1 tell the two apart, 2 is a block with itself
-    meets = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "grp", "rep", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"),
-        F.expr("case when b = o then 2 when b < o then 0 else 1 end").alias("side"))
-    full = meets.join(sets.select("rep", "tokens"), "rep")
-    return full.groupBy("grp", "i", "j").applyInArrow(block_edges, "u long, v long")
+def _block_links(open_keys: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Links between different components of kinds that share one of ``open_keys`` (k, u, n, component).
+
+    A kind's place is its smallest open key, so neighbours meet in few blocks. There
+    a large component has blocks of its own, small ones share blocks.
+    """
+    member = open_keys.groupBy("u", "n", "component").agg(F.min("k").alias("home"))
+    size = member.groupBy("home", "component").agg(F.count("*").alias("kinds"), F.sum("n").alias("tokens"))
+    blocks = F.greatest(F.ceil(F.sum("kinds") / BLOCK), F.ceil(F.sum("tokens") / TOKENS)).cast("int")
+    whose = F.when(F.col("kinds") >= BLOCK // 2, F.col("component")).alias("own")
+    sized = size.select("home", "component", "kinds", "tokens", whose)
+    shares = sized.groupBy("home", "own").agg(blocks.alias("blocks"))
+    dealt = sized.select("home", "component", "own").join(shares.select("home", F.col("own").alias("o"), "blocks"), ["home"]).where("own <=> o").drop("o")
+    named = (member.join(dealt, ["home", "component"])
+             .withColumn("b", F.concat_ws(":", "home", F.coalesce(F.col("own").cast("string"), F.lit("*")), F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("component")).otherwise(F.col("u"))), F.col("blocks")).cast("string")))
+             .select("u", "b", "own"))
+    named = written(named, "blocks")
+    at = open_keys.select("k", "u").join(named, "u").select("k", "b", "own").distinct()
+    other = at.select("k", F.col("b").alias("b2"), F.col("own").alias("own2"))
+    meets = at.join(other, "k").where("b <= b2 and not coalesce(own = own2, false)").select("b", "b2").distinct()
+    sides = meets.select("b", "b2", F.explode(F.expr("case when b = b2 then array(named_struct('block', b, 'side', 2)) else array(named_struct('block', b, 'side', 0), named_struct('block', b2, 'side', 1)) end")).alias("x")).select("b", "b2", "x.*")
+    full = sides.join(named.select("u", F.col("b").alias("block")), "block").join(kinds.select("u", "n", "tokens"), "u").select("b", "b2", "side", "u", "n", "tokens")
+    return full.groupBy("b", "b2").applyInArrow(block_edges, "u long, v long")
+
+
+def _kind_edges(index: DataFrame) -> DataFrame:
+    """Links among documents that share combinations of frequent tokens, as edges between their reps."""
+    held = index.where("often is not null")
+    kinds = written(held.groupBy("kind", "n").agg(F.min("rep").alias("u"), F.count("*").alias("members"), F.first("often").alias("tokens"), F.first("combined").alias("combined")), "kinds")
+    keys = kinds.select("u", "n", F.explode("combined").alias("k"))
+    many = keys.groupBy("k").agg(F.count("*").alias("kinds"), F.min("u").alias("v")).where("kinds > 1")
+    shared = written(keys.join(many, "k"), "shared")
+    star = shared.where(f"kinds > {RARE} and u <> v").select("u", "v").distinct()
+    found = written(_verified(_pairs(shared.where(f"kinds <= {RARE}").select("k", "u", "n")).union(star).distinct(), kinds), "found")
+    # combinations that many have and that still hold several components
+    components = written(connected_components(found), "components")
+    large = shared.where(f"kinds > {RARE}").select("k", "u", "n").join(components.withColumnRenamed("node", "u"), "u", "left").withColumn("component", F.coalesce("component", "u"))
+    several = large.groupBy("k").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("k")
+    left = written(large.join(several, "k", "left_semi"), "open")
+    edges = found
+    if not left.isEmpty():
+        edges = found.union(_block_links(left, kinds))
+    own = kinds.where("members > 1 and 100 * size(tokens) >= 80 * (2 * n - size(tokens))").select("u")
+    edges = written(edges, "edges")
+    # all documents of a kind that links, with others or itself, are one component
+    hit = edges.select("u").union(edges.select("v")).union(own).distinct()
+    members = held.select("rep", "kind", "n").join(kinds.where("members > 1").join(hit, "u", "left_semi").select("kind", "n", "u"), ["kind", "n"])
+    return edges.union(members.where("rep <> u").select(F.col("rep"), "u"))
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -233,22 +286,24 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     100 * intersection >= 80 * union of their shingle sets; component_id is the
     smallest key reachable. Null, empty and blank texts have 0 shingles and link
     with nothing; a row with a null key links with nothing and has a null
-    component; rows that share a key are one node. Equal sets are verified once,
-    by their smallest key. Other columns are not carried; a table without rows
-    gives none.
+    component; rows that share a key are one node. Equal sets are verified once.
+    Keys are whole numbers, others an error. Other columns are not carried; a
+    table without rows gives none.
     """
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} is {docs.schema[key].dataType.simpleString()}, not a whole number")
     sets = _sets(docs, key, text)
     same = sets.where("digest is not null and key is not null")
-    # a node for each distinct set, below all keys; the number of its batch is fixed by writing it
-    node = (-F.abs(F.xxhash64("digest")) - 2).alias("rep")
-    distinct = same.groupBy("digest").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")).select("digest", node, "n", "tokens")
-    solo = written(distinct.withColumn("batch", F.shiftright(F.monotonically_increasing_id(), 6)), "distinct")
+    # a number for each distinct set, fixed by writing it
+    distinct = same.groupBy("digest").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    solo = written(distinct.select(F.monotonically_increasing_id().alias("rep"), "digest", "n", "tokens"), "distinct")
     index = _index(solo)
-    edges = _pair_edges(index, solo).union(_group_edges(index, solo))
+    one = index.select("rep", "n", F.explode("single").alias("k")).select("k", F.col("rep").alias("u"), "n")
+    edges = _verified(_pairs(one), solo.select(F.col("rep").alias("u"), "n", "tokens")).union(_kind_edges(index))
     # copies stay out of the graph: only a key that has several sets links them
-    held = same.select("key", node)
-    several = held.distinct().groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1").select("key")
-    own = held.join(several, "key", "left_semi").select(F.col("key").alias("u"), F.col("rep").alias("v")).distinct()
+    held = written(same.select("key", "digest").join(solo.select("digest", "rep"), "digest").select("key", "rep"), "held")
+    several = held.distinct().groupBy("key").agg(F.count("*").alias("sets"), F.min("rep").alias("v")).where("sets > 1")
+    own = held.join(several, "key").select(F.col("rep").alias("u"), "v")
     components = written(connected_components(written(edges.union(own), "links")), "components")
     # the smallest key of a component is its name
     member = held.join(components, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component"))
