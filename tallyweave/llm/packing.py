@@ -9,7 +9,9 @@ minimum of a sliding range, which a monotone queue gives in constant time.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 from itertools import pairwise
@@ -19,19 +21,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tallyweave.llm.windows import BYTES, chunks
+
 #: Penalties, in tokens of padding, for a cut at a sentence's end inside a document and anywhere else in it.
 SENTENCE_CUT, TOKEN_CUT = 8, 48
 #: Sentences closer together than this share one place to cut; stretches without sentences get one every GAP tokens.
 LEAST_GAP, GAP = 16, 64
-#: Tokens planned at a time; all windows but the last are then final, so memory stays bounded.
+#: Tokens planned at a time; all windows but the last are then final, so memory stays bounded. A plan
+#: made so is at most the cost of one window (``capacity`` plus a cut's penalty) for each PLAN tokens above
+#: the best one: the best plan can be cut where a stretch ends by adding one window there.
 PLAN = 1 << 18
-#: Words whose ids a worker remembers, and characters encoded in one go.
-WORDS, STEP = 1_000_000, 1 << 20
+#: Bytes of words and their ids that a task remembers, what an entry takes about besides its word, the longest word among them, and bytes of text encoded in one go.
+MEMORY, ENTRY, LONG_WORD, STEP = 3 << 25, 180, 32, 1 << 20
 
 
 #: A control character that stands as a word between words; words that hold it are encoded singly.
 MARK = b"\x01"
-SIMPLE = re.compile(rb"([A-Za-z]+)([.,!?;:]*)")
+#: Letters, then a run of signs: letters of one byte, or also the accented ones of Latin-1.
+PLAIN = re.compile(rb"([A-Za-z]+)([.,!?;:*$#%&@]*)")
+ACCENTED = re.compile(rb"((?:[A-Za-z]+|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,!?;:*$#%&@]*)")
+#: Byte-level vocabularies write a byte as a character: printable ones of Latin-1 as themselves, the others from 256 on.
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARACTER = [chr(i) if i in PRINTABLE else chr(256 + sum(k not in PRINTABLE for k in range(i))) for i in range(256)]
 
 
 class WordEncoder:
@@ -54,12 +65,14 @@ class WordEncoder:
         self.by_word = one == two == [i for x in ("a", "b") for i in self.t.encode(x, add_special_tokens=False).ids]
         mark = self.t.encode(f"a {MARK.decode()} b", add_special_tokens=False).ids
         self.mark = mark[1] if len(mark) == 3 else None
-        self.stops: dict[bytes, bytes] = {}
-        # ASCII letters, then stops: does this tokenizer take them as two pieces, lower-cased, and nothing more?
+        self.stops: dict[bytes, bytes] = {}  # stops after words: 1000 short ones at most
+        # letters, then signs: does this tokenizer take them as two pieces, lower-cased, and nothing more?
         self.simple = self.by_word and all(
             b"".join(self.one(x) for x in parts) == np.array(self.t.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-            for w, parts in (("Reading", [b"reading"]), ("XYLOPHONES.", [b"xylophones", b"."]), ("qzj?!..", [b"qzj", b"?!.."]), ("don,;", [b"don", b",;"])))
+            for w, parts in (("Reading", [b"reading"]), ("XYLOPHONES.", [b"xylophones", b"."]), ("qzj?!..", [b"qzj", b"?!.."]), ("don,;", [b"don", b",;"]),
+                ("Émeuß.%%%", ["émeuß".encode(), b".%%%"]), ("ÀÑÿø@*$#&", ["àñÿø".encode(), b"@*$#&"])))
         self.words: dict[bytes, bytes] = {}
+        self.held = 0  # bytes of ``words``, about
         size = self.t.get_vocab_size(with_added_tokens=True)
         self.ends = np.zeros(size + 1, bool)
         for piece, i in self.t.get_vocab(with_added_tokens=True).items():
@@ -69,46 +82,75 @@ class WordEncoder:
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.array(e.ids, "<u4") for e in self.t.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        if max(map(len, texts), default=0) > 2 * BYTES:  # long texts part by part
+            return [np.concatenate([x for chunk in chunks(t) for x in self.ids([chunk])]) if len(t) > 2 * BYTES else self.ids([t])[0] for t in texts]
         split = [t.split() for t in texts]
-        self.learn({w for words in split for w in words})
-        return [np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4") for words in split]
+        words = self.words
+        new = set().union(*split).difference(words)
+        self.learn(new)
+        out = [np.frombuffer(b"".join(map(words.__getitem__, x)), "<u4") for x in split]
+        self.held += sum(map(len, new)) + ENTRY * len(new)
+        for w in new:
+            if len(w) > LONG_WORD:
+                del words[w]
+        if self.held > MEMORY:
+            self.forget()
+        return out
+
+    def forget(self) -> None:
+        self.words.clear()
+        self.held = 0
 
     def one(self, piece: bytes) -> bytes:
         """Ids of a piece that is not split further."""
-        ids = self.stops.get(piece)
-        if ids is None:
-            ids = np.array([t.id for t in self.t.model.tokenize(piece.decode())], "<u4").tobytes()
-            if not piece.isalpha() and len(self.stops) < 1000:
-                self.stops[piece] = ids
-        return ids
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > WORDS:
-            self.words.clear()
-            new = list(words)
+        said = piece.decode() if piece.isascii() else "".join(map(BYTE_CHARACTER.__getitem__, piece))
+        ids = [t.id for t in self.t.model.tokenize(said)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def learn(self, new: set[bytes]) -> None:
+        """Put the ids of ``new`` words into ``words``, and those of the bare words that stand before stops."""
+        words, rest = self.words, new
         if self.simple:
+            rest = []
             for w in new:
-                if m := SIMPLE.fullmatch(w):
-                    self.words[w] = self.one(m[1].lower()) + (self.one(m[2]) if m[2] else b"")
-            new = [w for w in new if w not in self.words]
-        plain = [w for w in new if MARK not in w] if self.mark is not None else []
+                if m := PLAIN.fullmatch(w):
+                    bare, stops = m[1].lower(), m[2]
+                elif m := ACCENTED.fullmatch(w):
+                    bare, stops = m[1].decode().lower().encode(), m[2]
+                else:
+                    rest.append(w)
+                    continue
+                ids = words.get(bare)
+                if ids is None:
+                    ids = words[bare] = self.one(bare)
+                    self.held += len(bare) + ENTRY
+                if stops:
+                    tail = self.stops.get(stops)
+                    if tail is None:
+                        tail = self.one(stops)
+                        if len(stops) <= LONG_WORD and len(self.stops) < 1000:
+                            self.stops[stops] = tail
+                    ids += tail
+                words[w] = ids
+        plain = [w for w in rest if MARK not in w] if self.mark is not None else []
         for i in range(0, len(plain), 4096):  # many words in one call, with a mark between them
             part = plain[i:i + 4096]
             ids = np.array(self.t.encode_batch_fast([(b" " + MARK + b" ").join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(ids == self.mark).tolist()
             raw = ids.tobytes()
-            self.words.update(zip(part, (raw[4 * a:4 * z] for a, z in zip([0, *(x + 1 for x in at)], [*at, len(ids)])), strict=True))
-        rest = [w for w in new if w not in self.words]
+            words.update(zip(part, (raw[4 * a:4 * z] for a, z in zip([0, *(x + 1 for x in at)], [*at, len(ids)])), strict=True))
+        rest = [w for w in rest if w not in words]
         for w, e in zip(rest, self.t.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
-            self.words[w] = np.array(e.ids, "<u4").tobytes()
+            words[w] = np.array(e.ids, "<u4").tobytes()
 
 
 _loaded: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
+    """A worker keeps the vocabulary of one file, and no words from task to task."""
     if path not in _loaded:
+        _loaded.clear()
         _loaded[path] = WordEncoder(path)
     return _loaded[path]
 
@@ -131,10 +173,11 @@ def places(ids: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[int]]:
     return at, cost
 
 
-def cuts(at: list[int], cost: list[int], capacity: int) -> list[int]:
+def cuts(at: list[int], cost: list[int], capacity: int, more: bool = False) -> list[int]:
     """The chosen cuts among ``at`` (increasing, gaps of at most ``capacity``), the last always included.
 
     best(j) = min over i with at[j] - at[i] <= capacity of best(i) + padding + cost[j].
+    If there are ``more`` tokens to come, the last window's padding doesn't count.
     """
     place = [0, *at]
     value, back = [0] * len(place), [0] * len(place)
@@ -149,6 +192,8 @@ def cuts(at: list[int], cost: list[int], capacity: int) -> list[int]:
         while queue and queue[-1][0] >= g:
             queue.pop()
         queue.append((g, j))
+    if more:
+        back[-1] = min((i for i in range(bisect_left(place, place[-1] - capacity), len(place) - 1)), key=value.__getitem__)
     out, j = [], len(place) - 1
     while j > 0:
         out.append(place[j])
@@ -178,7 +223,7 @@ class Packer:
             base += len(ids) - done
         if not at:
             return []
-        chosen = cuts(at, cost, self.capacity)
+        chosen = cuts(at, cost, self.capacity, not final)
         if not final:
             chosen.pop()  # the last window may still grow
         rows: list[tuple] = []
@@ -237,18 +282,21 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ca
             columns = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(columns[0], out), *(pa.array(c, pa.int64()) for c in columns[1:])], names=schema.names)
 
-        for b in batches:
-            out = b.column(0).type
-            rows: list[tuple] = []
-            for keys, texts in parts(b):
-                for key, ids in zip(keys, e.ids(texts), strict=True):
-                    rows += packer.add(key, np.append(ids, np.array([end_id], "<u4")))
-                if len(rows) > 20_000:
+        try:
+            for b in batches:
+                out = b.column(0).type
+                rows: list[tuple] = []
+                for keys, texts in parts(b):
+                    for key, ids in zip(keys, e.ids(texts), strict=True):
+                        rows += packer.add(key, np.append(ids, np.array([end_id], "<u4")))
+                    if len(rows) > 20_000:
+                        yield batch(rows)
+                        rows = []
+                if rows:
                     yield batch(rows)
-                    rows = []
-            if rows:
+            if out is not None and (rows := packer.plan(True)):
                 yield batch(rows)
-        if out is not None and (rows := packer.plan(True)):
-            yield batch(rows)
+        finally:
+            e.forget()  # workers are used again, by other stages too
 
     return docs.select(key, text).mapInArrow(run, schema)
