@@ -5,7 +5,8 @@ cells. A vector is stored in the cell of its nearest codewords. As a query it
 visits cells in the order of the multi-sequence traversal (summed distance of
 both halves) until the target recall is reached, and what it finds is verified by
 exact cosines, in blocks. Links are counted and joined to components without ever
-writing out all pairs.
+writing out all pairs. Grids have more cells the more vectors there are, so that
+what a cell holds stays about the same.
 """
 
 from __future__ import annotations
@@ -16,14 +17,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import types as T
 
-from tallyweave.llm.common import connected_components, written
+from tallyweave.llm.common import connected_components, discard, written
 
-#: Vectors that codebooks are fitted on, at most, and codewords a half.
-SAMPLE, CODEWORDS = 8192, 24
-#: Share of neighbours just at the threshold whose cell is to be visited; cells a query may rank (far more than it visits).
-RECALL, RANKED = 0.998, 400
+#: Vectors of one length that codebooks are fitted on, at most; from LENGTHS lengths on, a share of LENGTHS times as many.
+SAMPLE, LENGTHS = 8192, 16
+#: Vectors of a group in a cell, about, and the least and most codewords a half (beyond the most, about 2**26 vectors of a group, cells grow).
+CELL, LEAST, MOST = 64, 4, 1024
+#: Share of neighbours just at the threshold whose cell is to be visited.
+RECALL = 0.998
 #: Vectors in a block of the verification.
 BLOCK = 512
 
@@ -45,19 +49,29 @@ class Grid:
         return a.argmin(1) * len(self.second) + b.argmin(1)
 
     def visits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) of all visits. The home cell comes first; the k-th cell in the traversal
-        has ranks (a, b) with a * b <= k, so only such rank pairs are looked at."""
+        """(row, cell) of all visits: a multi-sequence traversal by rank in the first codebook. Each step takes
+        of the second, nearest first, what the summed distance leaves within reach; it ends where nothing is."""
         a, b = self.distances(x)
         ra, rb = a.argsort(1, kind="stable"), b.argsort(1, kind="stable")
         a, b = np.take_along_axis(a, ra, 1), np.take_along_axis(b, rb, 1)
-        pairs = np.array([(i, j) for i in range(a.shape[1]) for j in range(b.shape[1]) if (i + 1) * (j + 1) <= RANKED])
-        excess = a[:, pairs[:, 0]] + b[:, pairs[:, 1]] - (a[:, :1] + b[:, :1])
-        row, k = np.nonzero(excess <= self.reach)
-        return row, ra[row, pairs[k, 0]] * len(self.second) + rb[row, pairs[k, 1]]
+        a, b = a - a[:, :1], b - b[:, :1]
+        rows, cells = [], []
+        for i in range(a.shape[1]):
+            active = np.flatnonzero(a[:, i] <= self.reach)
+            if not len(active):
+                break
+            row, j = np.nonzero(b[active] <= self.reach - a[active, i][:, None])
+            rows.append(active[row])
+            cells.append(ra[active[row], i] * len(self.second) + rb[active[row], j])
+        row, cell = np.concatenate(rows), np.concatenate(cells)
+        order = np.argsort(row, kind="stable")
+        return row[order], cell[order]
 
 
 def codebook(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
-    """k-means; fewer distinct points give fewer codewords."""
+    """k-means; fewer distinct points give fewer codewords, and points of no dimension one."""
+    if not x.shape[1]:
+        return np.zeros((1, 0))
     x = np.unique(x, axis=0)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(rounds):
@@ -68,12 +82,17 @@ def codebook(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12)
     return c
 
 
-def fit_grid(x: np.ndarray, threshold: float, seed: int = 5) -> Grid:
+def codewords(members: float) -> int:
+    """Codewords a half for groups of so many vectors: the grid has the square of it in cells."""
+    return int(min(MOST, max(LEAST, round((members / CELL) ** 0.5))))
+
+
+def fit_grid(x: np.ndarray, threshold: float, k: int, seed: int = 5) -> Grid:
     """Codebooks from a sample of unit vectors. ``reach`` is measured on it: each vector gets
     neighbours at exactly the threshold in random directions, and RECALL of their cells must be visited."""
     rng = np.random.default_rng(seed)
     h = x.shape[1] // 2
-    grid = Grid(codebook(x[:, :h], CODEWORDS, rng), codebook(x[:, h:], CODEWORDS, rng), 0.0)
+    grid = Grid(codebook(x[:, :h], k, rng), codebook(x[:, h:], k, rng), 0.0)
     y = np.repeat(x, max(1, 4000 // len(x)), axis=0)
     side = rng.standard_normal(y.shape)
     side -= (side * y).sum(1)[:, None] * y
@@ -99,25 +118,21 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-NODE = ("grp", "dim", "node", "code")
-
-
 def block_links(threshold: float):
     """For the vectors stored in one block of a cell and the queries of one block that visit it:
-    (grp, dim, node, code, links, other): links found, weighted by copies, and with ``other`` a link of a spanning forest."""
+    (id, node, links, other): links found, weighted by copies, and with ``other`` a link of a spanning forest."""
 
     def run(stored: pa.Table, asking: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if len(stored) and len(asking):
             m, q = unit(matrix(stored["vector"])), unit(matrix(asking["vector"]))
+            mid, qid = stored["id"].to_numpy(), asking["id"].to_numpy()
             mn, qn = stored["node"].to_numpy(), asking["node"].to_numpy()
-            mc, qc = stored["code"].to_numpy(), asking["code"].to_numpy()
-            link = (q @ m.T >= threshold) & ~((qc[:, None] == mc) & (qn[:, None] == mn))
-            grp, dim = stored["grp"][0].as_py(), stored["dim"][0].as_py()
+            link = (q @ m.T >= threshold) & (qid[:, None] != mid)
             copies, ask_copies = stored["copies"].to_numpy(), asking["copies"].to_numpy()
             counts = link @ copies
             i = np.flatnonzero(counts)
-            rows += [(grp, dim, *x, None) for x in zip(qn[i].tolist(), qc[i].tolist(), counts[i].tolist())]
+            rows += [(*x, None) for x in zip(qid[i].tolist(), qn[i].tolist(), counts[i].tolist())]
             # a stored vector that does not visit the query's home counts the link here, others count it there
             home = asking["home"].to_numpy()
             back = np.zeros(len(m), np.int64)
@@ -127,11 +142,10 @@ def block_links(threshold: float):
                 k = np.flatnonzero(link[:, j])
                 back[j] = ask_copies[k[~np.isin(home[k], cells)]].sum()
             j = np.flatnonzero(back)
-            rows += [(grp, dim, *x, None) for x in zip(mn[j].tolist(), mc[j].tolist(), back[j].tolist())]
-            rows += [(grp, dim, int(qn[a]), int(qc[a]), 0, int(mn[b])) for a, b in forest(link)]
-        columns = list(zip(*rows)) if rows else [()] * 6
-        kinds = (stored.schema.field("grp").type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=[*NODE, "links", "other"])
+            rows += [(*x, None) for x in zip(mid[j].tolist(), mn[j].tolist(), back[j].tolist())]
+            rows += [(int(qid[a]), int(qn[a]), 0, int(mn[b])) for a, b in forest(link)]
+        columns = list(zip(*rows)) if rows else [()] * 4
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["id", "node", "links", "other"])
 
     return run
 
@@ -168,54 +182,70 @@ def near_dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
     says whether it is the row's own. Vectors that are null, empty, zero or hold
     null or non-finite numbers, rows with a null group or key, link with nothing
     (a null key has a null component and kept false). Vectors of different
-    lengths don't link. Equal vectors are stored once with their number; rows
-    that share a key are one node of the graph. Other columns are not carried.
+    lengths don't link; of one number, those of the same sign do. Equal vectors
+    are stored once with their number; rows that share a key are one node of the
+    graph. Keys are whole numbers, others an error. Other columns are not
+    carried; a table without rows gives none.
     """
+    if not isinstance(vectors.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} is {vectors.schema[key].dataType.simpleString()}, not a whole number")
     v = F.col("vector")
     rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(group).alias("grp"), F.col(vector).alias("vector"))
     big = F.array_max(F.transform(v, lambda x: F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), float("inf")).otherwise(F.abs(x))))
-    usable = F.coalesce(F.col("key").isNotNull() & F.col("grp").isNotNull() & (F.size(v) > 1) & (big > 0) & (big < float("inf")), F.lit(False))
-    coded = rows.withColumn("code", F.when(usable, F.xxhash64("vector"))).withColumn("dim", F.size("vector"))
-    classes = written(coded.where("code is not null").groupBy("grp", "dim", "code", "vector").agg(F.min("key").alias("node"), F.count("*").alias("copies")), "classes")
-    links = _links(classes, threshold)
-    counts = links.groupBy(*NODE).agg(F.sum("links").alias("links"))
+    usable = F.coalesce(F.col("key").isNotNull() & F.col("grp").isNotNull() & (F.size(v) > 0) & (big > 0) & (big < float("inf")), F.lit(False))
+    # vectors of one number are their sign, so all of them are copies of two
+    alike = F.when(F.size(v) == 1, F.transform(v, lambda x: F.signum(x).cast(vectors.schema[vector].dataType.elementType))).otherwise(v)
+    coded = (rows.withColumn("vector", F.when(usable, alike)).withColumn("dim", F.size("vector"))
+             .withColumn("code", F.when(usable, F.xxhash64("vector"))).withColumn("check", F.when(usable, F.xxhash64(F.lit(7), "vector"))))
+    by = ["grp", "dim", "code", "check"]
+    classes = coded.where("code is not null").groupBy(*by, "vector").agg(F.min("key").alias("node"), F.count("*").alias("copies"))
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    links = _links(classes.select("id", "grp", "dim", "node", "copies", "vector"), threshold)
+    counts = links.groupBy("id").agg(F.sum("links").alias("links"))
     edges = links.where("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v"))
-    named = classes.select(*NODE, "copies").join(counts, list(NODE), "left").select("grp", "dim", "code", "node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    rows = coded.select("key", "grp", "dim", "code").join(written(named, "named"), ["grp", "dim", "code"], "left")
+    named = classes.select("id", *by, "node", "copies").join(counts, "id", "left").select(*by, "node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    rows = written(coded.select("key", *by).join(written(named, "named"), by, "left").select("key", "node", "n_links"), "rows")
     # copies stay out of the graph: only a key that has several vectors links them
-    several = rows.where("code is not null").select("key", "node").distinct().groupBy("key").agg(F.count("*").alias("nodes")).where("nodes > 1").select("key")
+    several = rows.where("node is not null").select("key", "node").distinct().groupBy("key").agg(F.count("*").alias("nodes")).where("nodes > 1").select("key")
     own = rows.join(several, "key", "left_semi").select(F.col("key").alias("u"), F.col("node").alias("v")).where("u <> v")
     components = written(connected_components(edges.union(own)).select(F.col("node").alias("reached"), "component"), "components")
+    discard(classes, links)
     out = rows.join(components, F.col("node") == F.col("reached"), "left").withColumn("component", F.coalesce("component", "node", "key"))
     return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("component").alias("component_id"),
                       F.coalesce(F.col("component") == F.col("key"), F.lit(False)).alias("kept"))
 
 
+def _grids(classes: DataFrame, threshold: float) -> dict[int, Grid]:
+    """A grid for each length, from a bounded sample of its vectors (those with the smallest hashes).
+
+    It has the cells that the groups call for in which the average vector is.
+    """
+    size = classes.groupBy("grp", "dim").count().groupBy("dim").agg((F.sum(F.col("count") * F.col("count").cast("double")) / F.sum("count")).alias("members"))
+    members = {r["dim"]: r["members"] for r in size.collect()}  # a row for each length
+    most = SAMPLE if len(members) <= LENGTHS else max(64, SAMPLE * LENGTHS // len(members))
+    rank = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("node", "vector")))
+    sample = classes.select("dim", "vector", rank.alias("rank")).where(F.col("rank") <= most).select("dim", "vector").toPandas()
+    return {int(d): fit_grid(unit(np.array(part["vector"].tolist(), np.float64)), threshold, codewords(members[d])) for d, part in sample.groupby("dim")}
+
+
 def _links(classes: DataFrame, threshold: float) -> DataFrame:
-    spark = classes.sparkSession
-    sample = classes.orderBy(F.xxhash64("code", "node")).limit(SAMPLE).select("dim", "vector").toPandas()  # SAMPLE rows at most
-    grids = {int(d): fit_grid(unit(np.array(part["vector"].tolist(), np.float64)), threshold) for d, part in sample.groupby("dim")}
-    held = spark.sparkContext.broadcast(grids)
-    fields = [*classes.schema.fields]
+    held = classes.sparkSession.sparkContext.broadcast(_grids(classes, threshold))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = pa.Table.from_batches([batch])
             for d in set(t["dim"].to_pylist()):
                 part = t.filter(pa.compute.equal(t["dim"], d))
-                for at in range(0, len(part), 2048):
-                    p = part.slice(at, 2048)
+                grid = held.value[d]
+                step = max(16, (1 << 20) // (len(grid.first) + len(grid.second)))
+                for at in range(0, len(part), step):
+                    p = part.slice(at, step)
                     x = unit(matrix(p["vector"]))
-                    grid = held.value.get(d)
-                    if grid is None:  # a length that the sample lacks: one cell
-                        home, visited = np.zeros(len(p), np.int64), [[0]] * len(p)
-                    else:
-                        home = grid.home(x)
-                        row, cell = grid.visits(x)
-                        visited = np.split(cell, np.searchsorted(row, np.arange(1, len(p))))
-                    yield from p.append_column("home", pa.array(home, pa.int64())).append_column("visited", pa.array(list(visited), pa.list_(pa.int64()))).combine_chunks().to_batches()
-
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
+                    row, cell = grid.visits(x)
+                    visited = np.split(cell, np.searchsorted(row, np.arange(1, len(p))))
+                    yield from p.append_column("home", pa.array(grid.home(x), pa.int64())).append_column("visited", pa.array(list(visited), pa.list_(pa.int64()))).combine_chunks().to_batches()
+
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema.fields)
     placed = written(classes.mapInArrow(visit, f"{ddl}, home long, visited array<long>"), "placed")
     asking = placed.withColumn("cell", F.explode("visited"))
     cell = ["grp", "dim", "cell"]
@@ -224,7 +254,7 @@ def _links(classes: DataFrame, threshold: float) -> DataFrame:
              .join(asking.groupBy(*cell).agg(F.count("*").alias("n_asking")), cell)
              .select(*cell, blocks("n_stored").alias("stored_blocks"), blocks("n_asking").alias("asking_blocks")))
     sizes = written(sizes, "sizes")  # so that joins with it can be split where a cell is crowded
-    deal = F.xxhash64("node", "code", "cell")
+    deal = F.xxhash64("id", "cell")
 
     def part(n: str):
         return F.pmod(deal, F.col(n)).cast("int")
@@ -233,12 +263,14 @@ def _links(classes: DataFrame, threshold: float) -> DataFrame:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
     left = (placed.withColumn("cell", F.col("home")).join(sizes, cell)
-            .select(*NODE, "vector", "copies", "visited", "cell", part("stored_blocks").alias("s"), every("asking_blocks").alias("a")))
+            .select("id", "grp", "dim", "node", "vector", "copies", "visited", "cell", part("stored_blocks").alias("s"), every("asking_blocks").alias("a")))
     right = (asking.join(sizes, cell)
-             .select(*NODE, "vector", "copies", "home", "cell", part("asking_blocks").alias("a"), F.col("stored_blocks"))
-             .select(*NODE, "vector", "copies", "home", "cell", every("stored_blocks").alias("s"), "a"))
+             .select("id", "grp", "dim", "node", "vector", "copies", "home", "cell", part("asking_blocks").alias("a"), F.col("stored_blocks"))
+             .select("id", "grp", "dim", "node", "vector", "copies", "home", "cell", every("stored_blocks").alias("s"), "a"))
     right = right.toDF(*right.columns)  # columns of its own for the cogroup
     by = [*cell, "s", "a"]
-    kind = classes.schema["grp"].dataType.simpleString()
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(block_links(threshold), f"grp {kind}, dim int, node long, code long, links long, other long")
-    return written(found, "links")
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(block_links(threshold), "id long, node long, links long, other long")
+    out = written(found, "links")
+    discard(placed, sizes)
+    held.unpersist()
+    return out
