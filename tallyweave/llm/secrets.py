@@ -1,22 +1,24 @@
 """Secret scans with a trigram inverted index, on DataFrame functions alone.
 
 From each rule's regex a Boolean query over trigrams is derived: alternatives, each
-a set of trigrams that any match must hold. Postings (trigram, text) are built for
-the trigrams that queries name; a text is a candidate of a rule if the postings of
-one alternative all have it. Candidates are verified with the regex. A rule with an
-alternative that forces no trigram scans every text.
+a set of trigrams that any match must hold. For the trigrams that queries name the
+index has posting lists, sorted ids of texts, cut into slices of the id range. The
+lists of an alternative are intersected slice by slice; what any alternative of any
+rule leaves are the candidates, and those are verified with the regexes. A rule with
+an alternative that forces no trigram scans every text.
+
+Only ids are shuffled, never texts: the candidates' ids become a bitmap of bounded
+size, which is broadcast, so verification is one narrow pass.
 """
 
 from __future__ import annotations
 
 import itertools
-import re._constants as sre
-import re._parser as sre_parser
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyweave.llm.common import written
+from tallyweave.llm.common import discard, written
 
 
 @dataclass(frozen=True)
@@ -59,28 +61,71 @@ MOST_STRINGS = 256
 GAP = None  # stands for text that is not fixed
 
 
-def fixed_runs(items) -> list[tuple]:
-    """Alternatives for a parsed regex, each a sequence of fixed letters and gaps. Too many: a single gap."""
-    found: list[tuple] = [()]
-    for op, arg in items:
-        if op is sre.LITERAL:
-            more = [(chr(arg),)]
-        elif op is sre.IN and all(k is sre.LITERAL for k, _ in arg) and len(arg) <= 8:
-            more = [(c,) for c in sorted({chr(c).lower() for _, c in arg})]
-        elif op is sre.SUBPATTERN:
-            more = fixed_runs(arg[3])
-        elif op is sre.BRANCH:
-            more = [r for branch in arg[1] for r in fixed_runs(branch)]
-        elif op is sre.MAX_REPEAT and arg[:2] == (0, 1):
-            more = [(), *fixed_runs(arg[2])]
-        elif op is sre.MAX_REPEAT and arg[0] >= 1:
-            more = [(*r, GAP) for r in fixed_runs(arg[2])]
-        else:
-            more = [(GAP,)]
-        found = [a + b for a, b in itertools.product(found, more)]
-        if len(found) > MOST_STRINGS:
-            return [(GAP,)]
-    return list(dict.fromkeys(found))
+class FixedRuns:
+    """Alternatives for a rule's pattern, each a sequence of fixed letters and gaps; too many make a single gap.
+
+    Reads what rules are written in: letters, escapes, classes, groups,
+    alternatives and the quantifiers ? * + {n,m}.
+    """
+
+    def __init__(self, pattern: str):
+        self.rest = pattern
+
+    def take(self, n: int = 1) -> str:
+        got, self.rest = self.rest[:n], self.rest[n:]
+        return got
+
+    def until(self, end: str) -> str:
+        got = self.take(self.rest.index(end))
+        self.take()
+        return got
+
+    def branches(self) -> list[tuple]:
+        found = self.sequence()
+        while self.rest.startswith("|"):
+            self.take()
+            found = found + self.sequence()
+        return list(dict.fromkeys(found))
+
+    def sequence(self) -> list[tuple]:
+        found: list[tuple] = [()]
+        while self.rest and self.rest[0] not in "|)":
+            found = [a + b for a, b in itertools.product(found, self.times(self.one()))]
+            if len(found) > MOST_STRINGS:
+                found = [(GAP,)]
+        return found
+
+    def one(self) -> list[tuple]:
+        c = self.take()
+        if c == "(":
+            self.rest = self.rest.removeprefix("?:")
+            if self.rest.startswith("?"):
+                raise ValueError(f"a rule's group may not begin with {self.rest[:3]}")
+            found = self.branches()
+            self.take()
+            return found
+        if c == "[":
+            letters = self.until("]")
+            if len(letters) > 8 or any(x in letters for x in "\\^-"):
+                return [(GAP,)]
+            return [(x,) for x in sorted({*letters.lower()})]
+        if c == "\\":
+            c = self.take()
+            if c == "x":
+                return [(chr(int(self.take(2), 16)),)]
+            return [(GAP,)] if c.isalnum() else [(c,)]
+        return [(GAP,)] if c in ".^$" else [(c.lower(),)]
+
+    def times(self, what: list[tuple]) -> list[tuple]:
+        c = self.rest[:1]
+        if c == "?":
+            self.take()
+            return [(), *what]
+        if c and c in "*+{":
+            self.take()
+            least = int(self.until("}").split(",")[0]) if c == "{" else int(c == "+")
+            return [(*r, GAP) for r in what] if least else [(GAP,)]
+        return what
 
 
 def trigram_query(pattern: str) -> list[tuple[str, ...]] | None:
@@ -89,7 +134,7 @@ def trigram_query(pattern: str) -> list[tuple[str, ...]] | None:
     An alternative that demands more than another is dropped.
     """
     sets = set()
-    for run in fixed_runs(sre_parser.parse(pattern)):
+    for run in FixedRuns(pattern).branches():
         text = "".join("\0" if c is GAP else c.lower() for c in run)
         grams = frozenset(text[i:i + 3] for i in range(len(text) - 2) if "\0" not in text[i:i + 3])
         if not grams:
@@ -119,30 +164,88 @@ def spans_of(text: Column, rule: Rule) -> Column:
     return F.aggregate(zipped, start, step, lambda acc: F.transform(acc["spans"], lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text") -> DataFrame:
-    """(digest, kinds): for each distinct text that postings make a candidate, the kinds of its rules.
+#: Letters of running text, common first: a guess at which trigrams are rare. It decides nothing but the cost.
+COMMON_FIRST = " etaoinshrdlcumwfgypbvkjxqz"
+
+
+def leaders(alternatives: list[tuple[str, ...]]) -> dict[str, list[str]]:
+    """A few trigrams of which every alternative has one, each with the other trigrams of its alternatives.
+
+    Those of many alternatives first, then those of rare letters. A text without
+    a leader has none of its alternatives, so the others are only looked up
+    where the leader is.
+    """
+    rare = lambda g: sum(COMMON_FIRST.index(c) if c in COMMON_FIRST else 30 for c in g)
+    left, found = list(alternatives), {}
+    while left:
+        first = max(sorted({g for a in left for g in a}), key=lambda g: (sum(g in a for a in left), rare(g)))
+        found[first] = sorted({g for a in left if first in a for g in a} - {first})
+        left = [a for a in left if first not in a]
+    return found
+
+
+#: Ids in a posting list of one slice, about; bits of the bitmap for each candidate, and at least and most (64 MB).
+SLICE = 1 << 15
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 15, 1 << 29
+
+
+def postings(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text") -> DataFrame:
+    """The inverted index: (slice, lists), with ``lists[g]`` the sorted ids of texts in the slice that have trigram number g.
 
-    digest is the text's MD5. A posting's text appears once for each copy-free
-    (digest, trigram): copies are merged before and after the shuffle, so hot
-    texts do not gather.
+    An id is a 64-bit hash of the text, so copies are one entry (two texts of one
+    hash would only make a needless candidate), and a slice is a range of ids:
+    however frequent a trigram is, its list comes in bounded pieces.
     """
-    queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
-    grams = sorted({g for q in queries.values() for alternative in q for g in alternative})
-    keyed = docs.select(F.md5(F.col(text).cast("binary")).alias("digest"), F.lower(F.col(text)).alias("low"))
-    postings = keyed.select("digest", F.explode(F.array_compact(F.array(*[
-        F.when(F.contains(F.col("low"), F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]))).alias("gram"))
-    held = postings.groupBy("digest").agg(F.collect_set("gram").alias("grams"))  # at most as many as queries name
+    grams, lead = query_grams(rules)
     number = {g: i for i, g in enumerate(grams)}
+    low = F.lower(F.col(text))
 
-    def holds(q: list[tuple[str, ...]]) -> Column:
-        hit = F.lit(False)
-        for alternative in q:
-            need = F.array(*[F.lit(number[g]) for g in alternative])
-            hit = hit | (F.size(F.array_except(need, F.col("grams"))) == 0)
-        return hit
+    def has(g: str) -> Column:
+        return F.contains("low", F.lit(g))
 
-    kinds = F.filter(F.array(*[F.when(holds(q), F.lit(k)) for k, q in queries.items()]), lambda x: x.isNotNull())
-    return held.select("digest", kinds.alias("kinds")).where(F.size("kinds") > 0)
+    found = F.array_distinct(F.concat(*(
+        F.when(has(first), F.array_compact(F.array(F.lit(number[first]), *(F.when(has(g), F.lit(number[g])) for g in more)))).otherwise(F.array().cast("array<int>"))
+        for first, more in lead.items())))
+    entries = written(docs.select(F.xxhash64(F.col(text)).alias("id"), low.alias("low")).select("id", F.explode(found).alias("gram")), "postings")
+    slices = max(1, entries.count() // SLICE)
+    part = F.pmod("id", F.lit(slices)).alias("slice")
+    lists = entries.groupBy(part, "gram").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    return lists.groupBy("slice").agg(F.map_from_entries(F.collect_list(F.struct("gram", "ids"))).alias("lists"))
+
+
+def query_grams(rules: tuple[Rule, ...]) -> tuple[list[str], dict[str, list[str]]]:
+    alternatives = sorted({a for r in rules for a in trigram_query(r.pattern) or ()})
+    return sorted({g for a in alternatives for g in a}), leaders(alternatives)
+
+
+def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Ids of texts that may have a match of any of ``rules``: posting lists intersected for each alternative, then united."""
+    number = {g: i for i, g in enumerate(query_grams(rules)[0])}
+    none = F.array().cast("array<bigint>")
+
+    def ids(alternative: tuple[str, ...]) -> Column:
+        lists = [F.coalesce(F.try_element_at("lists", F.lit(number[g])), none) for g in alternative]
+        out = lists[0]
+        for more in lists[1:]:
+            out = F.array_intersect(out, more)
+        return out
+
+    all_ids = F.flatten(F.array(*(ids(a) for r in rules for a in trigram_query(r.pattern)))) if rules else none
+    return index.select(F.explode(F.array_distinct(all_ids)).alias("id"))
+
+
+def as_bitmap(ids: DataFrame) -> tuple[DataFrame, int]:
+    """(bucket, bits) and the number of bits: bit ``id mod bits`` is set for each id.
+
+    Its size grows with the ids up to MOST_BITS; where there are more, other
+    texts share their bits and are verified in vain.
+    """
+    n = ids.count()
+    bits = LEAST_BITS
+    while bits < min(MOST_BITS, n * BITS_EACH):
+        bits *= 2
+    at = F.pmod("id", F.lit(bits))
+    return ids.groupBy((at / LEAST_BITS).cast("int").alias("secret_bucket")).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(LEAST_BITS))).alias("secret_bits")), bits
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
@@ -150,25 +253,35 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -
 
     A null text counts as empty and has no spans. Texts of any length are scanned
     whole. All rows stay, repeated ones too, as do other columns; a column named
-    secret_spans is replaced. Texts are joined to candidates by digest; the few
-    candidates are broadcast only if Spark knows their size to be small, and a
-    digest with many copies is split by adaptive execution.
+    secret_* of ours is replaced; a table without rows gives none. The index is
+    kept in the shared folder while candidates are found; texts stay where they
+    are, so neither copies nor frequent trigrams gather.
     """
-    docs = docs.drop("secret_spans", "secret_digest", "secret_kinds")
+    docs = docs.drop("secret_spans", "secret_bucket", "secret_bits", "secret_at")
     indexed = tuple(r for r in rules if trigram_query(r.pattern))
-    found = written(candidates(docs, indexed, text).select(F.col("digest").alias("secret_digest"), F.col("kinds").alias("secret_kinds")), "candidates")
-    keyed = docs.withColumn("secret_digest", F.md5(F.col(text).cast("binary")))
-    joined = keyed.join(found, "secret_digest", "left")
+    lists = postings(docs, indexed, text)
+    index = written(lists, "index")
+    discard(lists)  # the entries that it was made from
+    found = written(candidates(index, indexed), "candidates")
+    bitmap, bits = as_bitmap(found)
+    bitmap = written(bitmap, "bitmap")
+    discard(index, found)
+    keyed = docs.withColumn("secret_at", F.pmod(F.xxhash64(F.col(text)), F.lit(bits)))
+    keyed = keyed.withColumn("secret_bucket", (F.col("secret_at") / LEAST_BITS).cast("int"))
+    joined = keyed.join(F.broadcast(bitmap), "secret_bucket", "left")  # at most MOST_BITS / 8 bytes
+    spot = F.pmod("secret_at", F.lit(LEAST_BITS)).cast("int")
+    byte = F.conv(F.hex(F.substring("secret_bits", F.shiftright(spot, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    joined = joined.withColumn("secret_at", F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(spot, F.lit(8)))), F.lit(2)) == 1, F.lit(False)))
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
     body = F.col(text)
     parts = []
     for r in rules:
-        look = F.array_contains("secret_kinds", r.kind) if r in indexed else F.lit(True)
+        look = F.col("secret_at") if r in indexed else F.lit(True)
         parts.append(F.when(look & body.rlike(r.quick or r.pattern), spans_of(body, r)).otherwise(none))
     rank = {r.kind: i for i, r in enumerate(rules)}
     order = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])
     spans = F.array_sort(F.concat(*parts), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(order[a["kind"]] - order[b["kind"]]))
-    return joined.withColumn("secret_spans", spans).drop("secret_digest", "secret_kinds")
+    return joined.withColumn("secret_spans", spans).drop("secret_at", "secret_bucket", "secret_bits")
 
 
 def joined_spans(spans: Column) -> Column:
