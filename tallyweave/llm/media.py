@@ -411,7 +411,7 @@ def parts(column: pa.Array) -> Iterator[tuple[int, list[bytes | None]]]:
         yield first, values
 
 
-def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def texts_as_images(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_bytes`` and ``media``: each text's UTF-8 bytes, padded, as JPEG images (null: no bytes)."""
     schema = T.StructType([docs.schema[key], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 
@@ -426,7 +426,10 @@ def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def digest(stored: DataFrame, key: str = "doc_id") -> DataFrame:
-    """What is read back from ``store_texts``: sizes and hashes of payload and media, and the feature."""
+    """What is read back from ``texts_as_images``: sizes and hashes of payload and media, and the feature.
+
+    Media that is null or can't be decoded gives nulls for all that is read from it.
+    """
     schema = T.StructType([stored.schema[key], *T.StructType.fromDDL("n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,6 +437,9 @@ def digest(stored: DataFrame, key: str = "doc_id") -> DataFrame:
             for first, values in parts(batch.column(2)):
                 rows = []
                 for m, x in zip(values, decode(values), strict=True):
+                    if x is None:
+                        rows.append((None, None, None, m and len(m), m and hashlib.sha256(m).hexdigest(), None))
+                        continue
                     payload = x[4].tobytes()
                     rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), f"{x[0]}x{x[1]}:{':'.join(hashes(x[4]))}"))
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())

@@ -20,6 +20,10 @@ from pyspark.sql import types as T
 #: Labelled rows of each class that are fitted on, at most: the sample's bound.
 PER_CLASS = 1500
 BINS, RANK, NEIGHBOURS, SHARPNESS = 1536, 48, 15, 12.0
+#: Cosines this much below the last neighbour's count as tied with it, and tied rows all vote.
+TIE = 1e-6
+#: Score of texts without words: there is nothing to keep, and no labelled row says otherwise.
+NO_WORDS = 0.0
 #: Terms besides hashed byte trigrams: shares of the text's words or lines.
 EXTRA = ("same word as before", "same word as two before", "word in capitals", "symbol", "long word",
          "repeated word", "repeated line", "lines to words", "digit")
@@ -68,7 +72,7 @@ class Model:
     labels: np.ndarray
 
     def scores(self, texts: list[bytes | None], block: int = 512) -> np.ndarray:
-        """Between 0 and 1; a text without words is like none and all alike: the labels' mean over classes, 0.5."""
+        """Between 0 and 1. Without labelled rows all texts score 0.5; else those without words NO_WORDS."""
         out = np.full(len(texts), 0.5)
         if not len(self.labels):
             return out
@@ -77,11 +81,11 @@ class Model:
             x = unit((terms(part) * self.weight) @ self.space)
             cosine = x @ self.vectors.T
             k = min(NEIGHBOURS, len(self.labels))
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            c = np.take_along_axis(cosine, near, 1)
-            w = np.exp(SHARPNESS * (c - c.max(1, keepdims=True)))
-            vote = (w * self.labels[near]).sum(1) / w.sum(1)
-            out[at:at + len(part)] = np.where(np.abs(x).sum(1) > 0, vote, 0.5)
+            last = -np.partition(-cosine, k - 1, axis=1)[:, k - 1]
+            row, near = np.nonzero(cosine >= last[:, None] - TIE)
+            w = np.exp(SHARPNESS * (cosine[row, near] - cosine.max(1)[row]).astype(np.float64))
+            vote = np.bincount(row, w * self.labels[near], len(part)) / np.bincount(row, w, len(part))
+            out[at:at + len(part)] = np.where(np.abs(x).sum(1) > 0, vote, NO_WORDS)
         return np.clip(out, 0.0, 1.0)
 
 
@@ -131,8 +135,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with column ``out``. Narrow: the bounded model is broadcast, no shuffle.
 
-    Null and empty texts score 0.5; all rows and other columns stay (a column
-    named like ``out`` is replaced). Texts are whole, whatever their length.
+    Null and empty texts, and blank ones, score NO_WORDS (0.5 if nothing is
+    labelled); all rows and other columns stay (a column named like ``out`` is
+    replaced). Texts are whole, whatever their length. Labelled rows that tie
+    with the last neighbour all vote, so no order of rows matters.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -19,7 +19,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digest(media.store_texts(table(spark, sf_dir, "documents")))
+    return media.digest(media.texts_as_images(table(spark, sf_dir, "documents")))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,11 +12,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-#: Texts longer than this are split, and as much is encoded in one call.
-CHUNK_CHARS = 1 << 16
-CALL_CHARS = 1 << 20
+#: Texts of more bytes are split, in pieces of about CHUNK characters, and CALL bytes are encoded in one call.
+CHUNK = 1 << 16
+CALL = 1 << 20
 
 _loaded: dict[str, "Counter"] = {}
 
@@ -56,24 +57,24 @@ class Counter:
             self.lengths = lambda texts: [len(x.ids) for x in t.encode_batch_fast(texts, add_special_tokens=False)]
 
     def pieces(self, text: str) -> list[str]:
-        if len(text) <= CHUNK_CHARS or self.cut is None:
+        if len(text) <= CHUNK or self.cut is None:
             return [text]
         out, start = [], 0
-        while (m := self.cut.search(text, start + CHUNK_CHARS)):
+        while (m := self.cut.search(text, start + CHUNK)):
             out.append(text[start:m.start()])
             start = m.end() if self.drop else m.start()
         return [*out, text[start:]]
 
-    def counts(self, texts: list[str | None]) -> list[int]:
-        """Tokens of each text; null counts as empty."""
-        out, call, chars = [0] * len(texts), [], 0
-        for i, text in enumerate(texts):
-            for p in self.pieces(text) if text else ():
+    def counts(self, texts: list[str | None], sizes: list[int]) -> list[int]:
+        """Tokens of each text, given its bytes; null counts as empty. Calls have about equal bytes."""
+        out, call, held = [0] * len(texts), [], 0
+        for i, (text, size) in enumerate(zip(texts, sizes, strict=True)):
+            for p in (self.pieces(text) if size > CHUNK else [text]) if text else ():
                 call.append((i, p))
-                chars += len(p)
-                if chars >= CALL_CHARS:
+                held += len(p.encode()) if size > CHUNK else size
+                if held >= CALL:
                     self._add(out, call)
-                    call, chars = [], 0
+                    call, held = [], 0
         self._add(out, call)
         return out
 
@@ -101,7 +102,8 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", limit: int = 40
     def lengths(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = counter(path)
         for batch in batches:
-            yield pa.array(c.counts(batch.to_pylist()), pa.int64())
+            sizes = pc.fill_null(pc.binary_length(batch), 0).to_pylist()
+            yield pa.array(c.counts(batch.to_pylist(), sizes), pa.int64())
 
     n = F.coalesce(lengths(F.col(text)), F.lit(0).cast("long"))
     return docs.withColumn("n_tokens", n).withColumns({
