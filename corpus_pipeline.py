@@ -14,7 +14,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is 0.5 or more; the model is trained on ``labels``."""
+    """Documents whose quality score is 0.5 or more, so none without words; the model is trained on ``labels``."""
     docs = docs.select(*COLUMNS)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model, out="quality_score").where("quality_score >= 0.5").select(*COLUMNS)
@@ -28,11 +28,9 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = jaccard.jaccard_components(docs.select("doc_id", "text"))
     first = found.where("doc_id = component_id").select("doc_id").distinct()
-    held = docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
-    repeated = held.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
-    once = held.join(repeated, "doc_id", "left_anti").select(*COLUMNS)
-    least = held.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
-    return once.unionByName(least).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    held = docs.join(first, "doc_id", "left_semi")  # the one shuffle of texts: rows of an id then stand together
+    least = held.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
+    return least.unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
