@@ -47,26 +47,29 @@ def reference_tier(records: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def amount_tiers(records: DataFrame, existing: DataFrame, score: Score = similarity, days: int = DATE_TOLERANCE_DAYS) -> DataFrame:
-    """(record_id, exact, near) from one join on cents with the days between as a band.
+    """(record_id, exact, near) from one equi-join on cents and day, to which the book's rows come for each day around theirs.
 
     exact: (row, score, empty) of the first row on the same date. near: (score,
-    row) of the best wording within ``days``, ties to the first row.
+    row) of the best wording within ``days``, ties to the first row. Both sides
+    are brought to their different wordings of an amount and date first, so an
+    amount that many rows share makes no more pairs than it has of these.
     """
-    e = existing.select(F.col("amount_cents").alias("e_cents"), F.col("date").alias("e_date"), text("description").alias("e_description"), F.col("row").alias("e_row"))
-    r = records.where("amount_cents is not null and date is not null").select("record_id", "date", "description", "amount_cents")
-    pairs = r.join(e, (F.col("amount_cents") == F.col("e_cents")) & F.col("e_date").between(F.date_sub("date", days), F.date_add("date", days)))
+    e = existing.where("amount_cents is not null and date is not null").groupBy("amount_cents", F.col("date").alias("e_date"), text("description").alias("e_description")).agg(F.min("row").alias("e_row"))
+    e = e.withColumn("date", F.explode(F.sequence(F.date_sub("e_date", days), F.date_add("e_date", days))))
+    key = ["amount_cents", "date", "description"]
+    held = records.where("amount_cents is not null and date is not null").select("record_id", *key)
+    pairs = held.select(*key).distinct().join(e, ["amount_cents", "date"])
     scored = pairs.withColumn("score", score(F.col("description"), F.col("e_description"))).withColumn("same", F.col("date") == F.col("e_date"))
     exact = F.min(F.when(F.col("same"), F.struct("e_row", "score", ((F.col("description") == "") | (F.col("e_description") == "")).alias("empty"))))
     near = F.max(F.when(F.col("score") >= WEAK_SIMILARITY, F.struct("score", (-F.col("e_row")).alias("minus_row"), F.abs(F.datediff("date", "e_date")).alias("gap"))))
-    return scored.groupBy("record_id").agg(exact.alias("exact"), near.alias("near"))
+    return held.join(scored.groupBy(*key).agg(exact.alias("exact"), near.alias("near")), key).select("record_id", "exact", "near")
 
 
 def cascade(records: DataFrame, existing: DataFrame, score: Score = similarity, days: int = DATE_TOLERANCE_DAYS) -> DataFrame:
     """(record_id, status, row, score, reason) for each record, against the book alone.
 
-    ``records`` as from ``keyed``. Two joins (reference, cents) and one outer join
-    by record_id, none of which orders anything globally; a frequent amount is
-    split by adaptive execution.
+    ``records`` as from ``keyed``. Equi-joins on reference and on cents and day,
+    and outer joins by record_id, none of which orders anything globally.
     """
     found = records.join(reference_tier(records, existing), "record_id", "left").join(amount_tiers(records, existing, score, days), "record_id", "left")
     strong = (F.col("exact.score") >= STRONG_SIMILARITY) | F.col("exact.empty")
