@@ -503,7 +503,7 @@ def verify_ranges(spark, d):
 
 #: Each order as an invoice: every seventh has no labelled total, every fifth no date that can be read, every eleventh no number.
 SOURCE = "record_id::VARCHAR"
-INVOICE_SQL = f"""select record_id::VARCHAR as source, vendor, case when record_id % 11 = 0 then '' else reference end as reference, case when record_id % 5 = 0 then null else date end as date,
+INVOICE_SQL = f"""select record_id::VARCHAR as source, replace(vendor, ' ', ' No') as vendor, case when record_id % 11 = 0 then '' else reference end as reference, case when record_id % 5 = 0 then null else date end as date,
   case when record_id % 7 = 0 then greatest(subtotal, tax) else total end as total, tax, subtotal, 'Goods K' || record_id || '; Carriage' as description,
   case when record_id % 7 = 0 then abs(subtotal + tax - greatest(subtotal, tax)) > 0.02 else abs(subtotal + tax - total) > 0.02 end as off from ({b.INVOICES})"""
 
@@ -512,7 +512,7 @@ def whole_invoices(spark: SparkSession, d: str) -> DataFrame:
     """Lines of words: a large vendor line, heading, number, two dates, items, and the amounts."""
     o = b.relation(spark, d, b.INVOICES)
     k = F.col("record_id")
-    said = [(F.lit("INVOICE"), 10.0), (F.col("vendor"), 16.0), (F.when(k % 11 != 0, F.concat(F.lit("Invoice No: "), "reference")), 10.0), (F.lit("Due date: 01/31/2031"), 10.0),
+    said = [(F.lit("INVOICE"), 10.0), (F.replace(F.col("vendor"), F.lit(" "), F.lit(" No")), 16.0), (F.when(k % 11 != 0, F.concat(F.lit("Invoice No: "), "reference")), 10.0), (F.lit("Due date: 01/31/2031"), 10.0),
             (F.concat(F.lit("Invoice date: "), F.when(k % 5 == 0, "soon enough").otherwise(F.date_format("date", "MM/dd/yyyy"))), 10.0), (F.lit("Description Qty Amount"), 10.0), (F.concat(F.lit("Goods K"), k, F.lit(" 3 "), F.lit("0.01")), 10.0), (F.lit("Carriage 0.02"), 10.0),
             (F.concat(F.lit("Subtotal "), F.format_number("subtotal", 2)), 10.0), (F.concat(F.lit("VAT 20% "), F.format_number("tax", 2)), 10.0), (F.when(k % 7 != 0, F.concat(F.lit("Total due "), F.format_number("total", 2))), 10.0)]
     lines = F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(F.lit(i).alias("line_no"), c.alias("text"), F.lit(size).alias("size"))) for i, (c, size) in enumerate(said, 1)]))
@@ -532,7 +532,7 @@ def invoice_flags(spark, d):
     return invoices.parse_invoices(whole_invoices(spark, d), 2026)[1].select("source", "field")
 
 
-@query(f"select record_id::VARCHAR as source, vendor from ({b.INVOICES})")
+@query(f"select record_id::VARCHAR as source, replace(vendor, ' ', ' No') as vendor from ({b.INVOICES})")
 def invoice_vendors(spark, d):
     return invoices.vendors(whole_invoices(spark, d))
 
