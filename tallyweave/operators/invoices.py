@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyweave.functions.text import fingerprint, strip
 from tallyweave.functions.values import infer_dayfirst, is_money_token, parse_any_date, parse_money
 from tallyweave.operators.statements import bodies
+from tallyweave.scratch import written
 from tallyweave.schema import DATE_LABEL, INVOICE_NUMBER, ITEM_HEADER, MOST_ITEMS, OTHER_DATE, TOTAL_LABELS, VENDOR_LINES, VENDOR_NOISE
 
 
@@ -78,8 +79,10 @@ def line_items(lines: DataFrame) -> DataFrame:
     head = lines.where(F.col("text").rlike(ITEM_HEADER) & (F.length("text") < 90)).groupBy("source").agg(F.min("line_no").alias("first"))
     after = lines.join(head, "source").where("line_no > first").withColumn("t", t).where("t <> ''")
     stop = after.where(label).groupBy("source").agg(F.min("line_no").alias("stop"))
-    rows = after.join(stop, "source", "left").where("stop is null or line_no < stop").withColumn("item", without_trailing_amounts(F.col("words"))).where((F.col("item") != "") & ~F.col("item").rlike("^[0-9]+$"))
-    return rows.groupBy("source").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "item"))), lambda s: s["item"]), 1, MOST_ITEMS).alias("line_items"))
+    rows = after.join(stop, "source", "left").where("stop is null or line_no < stop").withColumn("item", without_trailing_amounts(F.col("words")))
+    named = F.when((F.col("item") != "") & ~F.col("item").rlike("^[0-9]+$"), F.struct("line_no", "item"))  # as a filter it would read the amounts again
+    found = rows.groupBy("source").agg(F.slice(F.transform(F.array_sort(F.collect_list(named)), lambda s: s["item"]), 1, MOST_ITEMS).alias("line_items"))
+    return found.where(F.size("line_items") > 0)
 
 
 def arithmetic_off(subtotal: Column, tax: Column, total: Column) -> Column:
@@ -88,7 +91,8 @@ def arithmetic_off(subtotal: Column, tax: Column, total: Column) -> Column:
 
 
 def parse_invoices(lines: DataFrame, as_of_year: int) -> tuple[DataFrame, DataFrame]:
-    """(records, flags) from the lines of invoices (see ``statements.lines_of``)."""
+    """(records, flags) from the lines of invoices (see ``statements.lines_of``), which are written once as six steps read them."""
+    lines = written(lines.select("source", "line_no", "text", "size", F.transform("words", lambda w: F.struct(w["text"].alias("text"))).alias("words")), "lines")
     body = bodies(lines).withColumnRenamed("text", "body")
     value = F.array_max(F.transform("words", lambda w: F.when(is_money_token(w["text"]), parse_money(w["text"]))))
     largest = lines.groupBy("source").agg(F.max(value).alias("largest"))
