@@ -32,7 +32,7 @@ def test_imports_without_the_corpus_part(tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["audit_counts", "match_reference", "parse_money", "fingerprint", "header_row", "range_grow", "balance_reconcile", "labelled_amounts", "state_rows", "append_ranges", "append_names", "append_dimensions", "verify_dimensions", "verify_ranges", "invoice_records", "invoice_flags", "invoice_dates", "invoice_items", "invoice_vendors", "scan_flags", "column_types", "existing_rows", "statement_records", "statement_anchors", "manual_json", "append_order"])
+@pytest.mark.parametrize("name", ["audit_counts", "match_reference", "parse_money", "fingerprint", "header_row", "range_grow", "balance_reconcile", "labelled_amounts", "state_rows", "append_ranges", "append_dimensions", "verify_dimensions", "verify_ranges", "invoice_dates", "invoice_items", "scan_flags", "existing_rows", "statement_records", "manual_json", "append_order"])
 def test_queries_equal_their_sql(spark, name):
     import duckdb
 
