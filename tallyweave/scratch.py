@@ -50,6 +50,35 @@ def discard(*tables: DataFrame) -> None:
             delete(df.sparkSession, folder)
 
 
+class Tables:
+    """The intermediate tables of one operator, all deleted when the block ends but those of ``result``.
+
+    Where the block fails, everything goes. A DataFrame returned from the block
+    must read given tables and results only.
+    """
+
+    def __init__(self) -> None:
+        self.own: list[DataFrame] = []
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        discard(*self.own)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.own.append(written(df, name))
+        return self.own[-1]
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete before the block ends what nothing reads any more."""
+        self.own = [t for t in self.own if all(t is not x for x in tables)]
+        discard(*tables)
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        return written(df, name)
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """``df`` with its place from 0 in the whole order, without ever sorting it in one task.
 
