@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.scratch import delete, discard, shared_dir, written
+from tallyweave.scratch import Tables, delete, discard, shared_dir, written
 
-__all__ = ["connected_components", "delete", "discard", "shared_dir", "table", "written"]
+__all__ = ["Tables", "connected_components", "delete", "discard", "shared_dir", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
