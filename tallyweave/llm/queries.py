@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import embeddings, exact, jaccard, media, mixing, packing, quality, repeats, secrets, sharding, token_counts
+from tallyweave.llm import conversations, embeddings, exact, jaccard, media, mixing, packing, quality, repeats, secrets, sharding, token_counts
 from tallyweave.llm.common import table
 
 #: The folder of the tokenizer files is a parameter of the operators; the queries take the installed one.
@@ -55,12 +55,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path(PIECE_BPE)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.op12(table(spark, sf_dir, "conversations"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.op13(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_media_columns, op3_substring_dedup, op4_packing, op5_quality_knn, op6_hash_tree_sharding, op7_embedding_near_dedup, op8_poisson_mixing, op9_ngram_jaccard_join, op10_token_counts, op13_exact_dedup)
+    f.__name__: f for f in (op1_secret_scan, op2_media_columns, op3_substring_dedup, op4_packing, op5_quality_knn, op6_hash_tree_sharding, op7_embedding_near_dedup, op8_poisson_mixing, op9_ngram_jaccard_join, op10_token_counts, op12_conversation_repair, op13_exact_dedup)
 }
 
 ORACLES: dict[str, str] = {
