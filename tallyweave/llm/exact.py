@@ -67,14 +67,16 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", normal: Co
     hashed = texts.select("id", "raw", "text", sha).withColumn("hash", F.substring("sha", 1, WIDTH))
     with Tables() as t:
         rows = t.written(hashed.drop("text").withColumn("at", F.monotonically_increasing_id()), "hashes")
-        out = t.written(judged(rows, groups(rows, order, "hash"), "hash"), "judged")
+        found = t.written(groups(rows, order, "hash"), "groups")  # written, as Spark splits a join's large partitions of plain shuffles only
+        out = t.written(judged(rows, found, "hash"), "judged")
         # each text that may have an equal, once a map task: equal bytes make one row, so a hash with two rows is shared
         variants = among(texts, out.where("group_size > 1").select(F.col("raw").alias("id")).distinct())
         variants = variants.select("text", sha).groupBy(F.substring("sha", 1, WIDTH).alias("hash"), "text").agg(F.count("*").alias("n"))
         shared = t.written(variants.groupBy("hash").count().where("count > 1").select("hash"), "shared")
         if not shared.isEmpty():
             apart = t.written(hashed.join(shared, "hash", "left_semi").withColumn("at", F.monotonically_increasing_id()), "apart")
-            out = out.join(shared, "hash", "left_anti").unionByName(judged(apart, groups(apart, order, "hash", "text"), "hash", "text"))
+            found = t.written(groups(apart, order, "hash", "text"), "groups")
+            out = out.join(shared, "hash", "left_anti").unionByName(judged(apart, found, "hash", "text"))
         out = t.result(out.drop("hash", "raw"), "exact")
     return out.select(F.col("id").alias(key), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
