@@ -7,11 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import conversations, embeddings, exact, jaccard, media, mixing, packing, quality, repeats, secrets, sharding, token_counts
+from tallyweave.llm import alignment, conversations, embeddings, exact, jaccard, media, mixing, packing, quality, repeats, secrets, sharding, token_counts
 from tallyweave.llm.common import table
 
 #: The folder of the tokenizer files is a parameter of the operators; the queries take the installed one.
-WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
+WORD_BPE, PIECE_BPE, BYTE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_50k.json"
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path(PIECE_BPE)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.op11(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.op12(table(spark, sf_dir, "conversations"))
 
@@ -64,7 +68,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_media_columns, op3_substring_dedup, op4_packing, op5_quality_knn, op6_hash_tree_sharding, op7_embedding_near_dedup, op8_poisson_mixing, op9_ngram_jaccard_join, op10_token_counts, op12_conversation_repair, op13_exact_dedup)
+    f.__name__: f for f in (op1_secret_scan, op2_media_columns, op3_substring_dedup, op4_packing, op5_quality_knn, op6_hash_tree_sharding, op7_embedding_near_dedup, op8_poisson_mixing, op9_ngram_jaccard_join, op10_token_counts, op11_tokenizer_alignment, op12_conversation_repair, op13_exact_dedup)
 }
 
 ORACLES: dict[str, str] = {
