@@ -361,3 +361,56 @@ def damage(rows: DataFrame) -> DataFrame:
 
 def op12(rows: DataFrame) -> DataFrame:
     return digests(damage(rows))
+
+
+def op12_sql() -> str:
+    """The same, turn by turn: of each conversation and state the cheapest edits so far, with the lines that they give."""
+    return """
+with recursive crc_table as (
+  with recursive step(b, k, c) as (
+    select range, 0, range::BIGINT from range(256)
+    union all
+    select b, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384::BIGINT) else c >> 1 end from step where k < 8)
+  select list(c order by b) as tab from step where k = 8),
+fated as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+  xor(4294967295::BIGINT, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')))), '..'), lambda x: ('0x' || x)::BIGINT)),
+    lambda a, b: xor(a >> 8, tab[xor(a & 255, b)::INT + 1]))) % 20 as fate
+  from conversations, crc_table),
+damaged as (select conv_id, turn, case when fate = 4 then 'user' else role end as role,
+  case when fate = 1 then '' when fate = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from fated, range(2) copy(k) where fate <> 0 and (k = 0 or fate = 3)),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text)) as n,
+  regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) as ending from damaged),
+turns as (select *, case when ending = '' then 'blank' when row_number() over (partition by conv_id, role, text order by n) > 1 then 'duplicate' when ending in ('.', '!', '?') then 'sound' else 'truncated' end as fault,
+  lag(role[1]) over (partition by conv_id order by n) || role[1] as pair from placed),
+next(state, after, role) as (values (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+inserts(state, after, cost, audit, lines) as (
+  select state, state, 0, '', [] from next union all
+  select state, after, 5, 'I', [role || ':'] from next union all
+  select a.state, b.after, 10, 'II', [a.role || ':', b.role || ':'] from next a join next b on b.state = a.after),
+start as (select conv_id, count(*) as rows from turns group by conv_id),
+walk(conv_id, n, rows, state, best) as (
+  select conv_id, 0, rows, after, struct_pack(cost := cost, audit := audit, lines := lines) from start, inserts where state = 0
+  union all
+  select conv_id, n, rows, after, min(best) from (
+    select w.conv_id, (w.n + 1)::INT as n, w.rows, i.after, struct_pack(cost := w.best.cost + e.cost + i.cost, audit := w.best.audit || e.audit || i.audit,
+      lines := w.best.lines || case when e.audit = 'D' then [] else [e.role || ':' || t.text] end || i.lines) as best
+    from walk w join turns t on t.conv_id is not distinct from w.conv_id and t.n = w.n + 1
+    cross join lateral (
+      select w.state as after, 2 as cost, 'D' as audit, '' as role
+      union all
+      select x.after, case when t.fault = 'truncated' then 6 else 1 end, 'R', x.role from next x where x.state = w.state and t.fault in ('sound', 'truncated')
+      union all
+      select x.after, case when t.fault = 'truncated' then 5 else 0 end, 'K', t.role from (select state, after, role[1] as initial from next union all select 0, 1, 's') x
+      where x.state = w.state and x.initial = t.role[1] and t.fault in ('sound', 'truncated')) e
+    join inserts i on i.state = e.after) options
+  group by conv_id, n, rows, after),
+done as (select conv_id, min(best) as best from walk where n = rows and state in (0, 3) group by conv_id),
+counts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+  count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+  count(*) filter (pair is not null and pair not in ('su', 'ua', 'au')) as illegal from turns group by conv_id)
+select a.conv_id, coalesce(gaps, 0)::BIGINT as gaps, coalesce(blank, 0)::BIGINT as blank, coalesce(duplicate, 0)::BIGINT as duplicate, coalesce(truncated, 0)::BIGINT as truncated,
+  coalesce(illegal, 0)::BIGINT as illegal, coalesce(best.cost, 0)::BIGINT as cost, coalesce(best.audit, '') as audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) a left join counts c on c.conv_id is not distinct from a.conv_id left join done d on d.conv_id is not distinct from a.conv_id
+"""

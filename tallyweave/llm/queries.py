@@ -75,5 +75,6 @@ ORACLES: dict[str, str] = {
     "op1_secret_scan": secrets.op1_sql(),
     "op6_hash_tree_sharding": sharding.op6_sql(),
     "op8_poisson_mixing": mixing.op8_sql(),
+    "op12_conversation_repair": conversations.op12_sql(),
     "op13_exact_dedup": exact.op13_sql(),
 }
