@@ -15,19 +15,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from tallyweave.llm.common import connected_components, discard, written
+from tallyweave.llm.common import Tables, connected_components, discard
 
 #: Vectors of one length that codebooks are fitted on, at most; from LENGTHS lengths on, a share of LENGTHS times as many.
 SAMPLE, LENGTHS = 8192, 16
 #: Vectors of a group in a cell, about, and the least and most codewords a half (beyond the most, about 2**26 vectors of a group, cells grow).
 CELL, LEAST, MOST = 64, 4, 1024
-#: Share of neighbours just at the threshold whose cell is to be visited.
-RECALL = 0.998
+#: Share of links just at the threshold, in whichever kind of direction has fewest, of which one end visits the other's cell.
+RECALL = 0.997
 #: Vectors in a block of the verification.
 BLOCK = 512
 
@@ -87,21 +88,48 @@ def codewords(members: float) -> int:
     return int(min(MOST, max(LEAST, round((members / CELL) ** 0.5))))
 
 
+def directions(x: np.ndarray, own: np.ndarray, rng: np.random.Generator) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """(vectors, direction of a near copy of each) by kind, for rows ``own`` of a sample ``x``: any direction, towards other
+    vectors, towards one of the nearest, and along the axes in which the sample, or what surrounds the vector, varies most."""
+    n = max(4000, len(own))
+    sign = lambda: rng.choice([-1.0, 1.0], (n, 1))
+    y = x[rng.choice(own, n)]
+    out = {"any": (y, rng.standard_normal(y.shape)), "other": (y, sign() * (x[rng.integers(len(x), size=n)] - y))}
+    _, _, axes = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    out["axes"] = y, sign() * axes[rng.integers(min(3, len(axes)), size=n)]
+    if len(x) > 2:
+        probe = rng.permutation(own)[:512]
+        product = x[probe] @ x.T
+        product[np.arange(len(probe)), probe] = -np.inf
+        near = np.argsort(-product, 1)[:, :min(32, len(x) - 1)]
+        local = np.stack([np.linalg.svd(x[i] - x[i].mean(0), full_matrices=False)[2][:3] for i in near])
+        k = rng.integers(len(probe), size=n)
+        y = x[probe[k]]
+        out["near"] = y, sign() * (x[near[k, rng.integers(near.shape[1], size=n)]] - y)
+        out["around"] = y, sign() * local[k, rng.integers(local.shape[1], size=n)]
+    return out
+
+
 def fit_grid(x: np.ndarray, threshold: float, k: int, seed: int = 5) -> Grid:
-    """Codebooks from a sample of unit vectors. ``reach`` is measured on it: each vector gets
-    neighbours at exactly the threshold in random directions, and RECALL of their cells must be visited."""
+    """Codebooks from three quarters of a sample of unit vectors. ``reach`` is measured on the rest, as fitted ones lie
+    closer to their codewords: they get neighbours at exactly the threshold in each kind of ``directions``, and of the
+    kind that needs most, RECALL of the links must be found."""
     rng = np.random.default_rng(seed)
     h = x.shape[1] // 2
-    grid = Grid(codebook(x[:, :h], k, rng), codebook(x[:, h:], k, rng), 0.0)
-    y = np.repeat(x, max(1, 4000 // len(x)), axis=0)
-    side = rng.standard_normal(y.shape)
-    side -= (side * y).sum(1)[:, None] * y
-    side /= np.maximum(np.linalg.norm(side, axis=1), 1e-12)[:, None]
-    home = grid.home(threshold * y + np.sqrt(1 - threshold**2) * side)
-    a, b = grid.distances(y)
-    n = len(grid.second)
-    excess = a[np.arange(len(y)), home // n] + b[np.arange(len(y)), home % n] - a.min(1) - b.min(1)
-    grid.reach = float(np.quantile(excess, RECALL)) + 1e-9
+    rest = rng.permutation(len(x))[:len(x) // 4] if len(x) >= 32 else np.arange(len(x))
+    fitted = np.delete(x, rest, 0) if len(x) >= 32 else x
+    grid = Grid(codebook(fitted[:, :h], k, rng), codebook(fitted[:, h:], k, rng), 0.0)
+    for y, side in directions(x, rest, rng).values():
+        side = side - (side * y).sum(1)[:, None] * y
+        size = np.linalg.norm(side, axis=1)
+        y, side = y[size > 1e-9], side[size > 1e-9] / size[size > 1e-9][:, None]
+        if len(y):
+            ends = [grid.distances(v) for v in (y, threshold * y + np.sqrt(1 - threshold**2) * side)]
+            homes = [(a.argmin(1), b.argmin(1)) for a, b in ends]
+            rows = np.arange(len(y))
+            # a link is found where either end visits the other's cell
+            excess = np.minimum(*(a[rows, i] + b[rows, j] - a.min(1) - b.min(1) for (a, b), (i, j) in zip(ends, homes[::-1])))
+            grid.reach = max(grid.reach, float(np.quantile(excess, RECALL)) + 1e-9)
     return grid
 
 
@@ -198,37 +226,43 @@ def near_dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
     coded = (rows.withColumn("vector", F.when(usable, alike)).withColumn("dim", F.size("vector"))
              .withColumn("code", F.when(usable, F.xxhash64("vector"))).withColumn("check", F.when(usable, F.xxhash64(F.lit(7), "vector"))))
     by = ["grp", "dim", "code", "check"]
-    classes = coded.where("code is not null").groupBy(*by, "vector").agg(F.min("key").alias("node"), F.count("*").alias("copies"))
-    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    links = _links(classes.select("id", "grp", "dim", "node", "copies", "vector"), threshold)
-    counts = links.groupBy("id").agg(F.sum("links").alias("links"))
-    edges = links.where("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v"))
-    named = classes.select("id", *by, "node", "copies").join(counts, "id", "left").select(*by, "node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    rows = written(coded.select("key", *by).join(written(named, "named"), by, "left").select("key", "node", "n_links"), "rows")
-    # copies stay out of the graph: only a key that has several vectors links them
-    several = rows.where("node is not null").select("key", "node").distinct().groupBy("key").agg(F.count("*").alias("nodes")).where("nodes > 1").select("key")
-    own = rows.join(several, "key", "left_semi").select(F.col("key").alias("u"), F.col("node").alias("v")).where("u <> v")
-    components = written(connected_components(edges.union(own)).select(F.col("node").alias("reached"), "component"), "components")
-    discard(classes, links)
-    out = rows.join(components, F.col("node") == F.col("reached"), "left").withColumn("component", F.coalesce("component", "node", "key"))
-    return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("component").alias("component_id"),
-                      F.coalesce(F.col("component") == F.col("key"), F.lit(False)).alias("kept"))
+    with Tables() as t:
+        classes = coded.where("code is not null").groupBy(*by, "vector").agg(F.min("key").alias("node"), F.count("*").alias("copies"))
+        classes = t.written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+        links = _links(classes.select("id", "grp", "dim", "node", "copies", "vector"), threshold, t)
+        counts = links.groupBy("id").agg(F.sum("links").alias("links"))
+        edges = links.where("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v"))
+        named = classes.select("id", *by, "node", "copies").join(counts, "id", "left").select(*by, "node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        rows = t.written(coded.select("key", *by).join(t.written(named, "named"), by, "left").select("key", "node", "n_links"), "rows")
+        # copies stay out of the graph: only a key that has several vectors links them
+        several = rows.where("node is not null").select("key", "node").distinct().groupBy("key").agg(F.count("*").alias("nodes")).where("nodes > 1").select("key")
+        own = rows.join(several, "key", "left_semi").select(F.col("key").alias("u"), F.col("node").alias("v")).where("u <> v")
+        found = connected_components(edges.union(own))
+        components = t.written(found.select(F.col("node").alias("reached"), "component"), "components")
+        discard(found)
+        out = rows.join(components, F.col("node") == F.col("reached"), "left").withColumn("component", F.coalesce("component", "node", "key"))
+        return t.result(out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("component").alias("component_id"),
+                                   F.coalesce(F.col("component") == F.col("key"), F.lit(False)).alias("kept")), "near")
 
 
 def _grids(classes: DataFrame, threshold: float) -> dict[int, Grid]:
-    """A grid for each length, from a bounded sample of its vectors (those with the smallest hashes).
+    """A grid for each length, from a bounded sample of its vectors: those whose hash is below a bound set by their number.
 
     It has the cells that the groups call for in which the average vector is.
     """
-    size = classes.groupBy("grp", "dim").count().groupBy("dim").agg((F.sum(F.col("count") * F.col("count").cast("double")) / F.sum("count")).alias("members"))
-    members = {r["dim"]: r["members"] for r in size.collect()}  # a row for each length
-    most = SAMPLE if len(members) <= LENGTHS else max(64, SAMPLE * LENGTHS // len(members))
-    rank = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("node", "vector")))
-    sample = classes.select("dim", "vector", rank.alias("rank")).where(F.col("rank") <= most).select("dim", "vector").toPandas()
-    return {int(d): fit_grid(unit(np.array(part["vector"].tolist(), np.float64)), threshold, codewords(members[d])) for d, part in sample.groupby("dim")}
-
-
-def _links(classes: DataFrame, threshold: float) -> DataFrame:
+    size = classes.groupBy("grp", "dim").count().groupBy("dim").agg((F.sum(F.col("count") * F.col("count").cast("double")) / F.sum("count")).alias("members"), F.sum("count").alias("n"))
+    lengths = {r["dim"]: r for r in size.collect()}  # a row for each length
+    most = SAMPLE if len(lengths) <= LENGTHS else max(64, SAMPLE * LENGTHS // len(lengths))
+    # hashes are even, so about ``most`` of a length are below the bound; no vector is moved to be sorted
+    bounds = [(d, min(2**63 - 1, -2**63 + int(2**64 * min(1.0, most / r["n"])))) for d, r in lengths.items()]
+    below = classes.sparkSession.createDataFrame(bounds, "dim int, bound long")
+    sample = classes.join(F.broadcast(below), "dim").where(F.xxhash64("node", "vector") <= F.col("bound")).select("dim", "vector").toPandas()
+    few = classes.groupBy("dim").agg(F.min_by("vector", "id").alias("vector")).where(~F.col("dim").isin(*set(sample["dim"].tolist()))) if set(lengths) - set(sample["dim"]) else None
+    sample = sample if few is None else pd.concat([sample, few.toPandas()])
+    return {int(d): fit_grid(unit(np.array(part["vector"].tolist(), np.float64)), threshold, codewords(lengths[d]["members"])) for d, part in sample.groupby("dim")}
+
+
+def _links(classes: DataFrame, threshold: float, t: Tables) -> DataFrame:
     held = classes.sparkSession.sparkContext.broadcast(_grids(classes, threshold))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,14 +280,14 @@ def _links(classes: DataFrame, threshold: float) -> DataFrame:
                     yield from p.append_column("home", pa.array(grid.home(x), pa.int64())).append_column("visited", pa.array(list(visited), pa.list_(pa.int64()))).combine_chunks().to_batches()
 
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema.fields)
-    placed = written(classes.mapInArrow(visit, f"{ddl}, home long, visited array<long>"), "placed")
+    placed = t.written(classes.mapInArrow(visit, f"{ddl}, home long, visited array<long>"), "placed")
     asking = placed.withColumn("cell", F.explode("visited"))
     cell = ["grp", "dim", "cell"]
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     sizes = (placed.groupBy("grp", "dim", F.col("home").alias("cell")).agg(F.count("*").alias("n_stored"))
              .join(asking.groupBy(*cell).agg(F.count("*").alias("n_asking")), cell)
              .select(*cell, blocks("n_stored").alias("stored_blocks"), blocks("n_asking").alias("asking_blocks")))
-    sizes = written(sizes, "sizes")  # so that joins with it can be split where a cell is crowded
+    sizes = t.written(sizes, "sizes")  # so that joins with it can be split where a cell is crowded
     deal = F.xxhash64("id", "cell")
 
     def part(n: str):
@@ -270,7 +304,7 @@ def _links(classes: DataFrame, threshold: float) -> DataFrame:
     right = right.toDF(*right.columns)  # columns of its own for the cogroup
     by = [*cell, "s", "a"]
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(block_links(threshold), "id long, node long, links long, other long")
-    out = written(found, "links")
-    discard(placed, sizes)
+    out = t.written(found, "links")
+    t.drop(placed, sizes)
     held.unpersist()
     return out
