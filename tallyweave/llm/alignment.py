@@ -17,6 +17,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,10 @@ from tallyweave.llm.common import Tables
 
 #: Characters after which a text is cut at the next safe space, and bytes that are encoded in one call.
 CHUNK, CALL = 1 << 16, 1 << 20
+#: Units that are encoded in one call, joined by spaces.
+JOINED = 4096
+#: Bytes of units, and what is known of them, that a task remembers.
+REMEMBERED = 96 << 20
 #: A block ends with so many documents, pairs or bytes of group texts.
 DOCS, PAIRS, SAID = 32_767, 1 << 21, 32 << 20
 #: Pairs in one slice of a frequent id's lists, at least; more where the id has very many partners. Sums held before they go out.
@@ -135,35 +140,83 @@ class Document:
 
 
 class Aligner:
-    """Encodes calls of pieces, and cuts both sides into groups at the bytes where tokens of both end."""
+    """Encodes units, the parts of a text between safe spaces, and cuts both sides into groups at the bytes where tokens of both end.
+
+    What a unit gives does not depend on what stands around it, so it is remembered for the next text, up to REMEMBERED bytes.
+    """
 
     def __init__(self, a: Side, b: Side):
         self.a, self.b, self.width = a, b, len(b.said)
         text = lambda n, end: np.array([f"{i}{end}".encode() for i in range(n)], object)
         self.inner, self.last_a, self.last_b = text(max(len(a.said), len(b.said)), ","), text(len(a.said), "|"), text(len(b.said), ";")
+        self.forget()
+
+    def forget(self) -> None:
+        self.plain: dict[str, int] = {}  # of texts split at every space; -1: not a unit, as its ends are not safe
+        self.odd: dict[str, int] = {}
+        self.sizes = np.zeros((0, 3), np.int64)  # tokens of A and B, groups; of a unit that either side does not give back, no groups
+        self.groups: list[bytes] = []
+        self.pairs, self.first, self.held = np.zeros(0, np.int64), np.zeros(1, np.int64), 0
 
     def call(self, parts: list[tuple[Document, str]]) -> None:
-        said = [" ".encode() + p.encode() for _, p in parts]
-        sizes = np.array([len(x) for x in said], np.int64)
-        ids, ends, counts = [], [], []
-        whole = np.ones(len(parts), bool)
+        split = [(p.split(" "), self.plain) for _, p in parts]
+        self.learn(dict.fromkeys(u for units, _ in split for u in units if u not in self.plain), self.plain)
+        for i, (units, known) in enumerate(split):
+            if -1 in map(known.__getitem__, units):
+                split[i] = SAFE.split(parts[i][1]), self.odd
+        self.learn(dict.fromkeys(u for units, known in split if known is self.odd for u in units if u not in known), self.odd)
+        for (doc, _), (units, known) in zip(parts, split, strict=True):
+            at = np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+            sizes = self.sizes[at]
+            if not sizes[:, 2].all():
+                doc.whole = False
+                continue
+            doc.add(*map(int, sizes.sum(0)), b";".join([self.groups[i] for i in at.tolist()]))
+            unit, times = np.unique(at, return_counts=True)
+            n = self.first[unit + 1] - self.first[unit]
+            pairs = self.pairs[np.repeat(self.first[unit] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            doc.pairs.append(summed([(pairs, np.repeat(times, n))]))
+            if len(doc.pairs) > 8:
+                doc.pairs = [summed(doc.pairs)]
+        if self.held > REMEMBERED:
+            self.forget()
+
+    def encode(self, units: list[str], said: list[bytes], ids: list[list], counts: list[list]) -> None:
+        """Adds the ids of both sides and how many each unit has. Units are joined for one call, as long as it gives their bytes back."""
+        whole, ends = b"".join(said), np.cumsum([len(x) for x in said])
+        found = []
         for s in (self.a, self.b):
-            own = s.encode([p for _, p in parts])
-            counts.append(np.array([len(x) for x in own], np.int64))
-            ids.append(np.concatenate([np.asarray(x, np.int64) for x in own]))
-            for i, (x, want) in enumerate(zip(own, said, strict=True)):
-                whole[i] &= b"".join([s.said[k] for k in x]) == want
-            ends.append(np.cumsum(s.lengths[ids[-1]]))
-        if not whole.all():
-            for (doc, _), ok in zip(parts, whole, strict=True):
-                doc.whole &= bool(ok)
-            parts, sizes = [p for p, ok in zip(parts, whole, strict=True) if ok], sizes[whole]
-            if not parts:
+            own = s.encode([" ".join(units)])[0]
+            if b"".join([s.said[k] for k in own]) != whole:
+                if len(units) == 1:
+                    found = [(np.zeros(0, np.int64), np.zeros(1, np.int64))] * 2
+                    break
+                for u, x in zip(units, said, strict=True):
+                    self.encode([u], [x], ids, counts)
                 return
-            for k, s in enumerate((self.a, self.b)):
-                ids[k], counts[k] = ids[k][np.repeat(whole, counts[k])], counts[k][whole]
-                ends[k] = np.cumsum(s.lengths[ids[k]])
-        (a, b), (end_a, end_b) = ids, ends
+            own = np.array(own, np.int64)
+            found.append((own, np.diff(np.searchsorted(np.cumsum(s.lengths[own]), ends) + 1, prepend=0)))
+        for k, (own, n) in enumerate(found):
+            ids[k].append(own)
+            counts[k].append(n)
+
+    def learn(self, units: dict[str, None], known: dict[str, int]) -> None:
+        if known is self.plain:
+            for u in units:
+                if not u or u[0].isspace() or u[-1].isspace() or u[0] == "▁" or u[-1] == "▁":
+                    known[u] = -1
+            units = [u for u in units if u not in known]
+        if not units:
+            return
+        units = list(units)
+        known.update(zip(units, range(len(self.groups), len(self.groups) + len(units))))
+        said = [b" " + u.encode() for u in units]
+        ids, counts = [[], []], [[], []]
+        step = JOINED if known is self.plain else 1
+        for i in range(0, len(units), step):
+            self.encode(units[i:i + step], said[i:i + step], ids, counts)
+        ids, counts = [np.concatenate(x) for x in ids], [np.concatenate(x) for x in counts]
+        (a, b), (end_a, end_b) = ids, (np.cumsum(s.lengths[i]) for s, i in zip((self.a, self.b), ids, strict=True))
         at = np.searchsorted(end_b, end_a)  # both end with the last byte
         shared_a = end_b[at] == end_a
         shared_b = np.zeros(len(b), bool)
@@ -172,20 +225,19 @@ class Aligner:
         text = np.empty(len(a) + len(b), object)  # a group's A ids, then its B ids
         text[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = np.where(shared_a, self.last_a[a], self.inner[a])
         text[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = np.where(shared_b, self.last_b[b], self.inner[b])
+        text = text.tolist()
         first_a, first_b = (np.concatenate([[0], np.cumsum(n)]) for n in counts)
-        links = np.concatenate([[0], np.cumsum(shared_a)])
-        pair = b[at[shared_a]] + self.width * a[shared_a]
-        for i, (doc, _) in enumerate(parts):
-            n, m = first_a[i], first_a[i + 1]
-            doc.add(int(m - n), int(first_b[i + 1] - first_b[i]), int(links[m] - links[n]), b"".join(text[n + first_b[i]:m + first_b[i + 1]])[:-1])
-            doc.pairs.append(np.unique(pair[links[n]:links[m]], return_counts=True))
-            if len(doc.pairs) > 8:
-                doc.pairs = [summed(doc.pairs)]
+        links = np.concatenate([[0], np.cumsum(shared_a)])[first_a]
+        ends = (first_a + first_b).tolist()
+        groups = [b"".join(text[i:j])[:-1] for i, j in pairwise(ends)]
+        self.groups += groups
+        self.sizes = np.concatenate([self.sizes, np.stack([*counts, np.diff(links)], 1)])
+        self.pairs = np.concatenate([self.pairs, b[at[shared_a]] + self.width * a[shared_a]])
+        self.first = np.concatenate([self.first, self.first[-1] + links[1:]])
+        self.held += sum(map(len, said)) + sum(map(len, groups)) + 300 * len(units)
 
 
 def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    if len(parts) == 1:
-        return parts[0]
     keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
     out = np.zeros(len(keys), np.int64)
     np.add.at(out, at, np.concatenate([n for _, n in parts]))
