@@ -53,31 +53,68 @@ def tokens(c: Column | str) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*NOISE_TOKENS) & ~w.rlike("^[0-9]+$"))
 
 
+def wording(c: Column | str) -> Column:
+    """What scores are made of: ``norm`` and ``words``. Best kept as a column where a description meets many."""
+    return F.struct(normalize(c).alias("norm"), tokens(c).alias("words"))
+
+
+def token_score(x: Column, y: Column, at_least: Column | float = 0.0) -> Column:
+    """The part of ``score`` that needs no Python: equality, Jaccard and 0.9 x containment of tokens. Exact, whatever is asked for."""
+    both = F.size(F.array_intersect(x["words"], y["words"]))
+    n, m = F.size(x["words"]), F.size(y["words"])
+    share = F.greatest(both / (n + m - both), both / F.least(n, m) * 0.9)
+    return (F.when((x["norm"] == "") | (y["norm"] == ""), 0.0).when(x["norm"] == y["norm"], 1.0)
+            .when((n > 0) & (m > 0), share).otherwise(0.0))
+
+
 def token_similarity(left: Column | str, right: Column | str) -> Column:
-    """The part of ``similarity`` that needs no Python: equality, Jaccard and 0.9 x containment of tokens."""
-    a, b, ta, tb = normalize(left), normalize(right), tokens(left), tokens(right)
-    both = F.size(F.array_intersect(ta, tb))
-    score = F.greatest(both / F.size(F.array_union(ta, tb)), both / F.least(F.size(ta), F.size(tb)) * 0.9)
-    return (F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0)
-            .when((F.size(ta) > 0) & (F.size(tb) > 0), score).otherwise(0.0))
+    return token_score(wording(left), wording(right))
 
 
 @F.pandas_udf(T.DoubleType())
-def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Ratcliff/Obershelp ratio of two normalised texts; not symmetric."""
+def sequence_ratio(left: pd.Series, right: pd.Series, at_least: pd.Series) -> pd.Series:
+    """Ratcliff/Obershelp ratio of two normalised texts, not symmetric; 0 where common letters show that it is below ``at_least``."""
     from difflib import SequenceMatcher
 
-    pairs = list(zip(left, right))
-    known = {p: SequenceMatcher(None, *p).ratio() for p in set(pairs) if None not in p}
+    def ratio(a: str, b: str, floor: float) -> float:
+        s = SequenceMatcher(None, a, b)
+        return s.ratio() if s.quick_ratio() >= floor else 0.0
+
+    pairs = list(zip(left, right, at_least))
+    known = {p: ratio(*p) for p in set(pairs) if p[0] is not None}
     return pd.Series([known.get(p, 0.0) for p in pairs], dtype="float64")
 
 
+def ratio_bound(a: Column, b: Column) -> Column:
+    """At least the sequence ratio of two texts that aren't empty: twice the characters of either that the other has too, over both lengths."""
+    def shared(x: Column, y: Column) -> Column:
+        return F.length(x) - F.length(F.call_function("translate", x, y, F.lit("")))
+
+    return 2.0 * F.least(shared(a, b), shared(b, a)) / (F.length(a) + F.length(b))
+
+
+def undecided(x: Column, y: Column, at_least: Column | float = 0.0) -> Column:
+    """Whether two wordings have to be compared in Python: their sequence ratio may beat their token score, and reach ``at_least``."""
+    a, b = x["norm"], y["norm"]
+    floor = F.greatest(token_score(x, y), F.lit(at_least) if isinstance(at_least, float) else at_least)
+    shorter = 2.0 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
+    return (a != "") & (b != "") & (a != b) & (shorter >= floor) & (ratio_bound(a, b) >= floor)
+
+
+def score(x: Column, y: Column, at_least: Column | float = 0.0) -> Column:
+    """How alike two wordings are, 0 to 1: the largest of sequence ratio and token scores.
+
+    Scores of ``at_least`` and more are exact; of others only the token score need be given. Python sees the pairs
+    that are ``undecided`` and nulls for the others, as a condition around it would not keep them away.
+    """
+    known, open_ = token_score(x, y), undecided(x, y, at_least)
+    floor = F.greatest(known, F.lit(at_least) if isinstance(at_least, float) else at_least)
+    return F.greatest(known, sequence_ratio(F.when(open_, x["norm"]), F.when(open_, y["norm"]), F.when(open_, floor)))
+
+
 def similarity(left: Column | str, right: Column | str) -> Column:
-    """How alike two descriptions are, 0 to 1: the largest of sequence ratio and token scores."""
-    a, b = normalize(left), normalize(right)
-    open_ = (a != "") & (b != "") & (a != b)  # other pairs reach Python as nulls, as a condition around it would not keep them away
-    ratio = sequence_ratio(F.when(open_, a), F.when(open_, b))
-    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(F.greatest(ratio, token_similarity(left, right)))
+    """How alike two descriptions are; see ``score``."""
+    return score(wording(left), wording(right))
 
 
 def reference_in(c: Column | str) -> Column:

@@ -12,12 +12,14 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tallyweave.functions.text import first_filled, normalize, similarity, text
+from tallyweave.functions.text import first_filled, normalize, score, text, tokens, wording
 from tallyweave.functions.values import cents
-from tallyweave.scratch import written
+from tallyweave.graph import connected_components
+from tallyweave.scratch import Tables, discard
 from tallyweave.schema import DATE_TOLERANCE_DAYS, NO_AMOUNT, STRONG_SIMILARITY, WEAK_SIMILARITY
 
-Score = Callable[[Column, Column], Column]
+#: Of two wordings and the least score that has to be exact.
+Score = Callable[[Column, Column, Column], Column]
 
 
 def keyed(records: DataFrame) -> DataFrame:
@@ -38,85 +40,117 @@ def usable(existing: DataFrame) -> Column:
     return F.col("amount_cents").isNotNull() | (F.col("date").isNotNull() & (text("description") != ""))
 
 
-def reference_tier(records: DataFrame, existing: DataFrame) -> DataFrame:
-    """(record_id, ref_row): the first row with the same non-empty reference and no contradicting amount."""
+def with_reference(records: DataFrame, existing: DataFrame) -> DataFrame:
+    """``records`` with ref_row: the first row with the same non-empty reference and no contradicting amount, or null.
+
+    Each record meets one row for its reference and one for reference and amount, however many rows share them.
+    """
     e = existing.select(normalize("reference").alias("e_ref"), F.col("amount_cents").alias("e_cents"), F.col("row").alias("e_row")).where("e_ref <> ''")
-    r = records.where("ref_key <> ''").select("record_id", "ref_key", "amount_cents")
-    hit = r.join(e, (F.col("ref_key") == F.col("e_ref")) & (F.col("amount_cents").isNull() | F.col("e_cents").isNull() | (F.col("amount_cents") == F.col("e_cents"))))
-    return hit.groupBy("record_id").agg(F.min("e_row").alias("ref_row"))
+    e = e.groupBy("e_ref", "e_cents").agg(F.min("e_row").alias("e_row"))
+    whole = e.groupBy("e_ref").agg(F.min("e_row").alias("any_row"), F.min(F.when(F.col("e_cents").isNull(), F.col("e_row"))).alias("open_row"))
+    priced = e.where("e_cents is not null").select(F.col("e_ref").alias("p_ref"), "e_cents", F.col("e_row").alias("priced_row"))
+    found = (records.join(whole, F.col("ref_key") == F.col("e_ref"), "left")
+             .join(priced, (F.col("ref_key") == F.col("p_ref")) & (F.col("amount_cents") == F.col("e_cents")), "left"))
+    row = F.when(F.col("amount_cents").isNull(), F.col("any_row")).otherwise(F.least("open_row", "priced_row"))
+    return found.withColumn("ref_row", row).drop("e_ref", "any_row", "open_row", "p_ref", "e_cents", "priced_row")
+
+
+def reference_tier(records: DataFrame, existing: DataFrame) -> DataFrame:
+    """(record_id, ref_row) of the records that have one."""
+    return with_reference(records, existing).where("ref_row is not null").select("record_id", "ref_row")
+
+
+def banded(asked: DataFrame, known: DataFrame, days: int = DATE_TOLERANCE_DAYS) -> DataFrame:
+    """Pairs of equal ``amount_cents`` whose ``date`` and ``e_date`` are at most ``days`` apart, from one equi-join.
+
+    Days are cut into bands of 2 * days + 1, so what is near a date lies in at most two of them: ``known`` comes once or
+    twice instead of once for every day around it. A row of ``asked`` has one ``band``, which its date gives, so grouping
+    by band and date needs no shuffle after the join.
+    """
+    width = 2 * days + 1
+
+    def band(day: Column) -> Column:
+        return F.floor(day / width).cast("int")
+
+    day = F.unix_date("e_date")
+    twice = known.withColumn("band", F.explode(F.array_distinct(F.array(band(day - days), band(day + days)))))
+    return asked.withColumn("band", band(F.unix_date("date"))).join(twice, ["amount_cents", "band"]).where(F.abs(F.datediff("date", "e_date")) <= days)
 
 
-def amount_tiers(records: DataFrame, existing: DataFrame, score: Score = similarity, days: int = DATE_TOLERANCE_DAYS) -> DataFrame:
-    """(record_id, exact, near) from one equi-join on cents and day, to which the book's rows come for each day around theirs.
+def wordings(existing: DataFrame) -> DataFrame:
+    """The book's different wordings of an amount and date, each with its first row."""
+    dated = existing.where("amount_cents is not null and date is not null")
+    e = dated.groupBy("amount_cents", F.col("date").alias("e_date"), text("description").alias("e_description")).agg(F.min("row").cast("long").alias("e_row"))
+    return e.withColumn("e_wording", wording("e_description"))
+
+
+def amount_tiers(records: DataFrame, existing: DataFrame, score: Score = score, days: int = DATE_TOLERANCE_DAYS) -> DataFrame:
+    """(record_id, exact, near), each by itself, from one equi-join on cents and bands of days.
 
     exact: (row, score, empty) of the first row on the same date. near: (score,
     row) of the best wording within ``days``, ties to the first row. Both sides
     are brought to their different wordings of an amount and date first, so an
     amount that many rows share makes no more pairs than it has of these.
     """
-    e = existing.where("amount_cents is not null and date is not null").groupBy("amount_cents", F.col("date").alias("e_date"), text("description").alias("e_description")).agg(F.min("row").alias("e_row"))
-    e = e.withColumn("date", F.explode(F.sequence(F.date_sub("e_date", days), F.date_add("e_date", days))))
     key = ["amount_cents", "date", "description"]
     held = records.where("amount_cents is not null and date is not null").select("record_id", *key)
-    pairs = held.select(*key).distinct().join(e, ["amount_cents", "date"])
-    scored = pairs.withColumn("score", score(F.col("description"), F.col("e_description"))).withColumn("same", F.col("date") == F.col("e_date"))
+    same = F.col("date") == F.col("e_date")
+    pairs = banded(held.select(*key).distinct().withColumn("wording", wording("description")), wordings(existing), days).withColumn("same", same)
+    scored = pairs.withColumn("score", score(F.col("wording"), F.col("e_wording"), F.when(F.col("same"), 0.0).otherwise(WEAK_SIMILARITY)))
     exact = F.min(F.when(F.col("same"), F.struct("e_row", "score", ((F.col("description") == "") | (F.col("e_description") == "")).alias("empty"))))
     near = F.max(F.when(F.col("score") >= WEAK_SIMILARITY, F.struct("score", (-F.col("e_row")).alias("minus_row"), F.abs(F.datediff("date", "e_date")).alias("gap"))))
-    return held.join(scored.groupBy(*key).agg(exact.alias("exact"), near.alias("near")), key).select("record_id", "exact", "near")
+    best = scored.groupBy(*key, "band").agg(exact.alias("exact"), near.alias("near"))
+    return held.join(best, key).select("record_id", "exact", "near")
 
 
-def cascade(records: DataFrame, existing: DataFrame, score: Score = similarity, days: int = DATE_TOLERANCE_DAYS) -> DataFrame:
+def tiers(records: DataFrame, existing: DataFrame, score: Score = score, days: int = DATE_TOLERANCE_DAYS) -> DataFrame:
+    """``records`` with ref_row, exact (e_row, score, empty) and near (score, minus_row, gap) of the book: of these the first that hits.
+
+    A wording is compared with the first row of its own day, or else with all wordings near it. Left joins of many
+    records with one row each; one column of scores, so one pass through Python for what tokens leave undecided.
+    """
+    found = with_reference(records, existing)
+    key = ["amount_cents", "date", "description"]
+    e = wordings(existing)
+    first = e.groupBy("amount_cents", F.col("e_date").alias("date")).agg(F.min(F.struct("e_row", "e_description", "e_wording")).alias("first"))
+    asked = found.where("ref_row is null and amount_cents is not null and date is not null").select(*key).distinct().withColumn("wording", wording("description"))
+    asked = asked.join(first, ["amount_cents", "date"], "left")
+    same = asked.where("first is not null").select(*key, "wording", "first.*", F.lit(0).alias("gap"))
+    near = banded(asked.where("first is null").drop("first"), e, days).select(*key, "wording", "e_row", "e_description", "e_wording", F.abs(F.datediff("date", "e_date")).alias("gap"))
+    scored = same.unionByName(near).withColumn("score", score(F.col("wording"), F.col("e_wording"), F.when(F.col("gap") == 0, 0.0).otherwise(WEAK_SIMILARITY)))
+    exact = F.max(F.when(F.col("gap") == 0, F.struct("e_row", "score", ((F.col("description") == "") | (F.col("e_description") == "")).alias("empty"))))
+    near = F.max(F.when((F.col("gap") > 0) & (F.col("score") >= WEAK_SIMILARITY), F.struct("score", (-F.col("e_row")).alias("minus_row"), "gap")))
+    best = scored.groupBy(*key).agg(exact.alias("exact"), near.alias("near"))
+    found = found.join(best, key, "left")
+    settled = F.col("ref_row").isNotNull()
+    return found.withColumns({c: F.when(~settled, F.col(c)) for c in ("exact", "near")})
+
+
+def cascade(records: DataFrame, existing: DataFrame, score: Score = score, days: int = DATE_TOLERANCE_DAYS) -> DataFrame:
     """(record_id, status, row, score, reason) for each record, against the book alone.
 
-    ``records`` as from ``keyed``. Equi-joins on reference and on cents and day,
-    and outer joins by record_id, none of which orders anything globally.
+    ``records`` as from ``keyed``. See ``tiers``; nothing is ordered globally.
     """
-    found = records.join(reference_tier(records, existing), "record_id", "left").join(amount_tiers(records, existing, score, days), "record_id", "left")
+    return _verdict(tiers(records, existing, score, days))
+
+
+def _verdict(found: DataFrame) -> DataFrame:
+    """(record_id, status, row, score, reason) from the tiers' findings; row 0 is a record of the same batch."""
     strong = (F.col("exact.score") >= STRONG_SIMILARITY) | F.col("exact.empty")
-    status = (F.when(F.col("ref_row").isNotNull(), "duplicate").when(F.col("amount_cents").isNull(), "unmatchable")
+    held, ref = F.col("amount_cents").isNotNull(), F.col("ref_row").isNotNull()
+    status = (F.when(ref, "duplicate").when(~held, "unmatchable")
               .when(F.col("exact").isNotNull(), F.when(strong, "duplicate").otherwise("probable_duplicate"))
               .when(F.col("near").isNotNull(), "probable_duplicate").otherwise("new"))
-    held = F.col("amount_cents").isNotNull()
     row = F.coalesce("ref_row", F.when(held, F.coalesce(F.col("exact.e_row"), -F.col("near.minus_row"))))
-    value = F.when(F.col("ref_row").isNotNull(), 1.0).when(held, F.coalesce(F.col("exact.score"), F.col("near.score")))
-    reason = (F.when(F.col("ref_row").isNotNull(), "same reference").when(F.col("amount_cents").isNull(), NO_AMOUNT)
+    value = F.when(ref, 1.0).when(held, F.coalesce(F.col("exact.score"), F.col("near.score")))
+    reason = (F.when(ref, "same reference").when(~held, NO_AMOUNT)
               .when(F.col("exact").isNotNull(), F.when(strong, "same date and amount").otherwise("same day and amount in other words"))
               .when(F.col("near").isNotNull(), F.concat(F.lit("same amount, "), F.col("near.gap"), F.lit(" days between, alike in words"))).otherwise(""))
     return found.select("record_id", status.alias("status"), row.alias("row"), value.alias("score"), reason.alias("reason"))
 
 
-def against_book(records: DataFrame, existing: DataFrame) -> DataFrame:
-    """``records`` with ref_row, exact (e_row, score, empty) and near (score, minus_row) of the book.
-
-    The tiers of ``cascade`` one after the other, each for what the one before
-    left open, as equi-joins on (reference), (cents, date) and (cents, day around
-    it). The book is brought to its first row of each reference, date or wording
-    before each of them, so an amount that many rows share makes no more pairs
-    than it has different wordings.
-    """
-    coded = existing.withColumn("reference", normalize("reference")).where("reference <> ''").groupBy("reference", "amount_cents").agg(F.min("row").alias("row"))
-    found = records.join(reference_tier(records, coded), "record_id", "left")
-    e = existing.where("amount_cents is not null and date is not null").select("amount_cents", "date", text("description").alias("e_description"), F.col("row").cast("long").alias("e_row"))
-    first = e.groupBy("amount_cents", "date").agg(F.min(F.struct("e_row", "e_description")).alias("first"))
-    found = found.join(first, ["amount_cents", "date"], "left").withColumn("first", F.when(F.col("ref_row").isNull(), F.col("first")))
-    score = similarity(F.col("description"), F.col("first.e_description"))
-    empty = (F.col("description") == "") | (F.col("first.e_description") == "")
-    found = found.withColumn("exact", F.when(F.col("first").isNotNull(), F.struct(F.col("first.e_row").alias("e_row"), score.alias("score"), empty.alias("empty")))).drop("first")
-    wordings = e.groupBy("amount_cents", "date", "e_description").agg(F.min("e_row").alias("e_row"))
-    asked = found.where("ref_row is null and exact is null and amount_cents is not null and date is not null").select("amount_cents", "date", "description").distinct()
-    pairs = asked.join(around(wordings), ["amount_cents", "date"]).withColumn("score", similarity(F.col("description"), F.col("e_description"))).where(F.col("score") >= WEAK_SIMILARITY)
-    near = pairs.groupBy("amount_cents", "date", "description").agg(F.max(F.struct("score", (-F.col("e_row")).alias("minus_row"))).alias("near"))
-    found = found.join(near, ["amount_cents", "date", "description"], "left")
-    return found.withColumn("near", F.when(F.col("ref_row").isNull() & F.col("exact").isNull(), F.col("near")))
-
-
-def around(dated: DataFrame, days: int = DATE_TOLERANCE_DAYS) -> DataFrame:
-    """Each row once for every day within ``days`` of its date, which becomes ``date``."""
-    return dated.withColumn("date", F.explode(F.sequence(F.date_sub("date", days), F.date_add("date", days))))
-
-
 def accept_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The records of each amount that are accepted, out of those sorted by amount and order.
+    """The records of each group and amount that are accepted, out of those sorted by group, amount and order.
 
     A record is accepted unless an accepted one has its reference, its date, or a
     like wording within the tolerance. So an amount has at most one accepted record
@@ -125,28 +159,26 @@ def accept_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from datetime import timedelta
     from difflib import SequenceMatcher
 
-    def alike(a: str, b: str, ta: set, tb: set) -> float:
-        if not a or not b:
-            return 0.0
-        if a == b:
-            return 1.0
-        s = SequenceMatcher(None, a, b).ratio()
-        if ta and tb:
-            n = len(ta & tb)
-            s = max(s, n / len(ta | tb), n / min(len(ta), len(tb)) * 0.9)
-        return s
+    def alike(a: str, b: str, ta: set, tb: set) -> bool:
+        if not a or not b or a == b:
+            return bool(a and b)
+        n = len(ta & tb)
+        if n and max(n / len(ta | tb), n / min(len(ta), len(tb)) * 0.9) >= WEAK_SIMILARITY:
+            return True
+        s = SequenceMatcher(None, a, b)
+        return s.quick_ratio() >= WEAK_SIMILARITY and s.ratio() >= WEAK_SIMILARITY
 
     gaps = [timedelta(k) for k in range(-DATE_TOLERANCE_DAYS, DATE_TOLERANCE_DAYS + 1) if k]
-    amount, dated, references = None, {}, set()
+    at, dated, references = None, {}, set()
     for batch in batches:
         taken = []
         for x in batch.itertuples(index=False):
-            if x.amount_cents != amount:
-                amount, dated, references = x.amount_cents, {}, set()
+            if (x.group, x.amount_cents) != at:
+                at, dated, references = (x.group, x.amount_cents), {}, set()
             hit = x.date in dated or (x.ref_key and x.ref_key in references)
             if not hit and (near := [dated[x.date + g] for g in gaps if x.date + g in dated]):
                 words = set(x.words)
-                hit = any(alike(x.norm, c[0], words, c[1]) >= WEAK_SIMILARITY for c in near)
+                hit = any(alike(x.norm, c[0], words, c[1]) for c in near)
             if not hit:
                 dated[x.date] = (x.stored_norm, set(x.stored_words))
                 if x.ref_key:
@@ -161,7 +193,7 @@ ACCEPTED = ["record_id", "input_ord", "date", "description", "stored", "ref_key"
 def contenders(judged: DataFrame, by_date: bool = True) -> DataFrame:
     """The records that may become candidates: those the loop has to look at.
 
-    ``judged`` as from ``against_book``. What the book settles in any tier is never
+    ``judged`` as from ``tiers``. What the book settles in any tier is never
     accepted; without a date only the reference counts, which needs no loop; and of
     equal amount, date, wording and reference only the first can be accepted, as
     whatever holds it back holds back the others and else it does.
@@ -174,56 +206,81 @@ def contenders(judged: DataFrame, by_date: bool = True) -> DataFrame:
     return firsts.select("amount_cents", "date", "norm", "ref_key", "x.record_id", "x.input_ord", "x.description", "x.stored")
 
 
+def independent(asked: DataFrame, t: Tables, days: int = DATE_TOLERANCE_DAYS) -> DataFrame:
+    """``asked`` (contenders) with ``group``: records of different groups have no say in each other's acceptance.
+
+    An amount's dates are cut into runs where more than ``days`` lie between them; runs that share a reference
+    are one group. So one amount of very many records is as many groups as its dates leave. The window sees
+    each date of an amount once.
+    """
+    dates = asked.select("amount_cents", "date").distinct()
+    by_date = W.partitionBy("amount_cents").orderBy("date")
+    before = F.lag("date").over(by_date)
+    starts = dates.withColumn("start", F.when(before.isNull() | (F.datediff("date", before) > days), F.col("date")))
+    starts = starts.withColumn("start", F.last("start", ignorenulls=True).over(by_date))
+    # two runs of one hash would only be one group
+    cut = t.written(asked.join(starts, ["amount_cents", "date"]).withColumn("run", F.xxhash64("amount_cents", "start")).drop("start"), "contenders")
+    coded = cut.where("ref_key <> ''").select("amount_cents", "ref_key", "run").distinct()
+    first = coded.groupBy("amount_cents", "ref_key").agg(F.min("run").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    links = t.written(coded.join(first, ["amount_cents", "ref_key"]).select(F.col("run").alias("u"), F.col("first").alias("v")).where("u <> v"), "links")
+    if links.isEmpty():
+        return cut.withColumnRenamed("run", "group")
+    found = connected_components(links)
+    components = t.written(found, "groups")
+    discard(found)
+    return cut.join(components, F.col("run") == F.col("node"), "left").withColumn("group", F.coalesce("component", "run")).drop("run", "node", "component")
+
+
+def accepted_records(judged: DataFrame, by_date: bool, t: Tables) -> DataFrame:
+    """The dated records that become candidates, by the loop over groups of ``independent`` ones."""
+    asked = contenders(judged, by_date).withColumns({"words": tokens("description"), "stored_norm": normalize("stored"), "stored_words": tokens("stored")})
+    asked = independent(asked, t).repartition("group").sortWithinPartitions("group", "amount_cents", _order_key(by_date))
+    return t.written(asked.mapInPandas(accept_stream, "record_id long, input_ord long, date date, description string, stored string, ref_key string, amount_cents long"), "accepted")
+
+
 def _first_references(records: DataFrame, by_date: bool) -> DataFrame:
     return records.where("ref_key <> ''").groupBy("amount_cents", "ref_key").agg(F.min(_order_key(by_date)).alias("first"))
 
 
 def batch_verdicts(records: DataFrame, existing: DataFrame, by_date: bool = True, skip_book: bool = False) -> DataFrame:
-    """(record_id, status, row, score): verdicts against the book and against the batch itself.
+    """(record_id, status, row, score, reason): verdicts against the book and against the batch itself.
 
     An accepted record becomes a candidate for later ones (row 0). Records are
     taken in order (date with nulls last, description, input order; input order
-    alone without ``by_date``). A loop over the ``contenders`` of each amount
-    finds who is accepted, at most one record a date; all verdicts then come from
-    joins with these. One very common amount is one task of that loop, which
-    streams and is linear in its contenders. ``skip_book`` leaves the book out
-    (in-batch duplicates are found all the same).
+    alone without ``by_date``). A loop over the ``contenders`` finds who is
+    accepted, at most one record of an amount and date; all verdicts then come from
+    joins with these. The loop streams, one task for a run of dates (and those that
+    share a reference with it). ``skip_book`` leaves the book out (in-batch
+    duplicates are found all the same).
     """
-    from tallyweave.functions.text import tokens
-
     r = records.select("record_id", "input_ord", "date", text("description").alias("description"), first_filled("description", "vendor").alias("stored"),
                        normalize("reference").alias("ref_key"), cents(F.coalesce("amount", "total")).alias("amount_cents"))
     key = _order_key(by_date)
-    judged = written(against_book(r, existing.where(F.lit(not skip_book))), "judged")
-    asked = contenders(judged, by_date).withColumns({"words": tokens("description"), "stored_norm": normalize("stored"), "stored_words": tokens("stored")})
-    accepted = written(asked.repartition("amount_cents").sortWithinPartitions("amount_cents", key)
-                .mapInPandas(accept_stream, "record_id long, input_ord long, date date, description string, stored string, ref_key string, amount_cents long"), "accepted")
-    # the first of each reference in the batch: an accepted record, or an undated one that only a reference could hold back
-    undated = judged.where("amount_cents is not null and ref_row is null and date is null").select(*ACCEPTED)
-    firsts = _first_references(accepted.unionByName(undated), by_date)
-    unpriced = firsts.groupBy("ref_key").agg(F.min("first").alias("first")).withColumn("amount_cents", F.lit(None).cast("long"))
-    by_reference = F.col("first").isNotNull() & (F.col("first") < key) & F.col("ref_row").isNull()
-    j = judged.join(firsts.unionByName(unpriced.select(*firsts.columns)).withColumnRenamed("amount_cents", "f_cents").withColumnRenamed("ref_key", "f_ref"),
-                    (F.col("ref_key") == F.col("f_ref")) & F.col("amount_cents").eqNullSafe(F.col("f_cents")), "left").withColumn("by_ref", by_reference).drop("first", "f_cents", "f_ref")
-    same = accepted.select("amount_cents", "date", key.alias("a_key"), F.col("stored").alias("a_stored"))
-    j = j.join(same, ["amount_cents", "date"], "left")
-    held = F.col("a_key").isNotNull() & (F.col("a_key") < key) & ~F.col("by_ref") & F.col("ref_row").isNull() & F.col("exact").isNull()
-    score = similarity(F.col("description"), F.when(held, F.col("a_stored")))
-    empty = (F.col("description") == "") | (F.col("a_stored") == "")
-    j = written(j.withColumn("exact", F.when(held, F.struct(F.lit(0).cast("long").alias("e_row"), score.alias("score"), empty.alias("empty"))).otherwise(F.col("exact"))).drop("a_key", "a_stored"), "verdicts")
-    left = j.where("amount_cents is not null and date is not null and ref_row is null and not by_ref and exact is null")
-    pairs = left.join(around(same), ["amount_cents", "date"]).where(F.col("a_key") < key).withColumn("score", similarity(F.col("description"), F.col("a_stored")))
-    batch_near = pairs.where(F.col("score") >= WEAK_SIMILARITY).groupBy("record_id").agg(F.max("score").alias("a_score"))
-    j = j.join(batch_near, "record_id", "left")
-    # the book's rows come first, so a score of the batch has to be higher
-    near = F.when(F.col("a_score").isNotNull() & (F.col("near").isNull() | (F.col("a_score") > F.col("near.score"))), F.struct(F.col("a_score").alias("score"), F.lit(0).cast("long").alias("minus_row"))).otherwise(F.col("near"))
-    j = j.withColumn("near", near)
-    strong = (F.col("exact.score") >= STRONG_SIMILARITY) | F.col("exact.empty")
-    priced, ref = F.col("amount_cents").isNotNull(), F.col("ref_row").isNotNull() | F.col("by_ref")
-    status = (F.when(ref, "duplicate").when(~priced, "unmatchable").when(F.col("exact").isNotNull(), F.when(strong, "duplicate").otherwise("probable_duplicate"))
-              .when(F.col("near").isNotNull(), "probable_duplicate").otherwise("new"))
-    return j.select("record_id", status.alias("status"), F.coalesce(F.col("ref_row").cast("long"), F.when(F.col("by_ref"), F.lit(0).cast("long")), F.col("exact.e_row"), -F.col("near.minus_row")).alias("row"),
-                    F.when(ref, 1.0).otherwise(F.coalesce("exact.score", "near.score")).alias("score"))
+    with Tables() as t:
+        judged = t.written(tiers(r, existing.where(F.lit(not skip_book))), "judged")
+        accepted = accepted_records(judged, by_date, t)
+        # the first of each reference in the batch: an accepted record, or an undated one that only a reference could hold back
+        undated = judged.where("amount_cents is not null and ref_row is null and date is null").select(*ACCEPTED)
+        firsts = _first_references(accepted.unionByName(undated), by_date)
+        unpriced = firsts.groupBy("ref_key").agg(F.min("first").alias("first")).withColumn("amount_cents", F.lit(None).cast("long"))
+        by_reference = F.col("first").isNotNull() & (F.col("first") < key) & F.col("ref_row").isNull()
+        j = judged.join(firsts.unionByName(unpriced.select(*firsts.columns)).withColumnRenamed("amount_cents", "f_cents").withColumnRenamed("ref_key", "f_ref"),
+                        (F.col("ref_key") == F.col("f_ref")) & F.col("amount_cents").eqNullSafe(F.col("f_cents")), "left").withColumn("by_ref", by_reference).drop("first", "f_cents", "f_ref")
+        j = t.written(j, "referred")
+        same = accepted.select("amount_cents", F.col("date").alias("e_date"), key.alias("e_key"), F.col("stored").alias("e_stored"), wording("stored").alias("e_wording"))
+        left = j.where("amount_cents is not null and date is not null and ref_row is null and not by_ref and exact is null")
+        left = left.select("record_id", "amount_cents", "date", "description", key.alias("key"), wording("description").alias("wording"))
+        pairs = banded(left, same).where("e_key < key").withColumn("gap", F.abs(F.datediff("date", "e_date")))
+        pairs = pairs.withColumn("score", score(F.col("wording"), F.col("e_wording"), F.when(F.col("gap") == 0, 0.0).otherwise(WEAK_SIMILARITY)))
+        empty = ((F.col("description") == "") | (F.col("e_stored") == "")).alias("empty")
+        own = pairs.groupBy("record_id").agg(
+            F.max(F.when(F.col("gap") == 0, F.struct(F.lit(0).cast("long").alias("e_row"), "score", empty))).alias("own_exact"),
+            F.max(F.when((F.col("gap") > 0) & (F.col("score") >= WEAK_SIMILARITY), F.struct("score", F.lit(0).cast("long").alias("minus_row"), "gap"))).alias("own_near"))
+        # the book's rows come first, so a score of the batch has to be higher
+        higher = F.col("own_near").isNotNull() & (F.col("near").isNull() | (F.col("own_near.score") > F.col("near.score")))
+        j = j.join(own, "record_id", "left").withColumns({"exact": F.coalesce("exact", "own_exact"), "near": F.when(higher, F.col("own_near")).otherwise(F.col("near"))})
+        j = j.withColumn("ref_row", F.coalesce(F.col("ref_row").cast("long"), F.when(F.col("by_ref"), F.lit(0).cast("long"))))
+        return t.result(_verdict(j), "verdicts")
 
 
 def _order_key(by_date: bool) -> Column:

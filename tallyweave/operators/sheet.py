@@ -26,8 +26,9 @@ def repoint(cells: DataFrame, sheet: str, at: int, count: int) -> DataFrame:
 
 
 def repoint_names(names: DataFrame, sheet: str, at: int, count: int) -> DataFrame:
-    """Defined names (name, scope sheet, ref without =) follow the insert."""
-    return names.withColumn("ref", expected_ref("ref", "sheet", sheet, at, count))
+    """Defined names (name, scope sheet, ref without =) follow the insert; a place without a sheet is one of the scope, or else of ``sheet``."""
+    new = F.substring(shift_for_insert(F.concat(F.lit("="), F.col("ref")), F.coalesce("sheet", F.lit(sheet)), sheet, at, count), 2, 32767)
+    return names.withColumn("_new", new).withColumn("repointed", F.coalesce(F.col("_new") != F.col("ref"), F.lit(False))).withColumn("ref", F.col("_new")).drop("_new")
 
 
 def repair_ranges(ranges: DataFrame, sheet: str, at: int, count: int) -> DataFrame:
@@ -52,7 +53,7 @@ def new_cells(added: DataFrame, columns: DataFrame, mapped: DataFrame, sheet: st
     """Cells of the appended rows. ``added`` has ``position`` (0 and up): row ``at + position``.
 
     Computed columns get the bottom formula filled down, mapped ones the record's
-    value (money as numbers), others nothing. Styles come from the last data row.
+    value (money as numbers), others are blank. Styles come from the last data row.
     """
     plan = columns.where(F.col("sheet") == sheet).join(mapped.select("col", "field"), "col", "left").select("col", "field", "formula_template", "number_format")
     fields = {f: value_for(f) for f in (*TEXT_FIELDS, "date", *MONEY_FIELDS)}
@@ -64,18 +65,25 @@ def new_cells(added: DataFrame, columns: DataFrame, mapped: DataFrame, sheet: st
     computed = F.col("formula_template").isNotNull()
     cells = grid.select(
         F.lit(sheet).alias("sheet"), "row", "col",
-        F.when(computed, "f").when(number.isNotNull(), "n").when(day.isNotNull(), "d").when(string.isNotNull(), "s").alias("vtype"),
+        F.when(computed, "f").when(number.isNotNull(), "n").when(day.isNotNull(), "d").when(string.isNotNull(), "s").otherwise("e").alias("vtype"),
         F.when(~computed, string).alias("v_str"), F.when(~computed, number).alias("v_num"), F.when(~computed, day).alias("v_date"), "formula_template",
-        F.when(day.isNotNull() & F.lit(bool(date_format)), F.lit(date_format)).otherwise(F.col("number_format")).alias("number_format")).where("vtype is not null")
+        F.when(day.isNotNull() & F.lit(bool(date_format)), F.lit(date_format)).otherwise(F.col("number_format")).alias("number_format"))
     plain = cells.where("vtype <> 'f'").withColumn("formula", F.lit(None).cast("string"))
     filled = cells.where("vtype = 'f'").withColumn("formula", translate_rows(F.col("formula_template"), F.col("row") - last_data_row))
     return plain.unionByName(filled).drop("formula_template")
 
 
+def new_heights(row_dims: DataFrame, sheet: str, template_row: int, at: int, count: int) -> DataFrame:
+    """(sheet, row, height) of ``count`` new rows from ``at`` on: the height of ``template_row``, or no rows where it has none."""
+    height = row_dims.where((F.col("sheet") == sheet) & (F.col("row") == template_row) & F.col("height").isNotNull()).select(F.max("height")).first()[0]
+    rows = row_dims.sparkSession.range(at, at + (0 if height is None else count))
+    return rows.select(F.lit(sheet).alias("sheet"), F.col("id").cast("int").alias("row"), F.lit(height).cast(row_dims.schema["height"].dataType).alias("height"))
+
+
 def styled(cells: DataFrame, template: DataFrame, sheet: str, last_data_row: int) -> DataFrame:
-    """New cells with the style of the last data row's cell in the same column."""
+    """New cells with the style of the last data row's cell in the same column; blank ones without a style are left out."""
     style = template.where((F.col("sheet") == sheet) & (F.col("row") == last_data_row)).select("col", "style_sig")
-    return cells.join(F.broadcast(style), "col", "left").select("sheet", "row", "col", "vtype", "v_str", "v_num", "v_date", "formula", "number_format", "style_sig")
+    return cells.join(F.broadcast(style), "col", "left").where("vtype <> 'e' or style_sig is not null").select("sheet", "row", "col", "vtype", "v_str", "v_num", "v_date", "formula", "number_format", "style_sig")
 
 
 def existing_rows(cells: DataFrame, mapped: DataFrame, sheet: str, first_row: int, last_row: int, as_of_year: int) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyweave.operators.sheet import expected_ref, shifted_row
+from tallyweave.operators.formulas import shift_range
+from tallyweave.operators.sheet import shifted_row
 from tallyweave.schema import MOST_PROBLEMS
 
 
@@ -50,11 +51,41 @@ def missing_sheets(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.select("sheet").distinct().join(after.select("sheet").distinct(), "sheet", "left_anti")
 
 
+#: One area with its sheet: quoted, plain or none, then a cell or a range.
+AREA = r"(?:'((?:[^']|'')+)'!|([\w.]+)!)?(\$?[A-Za-z]{1,3}\$?[0-9]{1,7}(?:\s*:\s*\$?[A-Za-z]{1,3}\$?[0-9]{1,7})?)"
+
+
+def moved_areas(ref: Column, scope: Column, sheet: str, at: int, count: int) -> Column:
+    """Where a ref that is areas alone, apart by spaces or commas, has to be; of any other, its text without numbers.
+
+    The rule is worked out here anew, area by area, and does not use the one that moves formulas.
+    """
+    def move(part: Column) -> Column:
+        name = F.coalesce(F.nullif(F.replace(F.regexp_extract(part, AREA, 1), F.lit("''"), F.lit("'")), F.lit("")), F.nullif(F.regexp_extract(part, AREA, 2), F.lit("")), scope)
+        area = F.regexp_extract(part, AREA, 3)
+        return F.when(name == sheet, F.concat(F.substring(part, 1, F.length(part) - F.length(area)), shift_range(area, at, count))).otherwise(part)
+
+    # areas and what is between them, in turn
+    parts = F.regexp_extract_all(ref, F.lit(f"{AREA}|[, ]+"), F.lit(0))
+    moved = F.concat_ws("", F.transform(parts, lambda p: F.when(p.rlike("^[, ]+$"), p).otherwise(move(p))))
+    return F.when(areas_alone(ref), moved).otherwise(without_numbers(ref))
+
+
+def areas_alone(ref: Column) -> Column:
+    return ref.rlike(f"^{AREA}([, ]+{AREA})*$")
+
+
+def without_numbers(ref: Column) -> Column:
+    return F.regexp_replace(ref, "[0-9]+", "#")
+
+
 def ref_differences(before: DataFrame, after: DataFrame, sheet: str, at: int, count: int) -> DataFrame:
-    """(sheet, name, ref, problem): ranges or names that went, or are not where the formula rule puts them; equal ones are counted."""
+    """(sheet, name, ref, problem): ranges or names that went, or are not where ``moved_areas`` has them; equal ones are counted."""
     keys = [c for c in ("sheet", "kind", "name") if c in before.columns]
-    old = before.withColumn("new_ref", F.when(F.col("ref").isNotNull(), expected_ref("ref", "sheet", sheet, at, count))).groupBy(*keys, "new_ref").agg(F.count("*").alias("n"), F.min("ref").alias("ref"))
-    new = after.groupBy(*[F.col(c).alias(f"a_{c}") for c in keys], F.col("ref").alias("a_ref")).agg(F.count("*").alias("m"))
+    scope = F.coalesce("sheet", F.lit(sheet))
+    old = before.withColumn("new_ref", moved_areas(F.col("ref"), scope, sheet, at, count)).groupBy(*keys, "new_ref").agg(F.count("*").alias("n"), F.min("ref").alias("ref"))
+    there = F.when(areas_alone(F.col("ref")), F.col("ref")).otherwise(without_numbers(F.col("ref")))
+    new = after.groupBy(*[F.col(c).alias(f"a_{c}") for c in keys], there.alias("a_ref")).agg(F.count("*").alias("m"))
     same = F.col("new_ref").eqNullSafe(F.col("a_ref"))
     for c in keys:
         same = same & F.col(c).eqNullSafe(F.col(f"a_{c}"))

@@ -71,7 +71,7 @@ def keyed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def verdicts(spark: SparkSession, d: str) -> DataFrame:
-    return matching.cascade(*keyed(spark, d), score=t.token_similarity)
+    return matching.cascade(*keyed(spark, d), score=t.token_score)
 
 
 # --- matching ----------------------------------------------------------------
@@ -94,12 +94,12 @@ def match_reference(spark, d):
 
 @query(f"with {KEYED} select record_id, row, round(score, 4) as score from exact")
 def match_exact(spark, d):
-    return matching.amount_tiers(*keyed(spark, d), score=t.token_similarity).where("exact is not null").select("record_id", F.col("exact.e_row").alias("row"), F.round("exact.score", 4).alias("score"))
+    return matching.amount_tiers(*keyed(spark, d), score=t.token_score).where("exact is not null").select("record_id", F.col("exact.e_row").alias("row"), F.round("exact.score", 4).alias("score"))
 
 
 @query(f"with {KEYED} select record_id, row, round(score, 4) as score, abs(date_diff('day', d, ed))::INT as gap from near")
 def match_near(spark, d):
-    return matching.amount_tiers(*keyed(spark, d), score=t.token_similarity).where("near is not null").select("record_id", (-F.col("near.minus_row")).alias("row"), F.round("near.score", 4).alias("score"), "near.gap")
+    return matching.amount_tiers(*keyed(spark, d), score=t.token_score).where("near is not null").select("record_id", (-F.col("near.minus_row")).alias("row"), F.round("near.score", 4).alias("score"), "near.gap")
 
 
 @query(f"with {KEYED} select record_id from verdicts where status = 'unmatchable'")
@@ -474,7 +474,7 @@ NAMES = f"select name, case when kind = 'merge' then sheet end as sheet, case wh
 @query(f"""with n as ({NAMES}), p as (select *, case when contains(ref, '!') then split_part(ref, '!', 1) else sheet end as target, case when contains(ref, '!') then split_part(ref, '!', 2) else ref end as bare from n)
 select name, sheet, case when target <> 'S1' then ref else case when contains(ref, '!') then 'S1!' else '' end || {shifted('bare')} end as ref from p""")
 def append_names(spark, d):
-    return sheet.repoint_names(b.relation(spark, d, NAMES), "S1", 12, 3)
+    return sheet.repoint_names(b.relation(spark, d, NAMES), "S1", 12, 3).drop("repointed")
 
 
 @query(f"""select sheet, (case when sheet = 'S1' and row >= 12 then row + 3 else row end)::INT as row, height::DOUBLE as height from ({b.ROW_DIMS})""")

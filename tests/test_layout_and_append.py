@@ -94,7 +94,9 @@ def test_append_end_to_end_and_again(spark, tmp_path):
     assert {r["record_id"]: r["status"] for r in plan.audit.collect()} == {1: "new", 2: "new", 3: "duplicate", 4: "unmatchable", 5: "duplicate", 6: "other_kind"}
     plan = append.append_records(records, cells, profile, str(tmp_path / "out"), 2026)
     assert plan.status == "written" and plan.first_row == 12
-    after = spark.read.parquet(str(tmp_path / "out"))
+    after, manifest = append.published(spark, str(tmp_path / "out"))
+    after = after["cells"].drop("repointed")
+    assert manifest["formulas_updated"] == 5 and manifest["first_new_row"] == 12 and manifest["counts"]["new"] == 2
     at = {(r["sheet"], r["row"], r["col"]): r for r in after.collect()}
     assert at["Summary", 1, 2]["formula"] == "=SUM(Transactions!D4:D13)"
     assert at["Transactions", 12, 6]["formula"] == "=D12-E12" and at["Transactions", 13, 6]["formula"] == "=D13-E13"
@@ -107,7 +109,7 @@ def test_append_end_to_end_and_again(spark, tmp_path):
     assert plan.flags.count() == 1
     assert append.audit_rows(plan.audit, profile).first()["cells"]["B"] == "ACME SUPPLIES"
     sent = append.payload(plan, profile).first()["json"]
-    assert '"new":2' in sent and '"can_append":true' in sent and '"can_append":false' in append.payload(again, profile).first()["json"]
+    assert '"new":2,"duplicate":2,"probable_duplicate":0,"unmatchable":1,"other_kind":1,"flags":1' in sent and '"can_append":true' in sent and '"can_append":false' in append.payload(again, profile).first()["json"]
     lines = append.payload_lines(plan, profile).groupBy("part").count().collect()
     assert {r["part"]: r["count"] for r in lines} == {"rows": 6, "flags": 1}
     assert append.append_counts(plan).first().asDict() == {"added": 2, "skipped_duplicates": 2, "unmatchable": 1, "other_kind": 1, "file_written": True}
@@ -173,14 +175,14 @@ def test_append_moves_all_parts_and_gives_notes_and_state(spark, tmp_path):
     out = str(tmp_path / "out")
     append.append_records(records, ledger(spark), profile, out, 2026, parts=sheet_parts(spark), now=dt.datetime(2026, 4, 1, 8, 30, 5))
     def read(name):
-        return {tuple(r) for r in spark.read.parquet(f"{out}_{name}").collect()}
+        return {tuple(r) for r in append.published(spark, out)[0][name].collect()}
 
     assert read("row_dims") == {("Transactions", 3, 30.0), ("Transactions", 15, 44.0), ("Summary", 13, 9.0)}
     assert read("widths") == {("Transactions", "B", 33.0)}
     assert read("ranges") == {("Transactions", "table", "T", "A3:G13"), ("Transactions", "validation", "", "C4:C13 E4:E13 G15"), ("Transactions", "merge", "", "A15:B15"), ("Transactions", "print_area", "", "Transactions!$A$1:$G$15"), ("Summary", "merge", "", "A13:B13")}
     assert read("names") == {("ins", None, "Transactions!$D$4:$D$13"), ("sums", None, "Summary!$A$13")}
     assert [r[:4] for r in read("notes")] == [("2026-04-01 08:30", "s.pdf", "page 1", "amount")]
-    state = spark.read.parquet(f"{out}_state").orderBy("date").collect()
+    state = append.published(spark, out)[0]["state"].orderBy("date").collect()
     assert [(len(r["fingerprint"]), r["added"], r["source"], r["amount"]) for r in state] == [(16, "2026-04-01T08:30:05", "s.pdf", Decimal("-5.00")), (16, "2026-04-01T08:30:05", "s.pdf", Decimal("6.00"))]
 
 
@@ -191,3 +193,89 @@ def test_verification_finds_parts_left_behind(spark, part, word):
     assert verify.verify_parts(before, after, "Transactions", 12, 2) == []
     problems = verify.verify_parts(before, after | {part: before[part].limit(0) if part == "widths" else before[part]}, "Transactions", 12, 2)
     assert problems and all(word in p for p in problems)
+
+
+PROFILE = Profile("Transactions", {"A": "date", "B": "description", "D": "deposit", "E": "withdrawal", "G": "reference"}, "yyyy-mm-dd", ["transaction"])
+GIVEN = ("scan.png", "", "file", "", "An image can't be read.", "")
+
+
+def given_flags(spark):
+    return spark.createDataFrame([GIVEN], "source string, location string, field string, raw string, reason string, row_key string")
+
+
+def test_flags_of_the_extraction_reach_notes_and_payload(spark, tmp_path):
+    records = spark.createDataFrame([record(1, dt.date(2026, 3, 2), "ACME", "-5.00"), record(2, dt.date(2026, 1, 6), "OTHER WORDS", "60.00"), record(3, dt.date(2026, 3, 3), "NONE", None)], RECORD)
+    out = str(tmp_path / "out")
+    plan = append.append_records(records, ledger(spark), PROFILE, out, 2026, flags=given_flags(spark), track_state=False, check=False)
+    tables, _ = append.published(spark, out)
+    assert set(tables) == {"cells", "notes"}
+    notes = {(r["source"], r["location"], r["field"], r["reason"]) for r in tables["notes"].collect()}
+    assert notes == {("scan.png", "", "file", "An image can't be read."), ("s.pdf", "page 1", "amount", "Without an amount nothing can be compared. It was not added."),
+                     ("s.pdf", "row 5 of 'Transactions'", "duplicate", "Held back as a likely duplicate (same day and amount in other words). Add it by hand if it is another one.")}
+    assert '"flags":3' in append.payload(plan, PROFILE).first()["json"]
+    rows = {r["record_id"]: r for r in append.audit_rows(plan.audit, PROFILE).collect()}
+    assert (rows[2]["status"], rows[2]["row"], rows[2]["reason"], rows[2]["source"], rows[2]["kind"], rows[2]["confidence"]) == ("probable_duplicate", 5, "same day and amount in other words", "s.pdf", "transaction", "clear")
+    with pytest.raises(FileExistsError):
+        append.append_records(records, ledger(spark), PROFILE, out, 2026)
+
+
+@pytest.mark.parametrize("status,profile", [("unsafe_to_match", Profile("Transactions", {"B": "description"}, "", ["transaction"])), ("nothing_extracted", Profile("Transactions", {"A": "date"}, "", ["invoice"])), ("no_new_records", PROFILE)])
+def test_stopped_plans_have_a_payload_and_counts(spark, tmp_path, status, profile):
+    records = spark.createDataFrame([record(1, dt.date(2026, 1, 5), "EXISTING PAYEE 1", "60.00")], RECORD)
+    plan = append.append_records(records, ledger(spark), profile, str(tmp_path / "out"), 2026, flags=given_flags(spark))
+    other = int(status == "nothing_extracted")
+    assert (plan.status, plan.first_row, plan.counts["other_kind"], (tmp_path / "out").exists()) == (status, 12, other, False)
+    sent = append.payload(plan, profile).first()["json"]
+    assert f'"status":"{status}"' in sent and f'"other_kind":{other},"flags":1' in sent and '"first_new_row":12,"can_append":false' in sent
+    lines = {r["part"]: r["count"] for r in append.payload_lines(plan, profile).groupBy("part").count().collect()}
+    assert lines == {"flags": 1, **({} if status == "unsafe_to_match" else {"rows": 1})}
+    counts = append.append_counts(plan).first().asDict()
+    assert counts == {"added": 0, "skipped_duplicates": int(status == "no_new_records"), "unmatchable": 0, "other_kind": other, "file_written": False}
+
+
+def test_new_rows_look_like_the_row_above(spark, tmp_path):
+    """All columns of the table have a cell with the template's style, blank or not, and the row its height."""
+    parts = sheet_parts(spark)
+    parts["row_dims"] = parts["row_dims"].unionByName(spark.createDataFrame([("Transactions", 11, 33.0)], parts["row_dims"].schema))
+    records = spark.createDataFrame([record(1, dt.date(2026, 3, 2), "ACME", "-5.00"), record(2, dt.date(2026, 3, 3), "WEST", "6.00")], RECORD)
+    append.append_records(records, ledger(spark), PROFILE, str(tmp_path / "out"), 2026, parts=parts)
+    tables, _ = append.published(spark, str(tmp_path / "out"))
+    fresh = tables["cells"].where("sheet = 'Transactions' and row in (12, 13)").orderBy("row", "col").collect()
+    assert [(r["row"], r["col"], r["style_sig"]) for r in fresh] == [(r, c, f"body{c}") for r in (12, 13) for c in range(1, 8)]
+    assert [r["vtype"] for r in fresh[:7]] == ["d", "s", "e", "e", "n", "f", "e"]
+    assert {(r["row"], r["height"]) for r in tables["row_dims"].where("sheet = 'Transactions'").collect()} == {(3, 30.0), (11, 33.0), (12, 33.0), (13, 33.0), (15, 44.0)}
+    again = append.plan_append(records, tables["cells"], PROFILE, 2026)
+    assert (again.status, again.first_row) == ("no_new_records", 14)
+
+
+def test_names_without_a_sheet_are_of_the_target(spark):
+    names = spark.createDataFrame([("a", None, "$D$4:$D$11"), ("b", "Summary", "$D$4:$D$11"), ("c", "Transactions", "$A$12"), ("d", None, "'Transactions'!$A$12,Summary!$A$12"), ("e", None, "OFFSET($A$12,1,0)"), ("f", None, None)], "name string, sheet string, ref string")
+    after = append.move_parts({"names": names}, "Transactions", 12, 2)["names"]
+    assert {r["name"]: r["ref"] for r in after.collect()} == {"a": "$D$4:$D$13", "b": "$D$4:$D$11", "c": "$A$14", "d": "'Transactions'!$A$14,Summary!$A$12", "e": "OFFSET($A$14,1,0)", "f": None}
+    assert verify.verify_parts({"names": names}, {"names": after}, "Transactions", 12, 2) == []
+
+
+def test_verification_of_names_has_a_rule_of_its_own(spark, monkeypatch):
+    """A wrong rule of moving is found, as verification doesn't use it."""
+    monkeypatch.setattr(formulas, "shifted_rows", lambda row, end, at, count: (row, end))
+    names = sheet_parts(spark)["names"]
+    wrong = names.withColumn("ref", F.regexp_replace("ref", "11", "14"))
+    assert len(verify.verify_parts({"names": names}, {"names": wrong}, "Transactions", 12, 2)) == 1
+
+
+def test_a_failed_write_publishes_nothing(spark, tmp_path, monkeypatch):
+    """The third table can't be written, or what was written isn't what was given: no manifest, no folder of the run."""
+    records = spark.createDataFrame([record(1, dt.date(2026, 3, 2), "ACME", "-5.00")], RECORD)
+    parts = {k: v for k, v in sheet_parts(spark).items() if k in ("widths", "row_dims")}
+    broken = parts | {"widths": parts["widths"].withColumn("width", F.raise_error(F.lit("disk full")).cast("double"))}
+    out = tmp_path / "out"
+    with pytest.raises(Exception, match="disk full"):
+        append.append_records(records, ledger(spark), PROFILE, str(out), 2026, parts=broken)
+    assert [*out.iterdir()] == []
+    monkeypatch.setattr(append.sheets, "insert_rows", lambda rows, *_: rows)
+    with pytest.raises(verify.PreservationError):
+        append.append_records(records, ledger(spark), PROFILE, str(out), 2026, parts=parts)
+    assert [*out.iterdir()] == []
+    monkeypatch.undo()
+    assert append.append_records(records, ledger(spark), PROFILE, str(out), 2026, parts=parts).status == "written"
+    assert sorted(p.name.split("-")[0] for p in out.iterdir() if not p.name.startswith(".")) == ["manifest.json", "run"]

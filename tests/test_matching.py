@@ -103,7 +103,7 @@ def test_empty_book_and_empty_batch(spark):
 def test_plan_joins_on_cents_without_cross_product(spark):
     book = spark.createDataFrame([(4, DAY, "A", "", 100)], BOOK)
     r = m.keyed(spark.createDataFrame([(1, 1, DAY, "A", "", "", Decimal("1.00"), None)], RECORD))
-    plan = m.cascade(r, book, t.token_similarity)._jdf.queryExecution().executedPlan().toString()
+    plan = m.cascade(r, book, t.token_score)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
@@ -136,7 +136,7 @@ def test_crowded_amount_equals_the_sequential_loop_and_streams(spark):
     df, known = spark.createDataFrame(records, RECORD).repartition(7), spark.createDataFrame(book, BOOK)
     want = sequential(records, book)
     assert {r["record_id"]: r["status"] for r in m.batch_verdicts(df, known).collect()} == want
-    priced = m.against_book(m.keyed(df).join(df.select("record_id", F.col("description").alias("stored")), "record_id"), known)
+    priced = m.tiers(m.keyed(df).join(df.select("record_id", F.col("description").alias("stored")), "record_id"), known)
     asked = m.contenders(priced).collect()
     accepted = {i for i, status in want.items() if status == "new" and records[i][2]}
     assert accepted <= {r["record_id"] for r in asked}
@@ -147,6 +147,84 @@ def test_crowded_amount_equals_the_sequential_loop_and_streams(spark):
 def test_a_repeated_record_enters_the_loop_once(spark):
     df = spark.range(5000).select("id", "id", F.lit(DAY), F.lit("A"), F.lit(""), F.lit(""), F.lit(1).cast("decimal(18,2)"), F.lit(None).cast("decimal(18,2)")).toDF(*[c.split()[0] for c in RECORD.split(", ")])
     none = spark.createDataFrame([], BOOK)
-    judged = m.against_book(m.keyed(df).withColumn("stored", F.col("description")), none)
+    judged = m.tiers(m.keyed(df).withColumn("stored", F.col("description")), none)
     assert [r["record_id"] for r in m.contenders(judged).collect()] == [0]
     assert {(r["status"], r["n"]) for r in m.batch_verdicts(df, none).groupBy("status").agg(F.count("*").alias("n")).collect()} == {("new", 1), ("duplicate", 4999)}
+
+
+def test_most_pairs_never_reach_python(spark):
+    """Bounds leave out what can't reach 0.5 or beat the tokens, and change no score that matters."""
+    rng = random.Random(2)
+    words = "AWS CLOUD OFFICE RENT MARCH CLIENT NORTHGATE GYM MEMBERSHIP TESCO STORES AMAZON SARL UBER TRIP LONDON SALARY INVOICE 1234 SAVINGS REFUND".split()
+    said = ["", "-", "AWS", *(" ".join(rng.choices(words, k=rng.randrange(1, 6))) for _ in range(60))]
+    df = spark.createDataFrame([(a, b) for a in said for b in said], "a string, b string").select("a", "b", t.wording("a").alias("x"), t.wording("b").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    plain = F.when((x["norm"] == "") | (y["norm"] == ""), 0.0).otherwise(F.greatest(t.token_score(x, y), t.sequence_ratio(x["norm"], y["norm"], F.lit(0.0))))
+    got = df.select(plain.alias("plain"), t.score(x, y).alias("all"), t.score(x, y, 0.5).alias("half"), t.undecided(x, y, 0.5).alias("asked")).collect()
+    assert all(r["plain"] == r["all"] for r in got)
+    assert all(r["plain"] == r["half"] if r["plain"] >= 0.5 else r["half"] < 0.5 for r in got)
+    assert sum(r["asked"] for r in got) < len(got) / 2
+
+
+def test_bands_hold_each_pair_once_without_many_copies(spark):
+    days = [DAY + dt.timedelta(k) for k in range(-20, 20)]
+    asked = spark.createDataFrame([(1, d) for d in days], "amount_cents long, date date")
+    known = spark.createDataFrame([(1, d) for d in days] + [(2, DAY), (None, DAY), (1, None)], "amount_cents long, e_date date")
+    for width in (0, 1, 3, 10):
+        got = sorted((r["date"], r["e_date"]) for r in m.banded(asked, known, width).collect())
+        assert got == [(a, b) for a in days for b in days if abs((a - b).days) <= width]
+    plan = m.cascade(m.keyed(spark.createDataFrame([(1, 1, DAY, "A", "", "", Decimal("1.00"), None)], RECORD)), spark.createDataFrame([(4, DAY, "A", "", 100)], BOOK))
+    plan = plan._jdf.queryExecution().executedPlan().toString()
+    assert "sequence" not in plan and plan.count("Generate explode") == 1
+
+
+def test_reasons_of_batch_verdicts(spark):
+    rows = [(1, 1, DAY, "AWS CLOUD", "", "R1", Decimal("1.00"), None), (2, 2, DAY, "GYM", "", "", Decimal("1.00"), None), (3, 3, DAY + dt.timedelta(2), "AWS CLOUD", "", "", Decimal("1.00"), None),
+            (4, 4, DAY, "X", "", "r1", None, None), (5, 5, None, "Y", "", "", None, None), (6, 6, DAY, "AWS CLOUD", "", "", Decimal("-1.00"), None)]
+    got = {r["record_id"]: (r["status"], r["row"], r["reason"]) for r in m.batch_verdicts(spark.createDataFrame(rows, RECORD), spark.createDataFrame([], BOOK)).collect()}
+    assert got[1] == ("new", None, "") and got[4] == ("duplicate", 0, "same reference") and got[6] == ("duplicate", 0, "same date and amount")
+    assert got[2] == ("probable_duplicate", 0, "same day and amount in other words") and got[3] == ("probable_duplicate", 0, "same amount, 2 days between, alike in words")
+    assert got[5][:2] == ("unmatchable", None) and got[5][2]
+
+
+def reference_loop(records):
+    """The batch rule for priced and dated records without a book, with one index each for references and dates."""
+    from difflib import SequenceMatcher
+
+    refs, dated, out = set(), {}, {}
+    for i, _, date, desc, _, ref, amount, _ in sorted(records, key=lambda r: (r[2], r[3], r[1])):
+        c, ref = int(abs(amount) * 100), ref.upper()
+        near = [dated[c, date + dt.timedelta(k)] for k in range(-3, 4) if (c, date + dt.timedelta(k)) in dated]
+        if ref and (c, ref) in refs:
+            out[i] = "duplicate"
+        elif (c, date) in dated:
+            d = dated[c, date]
+            out[i] = "duplicate" if d == desc or SequenceMatcher(None, desc, d).ratio() >= 0.55 else "probable_duplicate"
+        elif any(d == desc or SequenceMatcher(None, desc, d).ratio() >= 0.5 for d in near):
+            out[i] = "probable_duplicate"
+        else:
+            out[i] = "new"
+            dated[c, date] = desc
+            if ref:
+                refs.add((c, ref))
+    return out
+
+
+def test_one_amount_over_many_tasks(spark, monkeypatch):
+    """A third of 200,000 records have one amount: its loop runs in several tasks and equals the sequential one."""
+    rng = random.Random(5)
+    names = ["ZQXJ", "BBBB", "KKMM", "OOPP", "1122"]
+    start = dt.date(1900, 1, 1)
+    hot = [(i, i, start + dt.timedelta(rng.randrange(2500) * 9 + rng.randrange(4)), rng.choice(names), "", f"L{rng.randrange(40_000)}" if rng.random() < 0.02 else "", Decimal("7.00"), None) for i in range(66_000)]
+    rest = [(i, i, start + dt.timedelta(rng.randrange(2500)), rng.choice(names), "", "", Decimal(rng.randrange(1000, 60_000)) / 100, None) for i in range(66_000, 200_000)]
+    df = spark.createDataFrame(hot + rest, RECORD).repartition(8)
+    tasks = []
+    written = m.Tables.written
+    monkeypatch.setattr(m.Tables, "written", lambda self, d, name: tasks.append(d.where("amount_cents = 700").groupBy(F.spark_partition_id()).count().count()) or written(self, d, name) if name == "accepted" else written(self, d, name))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["record_id"]: r["status"] for r in m.batch_verdicts(df, spark.createDataFrame([], BOOK)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks[0] > 1
+    assert got == reference_loop(hot + rest)
