@@ -62,7 +62,7 @@ def token_score(x: Column, y: Column, at_least: Column | float = 0.0) -> Column:
     """The part of ``score`` that needs no Python: equality, Jaccard and 0.9 x containment of tokens. Exact, whatever is asked for."""
     both = F.size(F.array_intersect(x["words"], y["words"]))
     n, m = F.size(x["words"]), F.size(y["words"])
-    share = F.greatest(both / (n + m - both), both / F.least(n, m) * 0.9)
+    share = F.greatest(F.try_divide(both, n + m - both), F.try_divide(both, F.least(n, m)) * 0.9)  # as conditions don't keep Spark from dividing
     return (F.when((x["norm"] == "") | (y["norm"] == ""), 0.0).when(x["norm"] == y["norm"], 1.0)
             .when((n > 0) & (m > 0), share).otherwise(0.0))
 
@@ -90,14 +90,14 @@ def ratio_bound(a: Column, b: Column) -> Column:
     def shared(x: Column, y: Column) -> Column:
         return F.length(x) - F.length(F.call_function("translate", x, y, F.lit("")))
 
-    return 2.0 * F.least(shared(a, b), shared(b, a)) / (F.length(a) + F.length(b))
+    return F.try_divide(2.0 * F.least(shared(a, b), shared(b, a)), F.length(a) + F.length(b))
 
 
 def undecided(x: Column, y: Column, at_least: Column | float = 0.0) -> Column:
     """Whether two wordings have to be compared in Python: their sequence ratio may beat their token score, and reach ``at_least``."""
     a, b = x["norm"], y["norm"]
     floor = F.greatest(token_score(x, y), F.lit(at_least) if isinstance(at_least, float) else at_least)
-    shorter = 2.0 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
+    shorter = F.try_divide(2.0 * F.least(F.length(a), F.length(b)), F.length(a) + F.length(b))
     return (a != "") & (b != "") & (a != b) & (shorter >= floor) & (ratio_bound(a, b) >= floor)
 
 

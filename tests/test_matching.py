@@ -175,7 +175,7 @@ def test_bands_hold_each_pair_once_without_many_copies(spark):
         assert got == [(a, b) for a in days for b in days if abs((a - b).days) <= width]
     plan = m.cascade(m.keyed(spark.createDataFrame([(1, 1, DAY, "A", "", "", Decimal("1.00"), None)], RECORD)), spark.createDataFrame([(4, DAY, "A", "", 100)], BOOK))
     plan = plan._jdf.queryExecution().executedPlan().toString()
-    assert "sequence" not in plan and plan.count("Generate explode") == 1
+    assert "sequence(" not in plan and plan.count("Generate explode") == 1
 
 
 def test_reasons_of_batch_verdicts(spark):
