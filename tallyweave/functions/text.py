@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from tallyweave.schema import NOISE_TOKENS, REFERENCE_PATTERN, YEAR_PATTERN
@@ -58,8 +58,8 @@ def wording(c: Column | str) -> Column:
     return F.struct(normalize(c).alias("norm"), tokens(c).alias("words"))
 
 
-def token_score(x: Column, y: Column, at_least: Column | float = 0.0) -> Column:
-    """The part of ``score`` that needs no Python: equality, Jaccard and 0.9 x containment of tokens. Exact, whatever is asked for."""
+def token_score(x: Column, y: Column) -> Column:
+    """The part of a score that needs no Python: equality, Jaccard and 0.9 x containment of tokens."""
     both = F.size(F.array_intersect(x["words"], y["words"]))
     n, m = F.size(x["words"]), F.size(y["words"])
     share = F.greatest(F.try_divide(both, n + m - both), F.try_divide(both, F.least(n, m)) * 0.9)  # as conditions don't keep Spark from dividing
@@ -93,28 +93,26 @@ def ratio_bound(a: Column, b: Column) -> Column:
     return F.try_divide(2.0 * F.least(shared(a, b), shared(b, a)), F.length(a) + F.length(b))
 
 
-def undecided(x: Column, y: Column, at_least: Column | float = 0.0) -> Column:
-    """Whether two wordings have to be compared in Python: their sequence ratio may beat their token score, and reach ``at_least``."""
-    a, b = x["norm"], y["norm"]
-    floor = F.greatest(token_score(x, y), F.lit(at_least) if isinstance(at_least, float) else at_least)
-    shorter = F.try_divide(2.0 * F.least(F.length(a), F.length(b)), F.length(a) + F.length(b))
-    return (a != "") & (b != "") & (a != b) & (shorter >= floor) & (ratio_bound(a, b) >= floor)
+def with_token_score(pairs: DataFrame, x: str, y: str, at_least: Column | float = 0.0) -> DataFrame:
+    """``pairs`` with ``score``, the token score of two wordings: exact, whatever is asked for."""
+    return pairs.withColumn("score", token_score(F.col(x), F.col(y)))
 
 
-def score(x: Column, y: Column, at_least: Column | float = 0.0) -> Column:
-    """How alike two wordings are, 0 to 1: the largest of sequence ratio and token scores.
+def with_score(pairs: DataFrame, x: str, y: str, at_least: Column | float = 0.0) -> DataFrame:
+    """``pairs`` with ``score``: how alike two wordings are, 0 to 1, the largest of sequence ratio and token scores; and ``compared``.
 
-    Scores of ``at_least`` and more are exact; of others only the token score need be given. Python sees the pairs
-    that are ``undecided`` and nulls for the others, as a condition around it would not keep them away.
+    Scores of ``at_least`` and more are exact; of others only the token score need be given. So Python sees the
+    pairs whose sequence ratio may beat their token score and reach ``at_least`` (``compared``), and nulls for the
+    others. Steps are columns of their own, so each is computed once.
     """
-    known, open_ = token_score(x, y), undecided(x, y, at_least)
-    floor = F.greatest(known, F.lit(at_least) if isinstance(at_least, float) else at_least)
-    return F.greatest(known, sequence_ratio(F.when(open_, x["norm"]), F.when(open_, y["norm"]), F.when(open_, floor)))
-
-
-def similarity(left: Column | str, right: Column | str) -> Column:
-    """How alike two descriptions are; see ``score``."""
-    return score(wording(left), wording(right))
+    a, b = F.col(x)["norm"], F.col(y)["norm"]
+    pairs = with_token_score(pairs, x, y).withColumnRenamed("score", "_known")
+    pairs = pairs.withColumn("_floor", F.greatest("_known", F.lit(at_least) if isinstance(at_least, float) else at_least))
+    pairs = pairs.withColumn("_bound", F.when((a == "") | (b == "") | (a == b), -1.0).otherwise(ratio_bound(a, b)))
+    pairs = pairs.withColumn("compared", F.col("_bound") >= F.col("_floor"))
+    open_ = F.col("compared")
+    pairs = pairs.withColumn("_ratio", sequence_ratio(F.when(open_, a), F.when(open_, b), F.when(open_, F.col("_floor"))))
+    return pairs.withColumn("score", F.greatest("_known", "_ratio")).drop("_known", "_floor", "_bound", "_ratio")
 
 
 def reference_in(c: Column | str) -> Column:

@@ -12,14 +12,14 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tallyweave.functions.text import first_filled, normalize, score, text, tokens, wording
+from tallyweave.functions.text import first_filled, normalize, text, tokens, with_score, wording
 from tallyweave.functions.values import cents
 from tallyweave.graph import connected_components
 from tallyweave.scratch import Tables, discard
 from tallyweave.schema import DATE_TOLERANCE_DAYS, NO_AMOUNT, STRONG_SIMILARITY, WEAK_SIMILARITY
 
-#: Of two wordings and the least score that has to be exact.
-Score = Callable[[Column, Column, Column], Column]
+#: Pairs, the columns of two wordings, the least score that has to be exact: the pairs with a column ``score``.
+Score = Callable[[DataFrame, str, str, Column], DataFrame]
 
 
 def keyed(records: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def wordings(existing: DataFrame) -> DataFrame:
     return e.withColumn("e_wording", wording("e_description"))
 
 
-def amount_tiers(records: DataFrame, existing: DataFrame, score: Score = score, days: int = DATE_TOLERANCE_DAYS) -> DataFrame:
+def amount_tiers(records: DataFrame, existing: DataFrame, score: Score = with_score, days: int = DATE_TOLERANCE_DAYS) -> DataFrame:
     """(record_id, exact, near), each by itself, from one equi-join on cents and bands of days.
 
     exact: (row, score, empty) of the first row on the same date. near: (score,
@@ -96,14 +96,14 @@ def amount_tiers(records: DataFrame, existing: DataFrame, score: Score = score,
     held = records.where("amount_cents is not null and date is not null").select("record_id", *key)
     same = F.col("date") == F.col("e_date")
     pairs = banded(held.select(*key).distinct().withColumn("wording", wording("description")), wordings(existing), days).withColumn("same", same)
-    scored = pairs.withColumn("score", score(F.col("wording"), F.col("e_wording"), F.when(F.col("same"), 0.0).otherwise(WEAK_SIMILARITY)))
+    scored = score(pairs, "wording", "e_wording", F.when(F.col("same"), 0.0).otherwise(WEAK_SIMILARITY))
     exact = F.min(F.when(F.col("same"), F.struct("e_row", "score", ((F.col("description") == "") | (F.col("e_description") == "")).alias("empty"))))
     near = F.max(F.when(F.col("score") >= WEAK_SIMILARITY, F.struct("score", (-F.col("e_row")).alias("minus_row"), F.abs(F.datediff("date", "e_date")).alias("gap"))))
     best = scored.groupBy(*key, "band").agg(exact.alias("exact"), near.alias("near"))
     return held.join(best, key).select("record_id", "exact", "near")
 
 
-def tiers(records: DataFrame, existing: DataFrame, score: Score = score, days: int = DATE_TOLERANCE_DAYS) -> DataFrame:
+def tiers(records: DataFrame, existing: DataFrame, score: Score = with_score, days: int = DATE_TOLERANCE_DAYS) -> DataFrame:
     """``records`` with ref_row, exact (e_row, score, empty) and near (score, minus_row, gap) of the book: of these the first that hits.
 
     A wording is compared with the first row of its own day, or else with all wordings near it. Left joins of many
@@ -117,7 +117,7 @@ def tiers(records: DataFrame, existing: DataFrame, score: Score = score, days: i
     asked = asked.join(first, ["amount_cents", "date"], "left")
     same = asked.where("first is not null").select(*key, "wording", "first.*", F.lit(0).alias("gap"))
     near = banded(asked.where("first is null").drop("first"), e, days).select(*key, "wording", "e_row", "e_description", "e_wording", F.abs(F.datediff("date", "e_date")).alias("gap"))
-    scored = same.unionByName(near).withColumn("score", score(F.col("wording"), F.col("e_wording"), F.when(F.col("gap") == 0, 0.0).otherwise(WEAK_SIMILARITY)))
+    scored = score(same.unionByName(near), "wording", "e_wording", F.when(F.col("gap") == 0, 0.0).otherwise(WEAK_SIMILARITY))
     exact = F.max(F.when(F.col("gap") == 0, F.struct("e_row", "score", ((F.col("description") == "") | (F.col("e_description") == "")).alias("empty"))))
     near = F.max(F.when((F.col("gap") > 0) & (F.col("score") >= WEAK_SIMILARITY), F.struct("score", (-F.col("e_row")).alias("minus_row"), "gap")))
     best = scored.groupBy(*key).agg(exact.alias("exact"), near.alias("near"))
@@ -126,7 +126,7 @@ def tiers(records: DataFrame, existing: DataFrame, score: Score = score, days: i
     return found.withColumns({c: F.when(~settled, F.col(c)) for c in ("exact", "near")})
 
 
-def cascade(records: DataFrame, existing: DataFrame, score: Score = score, days: int = DATE_TOLERANCE_DAYS) -> DataFrame:
+def cascade(records: DataFrame, existing: DataFrame, score: Score = with_score, days: int = DATE_TOLERANCE_DAYS) -> DataFrame:
     """(record_id, status, row, score, reason) for each record, against the book alone.
 
     ``records`` as from ``keyed``. See ``tiers``; nothing is ordered globally.
@@ -271,7 +271,7 @@ def batch_verdicts(records: DataFrame, existing: DataFrame, by_date: bool = True
         left = j.where("amount_cents is not null and date is not null and ref_row is null and not by_ref and exact is null")
         left = left.select("record_id", "amount_cents", "date", "description", key.alias("key"), wording("description").alias("wording"))
         pairs = banded(left, same).where("e_key < key").withColumn("gap", F.abs(F.datediff("date", "e_date")))
-        pairs = pairs.withColumn("score", score(F.col("wording"), F.col("e_wording"), F.when(F.col("gap") == 0, 0.0).otherwise(WEAK_SIMILARITY)))
+        pairs = with_score(pairs, "wording", "e_wording", F.when(F.col("gap") == 0, 0.0).otherwise(WEAK_SIMILARITY))
         empty = ((F.col("description") == "") | (F.col("e_stored") == "")).alias("empty")
         own = pairs.groupBy("record_id").agg(
             F.max(F.when(F.col("gap") == 0, F.struct(F.lit(0).cast("long").alias("e_row"), "score", empty))).alias("own_exact"),

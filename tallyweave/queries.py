@@ -11,7 +11,7 @@ from tallyweave.functions import text as t, values as v
 from tallyweave.operators import aggregates, invoices, layout, mapping, matching, sheet, statements, verify
 from tallyweave.plans import append
 from tallyweave.scratch import written
-from tallyweave.schema import INVOICE_HINTS, NOISE_TOKENS, STATEMENT_HINTS, SYNONYMS
+from tallyweave.schema import INVOICE_HINTS, NO_AMOUNT, NOISE_TOKENS, STATEMENT_HINTS, SYNONYMS
 from tallyweave.sources import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,7 +71,7 @@ def keyed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def verdicts(spark: SparkSession, d: str) -> DataFrame:
-    return matching.cascade(*keyed(spark, d), score=t.token_score)
+    return matching.cascade(*keyed(spark, d), score=t.with_token_score)
 
 
 # --- matching ----------------------------------------------------------------
@@ -94,12 +94,12 @@ def match_reference(spark, d):
 
 @query(f"with {KEYED} select record_id, row, round(score, 4) as score from exact")
 def match_exact(spark, d):
-    return matching.amount_tiers(*keyed(spark, d), score=t.token_score).where("exact is not null").select("record_id", F.col("exact.e_row").alias("row"), F.round("exact.score", 4).alias("score"))
+    return matching.amount_tiers(*keyed(spark, d), score=t.with_token_score).where("exact is not null").select("record_id", F.col("exact.e_row").alias("row"), F.round("exact.score", 4).alias("score"))
 
 
 @query(f"with {KEYED} select record_id, row, round(score, 4) as score, abs(date_diff('day', d, ed))::INT as gap from near")
 def match_near(spark, d):
-    return matching.amount_tiers(*keyed(spark, d), score=t.token_score).where("near is not null").select("record_id", (-F.col("near.minus_row")).alias("row"), F.round("near.score", 4).alias("score"), "near.gap")
+    return matching.amount_tiers(*keyed(spark, d), score=t.with_token_score).where("near is not null").select("record_id", (-F.col("near.minus_row")).alias("row"), F.round("near.score", 4).alias("score"), "near.gap")
 
 
 @query(f"with {KEYED} select record_id from verdicts where status = 'unmatchable'")
@@ -135,6 +135,53 @@ def held_back_flags(spark, d):
     return append.held_back_flags(append.audit(b.relation(spark, d, b.RECORDS), b.relation(spark, d, b.EXISTING), ["transaction"]), "Transactions")
 
 
+REASONED = f"""{KEYED},
+reasoned as (select v.*, case when ref_row is not null then 'same reference' when r.amount_cents is null then '{NO_AMOUNT}'
+    when x.row is not null then case when v.status = 'duplicate' then 'same date and amount' else 'same day and amount in other words' end
+    when n.row is not null then 'same amount, ' || abs(date_diff('day', n.d, n.ed)) || ' days between, alike in words' else '' end as reason
+  from verdicts v join r on r.record_id = v.record_id left join ref_hit h on h.record_id = v.record_id left join exact x on x.record_id = v.record_id left join near n on n.record_id = v.record_id),
+judged as (select records.*, status, row, reason from records join reasoned using (record_id))"""
+
+
+def judged(spark: SparkSession, d: str) -> DataFrame:
+    """An audit of the batch against the book, by token scores."""
+    return b.relation(spark, d, b.RECORDS).join(verdicts(spark, d), "record_id")
+
+
+@query(f"""with {REASONED} select record_id, status, reason, row, source, kind, date::VARCHAR as a, nullif(description, '') as b, amount::VARCHAR as c,
+  case status when 'new' then 0 when 'probable_duplicate' then 1 when 'unmatchable' then 2 else 4 end as rank from judged""")
+def audit_rows(spark, d):
+    rows = append.audit_rows(judged(spark, d), mapping.Profile("S1", {"A": "date", "B": "description", "C": "amount"}))
+    return rows.select("record_id", "status", "reason", "row", "source", "kind", *(F.col("cells")[x.upper()].alias(x) for x in "abc"), "rank")
+
+
+#: Flags of an extraction: one for each fiftieth event.
+GIVEN = "select 'scan' || cast(event_id as string) || '.png' as source, '' as location, 'file' as field, '' as raw, 'An image cannot be read.' as reason, '' as row_key from events where event_id % 50 = 0"
+
+
+@query(f"""with {REASONED} select '2026-01-01 08:00' as run, source, location, field, raw, reason from (
+  select source, location, field, raw, reason from ({GIVEN}) g
+  union all
+  select source, case when row > 0 then 'row ' || row || ' of ''S1''' else '' end, 'duplicate', concat_ws(' ', date::VARCHAR, substr(description, 1, 40)), 'Held back as a likely duplicate (' || reason || '). Add it by hand if it is another one.' from judged where status = 'probable_duplicate'
+  union all
+  select source, 'page ' || page, 'amount', substr(description, 1, 60), reason || ' It was not added.' from judged where status = 'unmatchable')""")
+def append_notes(spark, d):
+    """What the notes sheet gets: the extraction's flags and the plan's own."""
+    return append.review_notes(append.all_flags(b.relation(spark, d, GIVEN), judged(spark, d), "S1"), "2026-01-01 08:00")
+
+
+@query(f"""with c as ({b.CELLS}) select part, json from (
+  select 'payload' as part, '{{"status":"nothing_extracted","message":"{append.MESSAGES['nothing_extracted']} Records of other kinds were found.","sheet":"S1","counts":{{"new":0,"duplicate":0,"probable_duplicate":0,"unmatchable":0,"other_kind":'
+    || (select count(*) from orders) || ',"flags":' || (select count(*) from ({GIVEN}) g) || '}},"first_new_row":' || (select max(row) + 1 from c where sheet = 'S1' and col = 1) || ',"can_append":false}}' as json
+  union all
+  select 'flags', '{{"source":"' || source || '","location":"","field":"file","raw":"","reason":"' || reason || '","row_key":""}}' from ({GIVEN}) g)""")
+def stopped_payload(spark, d):
+    """A run that finds nothing for its sheet still says why, with its flags and counts."""
+    profile = mapping.Profile("S1", {"A": "date", "B": "description", "C": "deposit"}, "", ["transaction"])
+    plan = append.plan_append(b.relation(spark, d, b.INVOICES).drop("subtotal", "tax"), cells(spark, d), profile, 2026, b.relation(spark, d, GIVEN))
+    return append.payload(plan, profile).select(F.lit("payload").alias("part"), "json").unionByName(append.payload_lines(plan, profile).where("part = 'flags'"))
+
+
 # --- scalars -------------------------------------------------------------------
 
 
@@ -284,9 +331,6 @@ def existing_rows(spark, d):
     return sheet.existing_rows_of(c, mapping.suggest_columns(layout.describe_columns(c, spans)), spans, 2026)
 
 
-query(EXISTING_ROWS)(lambda spark, d: existing_rows(spark, d), "existing_rows_all")
-
-
 # --- inserting and proving ------------------------------------------------------
 
 

@@ -103,7 +103,7 @@ def test_empty_book_and_empty_batch(spark):
 def test_plan_joins_on_cents_without_cross_product(spark):
     book = spark.createDataFrame([(4, DAY, "A", "", 100)], BOOK)
     r = m.keyed(spark.createDataFrame([(1, 1, DAY, "A", "", "", Decimal("1.00"), None)], RECORD))
-    plan = m.cascade(r, book, t.token_score)._jdf.queryExecution().executedPlan().toString()
+    plan = m.cascade(r, book, t.with_token_score)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
@@ -160,7 +160,8 @@ def test_most_pairs_never_reach_python(spark):
     df = spark.createDataFrame([(a, b) for a in said for b in said], "a string, b string").select("a", "b", t.wording("a").alias("x"), t.wording("b").alias("y"))
     x, y = F.col("x"), F.col("y")
     plain = F.when((x["norm"] == "") | (y["norm"] == ""), 0.0).otherwise(F.greatest(t.token_score(x, y), t.sequence_ratio(x["norm"], y["norm"], F.lit(0.0))))
-    got = df.select(plain.alias("plain"), t.score(x, y).alias("all"), t.score(x, y, 0.5).alias("half"), t.undecided(x, y, 0.5).alias("asked")).collect()
+    df = t.with_score(df.withColumn("plain", plain), "x", "y").withColumnRenamed("score", "all").drop("compared")
+    got = t.with_score(df, "x", "y", 0.5).withColumnsRenamed({"score": "half", "compared": "asked"}).collect()
     assert all(r["plain"] == r["all"] for r in got)
     assert all(r["plain"] == r["half"] if r["plain"] >= 0.5 else r["half"] < 0.5 for r in got)
     assert sum(r["asked"] for r in got) < len(got) / 2
