@@ -18,7 +18,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyweave import graph
+from tallyweave import graph as components
 from tallyweave.llm import embeddings, jaccard, media, mixing, packing, quality, repeats, secrets, sharding, token_counts, windows
 from tallyweave.llm.common import connected_components
 
@@ -78,8 +78,8 @@ def test_components(spark, monkeypatch, crowd):
     for a, z in graph:
         a, z = root(a), root(z)
         parent[max(a, z)] = min(a, z)
-    monkeypatch.setattr(graph, "CROWD", crowd)
-    monkeypatch.setattr(graph, "CENTRES", 1000)
+    monkeypatch.setattr(components, "CROWD", crowd)
+    monkeypatch.setattr(components, "CENTRES", 1000)
     assert {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(graph, "u long, v long")).collect()} == {n: root(n) for e in graph if e[0] != e[1] for n in e}
 
 
