@@ -460,7 +460,10 @@ def invoice_numbers(spark, d):
 
 
 def statement_words(spark: SparkSession, d: str) -> DataFrame:
-    """Each user's events as a statement of positioned words: a caption line, then a line an event, 50 lines a page."""
+    """Each user's events as a statement of positioned words: a caption line, then a line an event, 50 lines a page.
+
+    An amount of 0 is neither paid in nor out: it stands to the right of all captions.
+    """
     s = b.relation(spark, d, b.STATEMENT).withColumn("n", F.expr("row_number() over (partition by user_id order by ts, event_id)"))
     captions = F.array(*[F.struct(F.lit(w).alias("text"), F.lit(float(x)).alias("x0"), F.lit(float(x + 40)).alias("x1")) for w, x in (("Date", 60), ("Description", 120), ("Withdrawal", 360), ("Deposit", 430), ("Balance", 505))])
     head = s.select("user_id").distinct().select(F.col("user_id").cast("string").alias("source"), F.lit(1).alias("page"), F.lit(10.0).alias("top"), F.posexplode(captions).alias("word_id", "w"))
@@ -470,6 +473,7 @@ def statement_words(spark: SparkSession, d: str) -> DataFrame:
         F.struct(F.concat(F.lit("EVENT"), "event_id").alias("text"), F.lit(120.0).alias("x0"), F.lit(200.0).alias("x1")),
         F.when(money & (F.col("amount") < 0), F.struct(F.format_number(-F.col("amount"), 2).alias("text"), F.lit(370.0).alias("x0"), F.lit(400.0).alias("x1"))),
         F.when(money & (F.col("amount") > 0), F.struct(F.format_number("amount", 2).alias("text"), F.lit(440.0).alias("x0"), F.lit(470.0).alias("x1"))),
+        F.when(money & (F.col("amount") == 0), F.struct(F.format_number("amount", 2).alias("text"), F.lit(600.0).alias("x0"), F.lit(630.0).alias("x1"))),
         F.when(F.col("balance").isNotNull(), F.struct(F.when(F.col("balance") < 0, F.concat(F.lit("("), F.format_number(-F.col("balance"), 2), F.lit(")"))).otherwise(F.format_number("balance", 2)).alias("text"), F.lit(515.0).alias("x0"), F.lit(545.0).alias("x1")))))
     body = s.select(F.col("user_id").cast("string").alias("source"), F.expr("cast(n div 50 + 1 as int)").alias("page"), (F.lit(10.0) + F.col("n") % 50 * 12).alias("top"), F.posexplode(cells).alias("word_id", "w"))
     return head.unionByName(body).select("source", "page", "word_id", "w.text", "w.x0", "w.x1", "top", F.lit(9.0).alias("size"))
