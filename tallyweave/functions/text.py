@@ -53,6 +53,15 @@ def tokens(c: Column | str) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*NOISE_TOKENS) & ~w.rlike("^[0-9]+$"))
 
 
+def token_key(c: Column | str) -> Column:
+    """What the token score can tell apart: the identifying words in order, or without any the normal form. It may stand for the text in ``wording``."""
+    def key(words: Column) -> Column:
+        return F.when(F.size(words) > 0, F.array_join(words, " ")).otherwise(normalize(c))
+
+    # bound by a lambda, so that the words are found once
+    return F.get(F.transform(F.array(F.array_sort(tokens(c))), key), 0)
+
+
 def wording(c: Column | str) -> Column:
     """What scores are made of: ``norm`` and ``words``. Best kept as a column where a description meets many."""
     return F.struct(normalize(c).alias("norm"), tokens(c).alias("words"))

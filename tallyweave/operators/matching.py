@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tallyweave.functions.text import first_filled, normalize, text, tokens, with_score, wording
+from tallyweave.functions.text import first_filled, normalize, text, token_key, tokens, with_score, with_token_score, wording
 from tallyweave.functions.values import cents
 from tallyweave.graph import connected_components
 from tallyweave.scratch import Tables, discard
@@ -20,6 +20,8 @@ from tallyweave.schema import DATE_TOLERANCE_DAYS, NO_AMOUNT, STRONG_SIMILARITY,
 
 #: Pairs, the columns of two wordings, the least score that has to be exact: the pairs with a column ``score``.
 Score = Callable[[DataFrame, str, str, Column], DataFrame]
+#: What a score can tell apart of a description, where that is less than its normal form.
+SAID = {with_token_score: token_key}
 
 
 def keyed(records: DataFrame) -> DataFrame:
@@ -77,51 +79,73 @@ def banded(asked: DataFrame, known: DataFrame, days: int = DATE_TOLERANCE_DAYS)
     return asked.withColumn("band", band(F.unix_date("date"))).join(twice, ["amount_cents", "band"]).where(F.abs(F.datediff("date", "e_date")) <= days)
 
 
-def wordings(existing: DataFrame) -> DataFrame:
-    """The book's different wordings of an amount and date, each with its first row."""
-    dated = existing.where("amount_cents is not null and date is not null")
-    e = dated.groupBy("amount_cents", F.col("date").alias("e_date"), text("description").alias("e_description")).agg(F.min("row").cast("long").alias("e_row"))
-    return e.withColumn("e_wording", wording("e_description"))
+def wordings(existing: DataFrame, said: Callable[[str], Column] = normalize) -> DataFrame:
+    """The book's different wordings of an amount and date, as ``said`` tells them apart, each with its first row; and ``e_empty``: that has no description."""
+    dated = existing.where("amount_cents is not null and date is not null").withColumn("description", text("description"))
+    e = dated.groupBy("amount_cents", F.col("date").alias("e_date"), said("description").alias("e_said")).agg(
+        F.min("row").cast("long").alias("e_row"), F.min(F.when(F.col("description") == "", F.col("row"))).alias("_empty"))
+    return e.withColumn("e_empty", F.coalesce(F.col("_empty") == F.col("e_row"), F.lit(False))).drop("_empty")
 
 
-def amount_tiers(records: DataFrame, existing: DataFrame, score: Score = with_score, days: int = DATE_TOLERANCE_DAYS) -> DataFrame:
-    """(record_id, exact, near), each by itself, from one equi-join on cents and bands of days.
+def firsts(e: DataFrame) -> DataFrame:
+    """(amount_cents, date, first): the first row of each amount and date, with its wording."""
+    return e.groupBy("amount_cents", F.col("e_date").alias("date")).agg(F.min(F.struct("e_row", "e_said", "e_empty")).alias("first"))
 
-    exact: (row, score, empty) of the first row on the same date. near: (score,
-    row) of the best wording within ``days``, ties to the first row. Both sides
-    are brought to their different wordings of an amount and date first, so an
-    amount that many rows share makes no more pairs than it has of these.
+
+def exact_tier(records: DataFrame, existing: DataFrame, score: Score = with_score) -> DataFrame:
+    """(record_id, e_row, score): the first row of the same amount and date. A record meets this row alone, however many there are."""
+    said = SAID.get(score, normalize)
+    held = records.where("amount_cents is not null and date is not null").select("record_id", "amount_cents", "date", wording("description").alias("wording"))
+    met = held.join(firsts(wordings(existing, said)), ["amount_cents", "date"]).select("record_id", "wording", "first.e_row", wording("first.e_said").alias("e_wording"))
+    return score(met, "wording", "e_wording", 0.0).select("record_id", "e_row", "score")
+
+
+def near_tier(records: DataFrame, existing: DataFrame, score: Score = with_score, days: int = DATE_TOLERANCE_DAYS) -> DataFrame:
+    """(record_id, near) of the best wording within ``days`` and of the same amount: (score, minus_row, gap), ties to the first row.
+
+    Both sides are brought to the wordings that the score can tell apart first, so an amount that many rows share makes
+    no more pairs than it has of these.
     """
-    key = ["amount_cents", "date", "description"]
-    held = records.where("amount_cents is not null and date is not null").select("record_id", *key)
-    same = F.col("date") == F.col("e_date")
-    pairs = banded(held.select(*key).distinct().withColumn("wording", wording("description")), wordings(existing), days).withColumn("same", same)
-    scored = score(pairs, "wording", "e_wording", F.when(F.col("same"), 0.0).otherwise(WEAK_SIMILARITY))
-    exact = F.min(F.when(F.col("same"), F.struct("e_row", "score", ((F.col("description") == "") | (F.col("e_description") == "")).alias("empty"))))
-    near = F.max(F.when(F.col("score") >= WEAK_SIMILARITY, F.struct("score", (-F.col("e_row")).alias("minus_row"), F.abs(F.datediff("date", "e_date")).alias("gap"))))
-    best = scored.groupBy(*key, "band").agg(exact.alias("exact"), near.alias("near"))
-    return held.join(best, key).select("record_id", "exact", "near")
+    said = SAID.get(score, normalize)
+    key = ["amount_cents", "date", "said"]
+    legible = F.col("description").rlike("[A-Za-z0-9]")  # others are like nothing; a filter on what they say would find it twice
+    held = records.where("amount_cents is not null and date is not null").select("record_id", "amount_cents", "date", "description").where(legible)
+    held = held.withColumn("said", said("description")).drop("description")
+    e = wordings(existing.where(legible), said)
+    asked = held.select(*key).distinct().withColumn("wording", wording("said"))
+    pairs = banded(asked, e.withColumn("e_wording", wording("e_said")), days)
+    best = score(pairs, "wording", "e_wording", WEAK_SIMILARITY).groupBy(*key, "band").agg(_nearest().alias("near"))
+    return held.join(best.where("near is not null"), key).select("record_id", "near")
+
+
+def _nearest() -> Column:
+    """The best of the pairs that are alike enough."""
+    return F.max(F.when(F.col("score") >= WEAK_SIMILARITY, F.struct("score", (-F.col("e_row")).alias("minus_row"), F.abs(F.datediff("date", "e_date")).alias("gap"))))
 
 
 def tiers(records: DataFrame, existing: DataFrame, score: Score = with_score, days: int = DATE_TOLERANCE_DAYS) -> DataFrame:
     """``records`` with ref_row, exact (e_row, score, empty) and near (score, minus_row, gap) of the book: of these the first that hits.
 
-    A wording is compared with the first row of its own day, or else with all wordings near it. Left joins of many
-    records with one row each; one column of scores, so one pass through Python for what tokens leave undecided.
+    A wording is compared with the first row of its own day, or else with all wordings near it that the score can tell
+    apart. Left joins of many records with one row each; one column of scores, so one pass through Python for what tokens
+    leave undecided.
     """
-    found = with_reference(records, existing)
-    key = ["amount_cents", "date", "description"]
-    e = wordings(existing)
-    first = e.groupBy("amount_cents", F.col("e_date").alias("date")).agg(F.min(F.struct("e_row", "e_description", "e_wording")).alias("first"))
-    asked = found.where("ref_row is null and amount_cents is not null and date is not null").select(*key).distinct().withColumn("wording", wording("description"))
-    asked = asked.join(first, ["amount_cents", "date"], "left")
+    said = SAID.get(score, normalize)
+    found = with_reference(records, existing).withColumn("said", said("description"))
+    key = ["amount_cents", "date", "said"]
+    e = wordings(existing, said)
+    asked = found.where("ref_row is null and amount_cents is not null and date is not null").select(*key).distinct().withColumn("wording", wording("said"))
+    asked = asked.join(firsts(e), ["amount_cents", "date"], "left")
     same = asked.where("first is not null").select(*key, "wording", "first.*", F.lit(0).alias("gap"))
-    near = banded(asked.where("first is null").drop("first"), e, days).select(*key, "wording", "e_row", "e_description", "e_wording", F.abs(F.datediff("date", "e_date")).alias("gap"))
-    scored = score(same.unionByName(near), "wording", "e_wording", F.when(F.col("gap") == 0, 0.0).otherwise(WEAK_SIMILARITY))
-    exact = F.max(F.when(F.col("gap") == 0, F.struct("e_row", "score", ((F.col("description") == "") | (F.col("e_description") == "")).alias("empty"))))
+    near = banded(asked.where("first is null").drop("first"), e, days).select(*key, "wording", "e_row", "e_said", "e_empty", F.abs(F.datediff("date", "e_date")).alias("gap"))
+    pairs = same.unionByName(near).withColumn("e_wording", wording("e_said"))
+    scored = score(pairs, "wording", "e_wording", F.when(F.col("gap") == 0, 0.0).otherwise(WEAK_SIMILARITY))
+    exact = F.max(F.when(F.col("gap") == 0, F.struct("e_row", "score", "e_empty")))
     near = F.max(F.when((F.col("gap") > 0) & (F.col("score") >= WEAK_SIMILARITY), F.struct("score", (-F.col("e_row")).alias("minus_row"), "gap")))
     best = scored.groupBy(*key).agg(exact.alias("exact"), near.alias("near"))
-    found = found.join(best, key, "left")
+    found = found.join(best, key, "left").drop("said")
+    empty = (F.col("description") == "") | F.col("exact.e_empty")
+    found = found.withColumn("exact", F.when(F.col("exact").isNotNull(), F.struct("exact.e_row", "exact.score", empty.alias("empty"))))
     settled = F.col("ref_row").isNotNull()
     return found.withColumns({c: F.when(~settled, F.col(c)) for c in ("exact", "near")})
 

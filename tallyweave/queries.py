@@ -94,12 +94,12 @@ def match_reference(spark, d):
 
 @query(f"with {KEYED} select record_id, row, round(score, 4) as score from exact")
 def match_exact(spark, d):
-    return matching.amount_tiers(*keyed(spark, d), score=t.with_token_score).where("exact is not null").select("record_id", F.col("exact.e_row").alias("row"), F.round("exact.score", 4).alias("score"))
+    return matching.exact_tier(*keyed(spark, d), score=t.with_token_score).select("record_id", F.col("e_row").alias("row"), F.round("score", 4).alias("score"))
 
 
 @query(f"with {KEYED} select record_id, row, round(score, 4) as score, abs(date_diff('day', d, ed))::INT as gap from near")
 def match_near(spark, d):
-    return matching.amount_tiers(*keyed(spark, d), score=t.with_token_score).where("near is not null").select("record_id", (-F.col("near.minus_row")).alias("row"), F.round("near.score", 4).alias("score"), "near.gap")
+    return matching.near_tier(*keyed(spark, d), score=t.with_token_score).select("record_id", (-F.col("near.minus_row")).alias("row"), F.round("near.score", 4).alias("score"), "near.gap")
 
 
 @query(f"with {KEYED} select record_id from verdicts where status = 'unmatchable'")
