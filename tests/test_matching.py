@@ -229,3 +229,37 @@ def test_one_amount_over_many_tasks(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert tasks[0] > 1
     assert got == reference_loop(hot + rest)
+
+
+def test_amount_tiers_grow_with_their_input(spark):
+    """One amount and few kinds of wordings: a record meets the first row of its day, and each kind once a day."""
+    def said(k: str):
+        return F.concat(F.element_at(F.array(*map(F.lit, ("VIEW", "CLICK", "CARD REF"))), (F.col(k) % 3 + 1).cast("int")), F.lit(" USER "), F.col(k))
+
+    day = F.date_add(F.lit(DAY), (F.col("id") % 5).cast("int"))
+    book = spark.range(3000).select(F.col("id").alias("row"), day.alias("date"), said("id").alias("description"), F.lit("").alias("reference"), F.lit(100).cast("long").alias("amount_cents"))
+    records = spark.range(3000).select(F.col("id").alias("record_id"), day.alias("date"), said("id").alias("description"), F.lit(100).cast("long").alias("amount_cents"))
+    met = []
+
+    def counting(pairs, x, y, at_least=0.0):
+        met.append(pairs)
+        return t.with_token_score(pairs, x, y, at_least)
+
+    m.SAID[counting] = t.token_key
+    try:
+        exact, near = m.exact_tier(records, book, counting), m.near_tier(records, book, counting)
+    finally:
+        del m.SAID[counting]
+    assert [p.count() for p in met][0] == 3000 and met[1].count() <= 5 * 5 * 3 * 3
+    assert exact.count() == 3000 and {r[0] for r in exact.select("e_row").distinct().collect()} == {0, 1, 2, 3, 4}
+    whole = records.withColumn("w", t.wording("description")).join(book.select("row", F.col("date").alias("e_date"), t.wording("description").alias("v")), F.abs(F.datediff("date", "e_date")) <= 3)
+    scored = t.with_token_score(whole, "w", "v").where("score >= 0.5")
+    best = scored.groupBy("record_id").agg(F.max(F.struct("score", -F.col("row"), F.abs(F.datediff("date", "e_date")))).alias("near"))
+    assert {r[0]: tuple(r[1]) for r in near.collect()} == {r[0]: tuple(r[1]) for r in best.collect()}
+
+
+def test_token_key_stands_for_its_text(spark):
+    said = ["", "-", "12", "POS 12", "AWS CLOUD", "cloud aws", "AWS AWS CLOUD 9", "AWS", "X", "REF X AWS"]
+    df = spark.createDataFrame([(a, b) for a in said for b in said], "a string, b string")
+    whole = t.token_similarity("a", "b")
+    assert df.where(whole != t.token_similarity(t.token_key("a"), t.token_key("b"))).count() == 0
