@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweave.functions.text import blank, header_key, strip, text
 from tallyweave.functions.values import number_text
@@ -50,10 +50,10 @@ def data_spans(cells: DataFrame) -> DataFrame:
     spans = column_spans(cells, header_rows(cells))
     inside = cells.join(F.broadcast(spans), "sheet").where((F.col("row") > F.col("header_row")) & F.col("col").between(F.col("first_col"), F.col("last_col")))
     rows = inside.groupBy("sheet", "header_row", "row").agg(F.bool_or(~is_blank()).alias("filled"), F.bool_or(is_total_cell()).alias("totals")).where("filled")
-    last = F.max(F.when(~F.col("totals"), F.col("row"))).over(W.partitionBy("sheet"))
-    ended = rows.withColumn("last", F.coalesce(last, "header_row"))
-    found = ended.groupBy("sheet").agg(F.first("last").alias("last"), F.sort_array(F.collect_list(F.when(F.col("totals") & (F.col("row") > F.col("last")), F.col("row")))).alias("total_rows"))
-    return spans.join(found, "sheet", "left").withColumn("last_data_row", F.coalesce("last", "header_row")).select(
+    # a sheet's rows never meet in one task: what ends them is known from a maximum first
+    last = rows.groupBy("sheet").agg(F.coalesce(F.max(F.when(~F.col("totals"), F.col("row"))), F.min("header_row")).alias("last"))
+    below = rows.where("totals").join(F.broadcast(last), "sheet").where("row > last").groupBy("sheet").agg(F.sort_array(F.collect_list("row")).alias("total_rows"))
+    return spans.join(last, "sheet", "left").join(below, "sheet", "left").withColumn("last_data_row", F.coalesce("last", "header_row")).select(
         "sheet", "header_row", "first_col", "last_col", (F.col("header_row") + 1).alias("first_data_row"), "last_data_row",
         F.coalesce("total_rows", F.array().cast("array<int>")).alias("total_rows"), (F.col("last_data_row") - F.col("header_row")).alias("row_count"))
 
@@ -67,6 +67,9 @@ def inferred_type(dates: Column, numbers: Column, number_format: Column) -> Colu
 def describe_columns(cells: DataFrame, spans: DataFrame) -> DataFrame:
     """One row for each column of each sheet: header, formula template, number format, samples, inferred type."""
     c = cells.join(F.broadcast(spans), "sheet").where(F.col("col").between(F.col("first_col"), F.col("last_col")))
+    every = c.select("sheet", "col").distinct()
+    # only these rows say something of a column, and texts are aggregated by sorting: so few rows are sorted
+    c = c.where((F.col("row") == F.col("header_row")) | (F.col("row") == F.col("last_data_row")) | F.col("row").between(F.col("first_data_row"), F.col("first_data_row") + SAMPLE_ROWS - 1))
     sample = (F.col("row") >= F.col("first_data_row")) & (F.col("row") <= F.least(F.col("last_data_row"), F.col("first_data_row") + SAMPLE_ROWS - 1)) & ~is_blank()
     shown = F.coalesce(cell_text(), F.col("v_date").cast("string"), number_text("v_num"))
     format_row = F.greatest(F.col("first_data_row"), F.least(F.col("last_data_row"), F.col("first_data_row")))
@@ -76,6 +79,7 @@ def describe_columns(cells: DataFrame, spans: DataFrame) -> DataFrame:
         F.max(F.when(F.col("row") == format_row, F.col("number_format"))).alias("number_format"),
         F.array_sort(F.collect_list(F.when(sample, F.struct("row", shown.alias("value"))))).alias("shown"),
         F.coalesce(F.bool_or(sample & (F.col("vtype") == "d")), F.lit(False)).alias("dates"), F.coalesce(F.bool_or(sample & (F.col("vtype") == "n")), F.lit(False)).alias("numbers"))
+    got = every.join(F.broadcast(got), ["sheet", "col"], "left").withColumns({"dates": F.coalesce("dates", F.lit(False)), "numbers": F.coalesce("numbers", F.lit(False)), "shown": F.coalesce("shown", F.array().cast("array<struct<row:int,value:string>>"))})
     return got.select("sheet", "col", column_letter(F.col("col")).alias("letter"), text("header").alias("header"), "formula_template", F.col("formula_template").isNotNull().alias("is_computed"),
                       F.coalesce("number_format", F.lit("General")).alias("number_format"), F.transform(F.slice("shown", 1, SAMPLES), lambda s: s["value"]).alias("samples"),
                       inferred_type(F.col("dates"), F.col("numbers"), F.col("number_format")).alias("inferred_type"))

@@ -279,3 +279,18 @@ def test_a_failed_write_publishes_nothing(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     assert append.append_records(records, ledger(spark), PROFILE, str(out), 2026, parts=parts).status == "written"
     assert sorted(p.name.split("-")[0] for p in out.iterdir() if not p.name.startswith(".")) == ["manifest.json", "run"]
+
+
+def test_no_sheet_meets_in_one_task(spark):
+    """Spans come from aggregates, not from a window over a sheet's rows; cells below the sample don't get sorted for a column."""
+    from tallyweave.operators import layout
+
+    rows = [("S", 1, 1, "s", "Date", None, None), ("S", 1, 2, "s", "Note", None, None), ("S", 1, 3, "s", "Paid", None, None)]
+    rows += [("S", r, 1, "s", f"day {r}", None, None) for r in range(2, 60)] + [("S", 50, 2, "s", "late", None, None)]
+    rows += [("S", 61, 1, "s", "Total", None, None), ("S", 30, 1, "s", "Total", None, None)]
+    cells = spark.createDataFrame([(*r, None, "General", "") for r in rows], "sheet string, row int, col int, vtype string, v_str string, v_num double, v_date date, formula string, number_format string, style_sig string")
+    spans = layout.data_spans(cells)
+    assert "Window" not in spans._jdf.queryExecution().executedPlan().toString()
+    span = spans.first()
+    assert (span["last_data_row"], span["total_rows"]) == (59, [61])
+    assert {r["col"]: (r["header"], len(r["samples"]), r["inferred_type"]) for r in layout.describe_columns(cells, spans).collect()} == {1: ("Date", 5, "text"), 2: ("Note", 0, "text"), 3: ("Paid", 0, "text")}
