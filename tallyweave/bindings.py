@@ -39,8 +39,9 @@ DATE_TEXT = """select o_orderkey, cast(o_orderdate as date) as day, case o_order
   else cast(o_orderkey % 5000 as string) end as said from orders"""
 
 #: One sheet a supplier-like group of orders: a title, a header in row 3, data from row 4, a blank row, totals. Every fifth reference is a number.
-CELLS = """with o as (select o_orderkey, o_custkey % 7 as s, cast(o_orderdate as date) as day, o_totalprice, o_orderpriority, row_number() over (partition by o_custkey % 7 order by o_orderkey) as n from orders),
-h as (select distinct s from o), m as (select s, max(n) as last from o group by s),
+SHEET_ORDERS = """select o_orderkey, o_custkey % 7 as s, cast(o_orderdate as date) as day, o_totalprice, o_orderpriority from orders"""
+NUMBERED_ORDERS = SHEET_ORDERS.replace(" from orders", ", row_number() over (partition by o_custkey % 7 order by o_orderkey) as n from orders")
+CELLS_OF_ORDERS = """h as (select distinct s from o), m as (select s, max(n) as last from o group by s),
 c as (
   select s, 1 as row, 1 as col, 's' as vtype, 'Ledger ' || cast(s as string) as v_str, cast(null as double) as v_num, cast(null as date) as v_date, cast(null as string) as formula, 'General' as number_format from h
   union all select s, 3, col, 's', header, null, null, null, 'General' from h cross join (values (1, 'Date'), (2, 'Description'), (3, 'Deposit'), (4, 'Withdrawal'), (5, 'Net'), (6, 'Invoice No')) v(col, header)
@@ -51,6 +52,7 @@ c as (
   union all select s, 5 + last, 2, 's', 'TOTAL', null, null, null, 'General' from m
   union all select s, 5 + last, 3, 'f', null, null, null, '=SUM(C4:C' || cast(3 + last as string) || ')', '#,##0.00' from m)
 select 'S' || cast(s as string) as sheet, cast(row as int) as row, cast(col as int) as col, vtype, v_str, v_num, v_date, formula, number_format, number_format || '/' || cast(col as string) as style_sig from c"""
+CELLS = f"with o as ({NUMBERED_ORDERS}),\n{CELLS_OF_ORDERS}"
 
 HEADERS = """select * from (values (1, 'Withdrawal'), (2, 'Money In'), (3, 'Invoice No'), (4, 'VAT'), (5, 'Widget colour'), (6, 'Remaining'), (7, 'Transaction Date'), (8, 'Grand Total'),
   (9, 'Company Name'), (10, 'Running Balance'), (11, 'Sub-total'), (12, ''), (13, 'Memo / Notes'), (14, 'Ref.')) h(id, header)"""
@@ -73,11 +75,11 @@ FORMULAS = """select o_orderkey as id, case o_orderkey % 6 when 0 then 'D4:D' ||
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def relation(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A derived relation; tables are named with ``spark.sql``'s parameters, so no view is left behind."""
+def relation(spark: SparkSession, sf_dir: str, sql: str, **given: DataFrame) -> DataFrame:
+    """A derived relation; tables, and those ``given``, are named with ``spark.sql``'s parameters, so no view is left behind."""
     import re
 
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\bfrom {t}\b", sql)}
+    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\bfrom {t}\b", sql)} | given
     text = sql.replace("//", " div ")
     for t in used:
         text = re.sub(rf"\bfrom {t}\b", f"from {{{t}}}", text)

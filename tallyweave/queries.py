@@ -10,7 +10,7 @@ from tallyweave import bindings as b
 from tallyweave.functions import text as t, values as v
 from tallyweave.operators import aggregates, invoices, layout, mapping, matching, sheet, statements, verify
 from tallyweave.plans import append
-from tallyweave.scratch import written
+from tallyweave.scratch import numbered, written
 from tallyweave.schema import INVOICE_HINTS, NO_AMOUNT, NOISE_TOKENS, STATEMENT_HINTS, SYNONYMS
 from tallyweave.sources import documents
 
@@ -253,8 +253,14 @@ def reference_extract(spark, d):
 
 
 def cells(spark: SparkSession, d: str) -> DataFrame:
-    """Written once, as layout, mapping and insertion pass over it several times."""
-    return written(b.relation(spark, d, b.CELLS), "cells")
+    """Written once, as layout, mapping and insertion pass over it several times.
+
+    A sheet's rows are numbered by a sort by ranges, as a window would hold each of the seven sheets in one task.
+    """
+    o = numbered(b.relation(spark, d, b.SHEET_ORDERS), [F.col("s"), F.col("o_orderkey")])
+    before = o.groupBy(F.col("s").alias("of")).agg(F.min("position").alias("before"))
+    o = o.join(F.broadcast(before), F.col("s").eqNullSafe(F.col("of"))).withColumn("n", (F.col("position") - F.col("before") + 1).cast("int"))
+    return written(b.relation(spark, d, f"with {b.CELLS_OF_ORDERS}", o=o.drop("position", "of", "before")), "cells")
 
 
 # --- layout and mapping -----------------------------------------------------
