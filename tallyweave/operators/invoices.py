@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweave.functions.text import fingerprint, strip
@@ -38,19 +40,27 @@ def is_amount(word: Column) -> Column:
     return is_money_token(word) & parse_money(word).isNotNull()
 
 
-def labelled_amounts(lines: DataFrame) -> DataFrame:
-    """(source, total, tax, subtotal): each label once; a line gives its last amount to the first of its labels that is still open.
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once; as a column of its own, a filter or several uses would compute it again."""
+    return F.get(F.transform(F.array(value), use), 0)
 
-    Which label a line serves depends on the lines before, so a document's lines
-    with amounts are folded in order.
-    """
-    labelled = lines.select("source", "line_no", "words", *[F.col("text").rlike(p).alias(k) for k, p in TOTAL_LABELS]).where("total or tax or subtotal")
-    tokens = labelled.withColumn("tokens", F.filter(F.transform("words", lambda w: w["text"]), is_money_token))
-    # nearly always the last such word is the amount; only else are those before it read
-    before = F.filter(F.transform(F.slice("tokens", F.lit(1), F.greatest(F.size("tokens") - 1, F.lit(0))), lambda w: parse_money(w)), lambda x: x.isNotNull())
-    value = F.coalesce(parse_money(F.try_element_at("tokens", F.lit(-1))), F.try_element_at(before, F.lit(-1)))
-    useful = tokens.select("source", "line_no", value.alias("value"), "total", "tax", "subtotal").where("value is not null")
-    listed = useful.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("line_no", "value", "total", "tax", "subtotal"))).alias("l"))
+
+def labelled_amount(text: str = "text", words: str = "words") -> Column:
+    """(line_no, value, total, tax, subtotal) of a line with a totals label and an amount, else null."""
+    def last(tokens: Column) -> Column:
+        # nearly always the last such word is the amount; only else are those before it read
+        before = F.filter(F.transform(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda w: parse_money(w)), lambda x: x.isNotNull())
+        return F.coalesce(parse_money(F.try_element_at(tokens, F.lit(-1))), F.try_element_at(before, F.lit(-1)))
+
+    def amount(k: Column) -> Column:
+        value = bound(F.filter(F.transform(words, lambda w: w["text"]), is_money_token), last)
+        return F.when(k["total"] | k["tax"] | k["subtotal"], bound(value, lambda v: F.when(v.isNotNull(), F.struct(F.col("line_no"), v.alias("value"), *(k[n].alias(n) for n, _ in TOTAL_LABELS)))))
+
+    return bound(F.struct(*[F.col(text).rlike(p).alias(n) for n, p in TOTAL_LABELS]), amount)
+
+
+def dealt(listed: Column | str) -> Column:
+    """(total, tax, subtotal) of a document's labelled amounts in order."""
     none = F.lit(None).cast("decimal(38,6)")
     start = F.struct(none.alias("total"), none.alias("tax"), none.alias("subtotal"))
 
@@ -60,7 +70,18 @@ def labelled_amounts(lines: DataFrame) -> DataFrame:
         sub = line["subtotal"] & acc["subtotal"].isNull() & ~total & ~tax
         return F.struct(F.when(total, line["value"]).otherwise(acc["total"]).alias("total"), F.when(tax, line["value"]).otherwise(acc["tax"]).alias("tax"), F.when(sub, line["value"]).otherwise(acc["subtotal"]).alias("subtotal"))
 
-    return listed.select("source", F.aggregate("l", start, step).alias("found")).select("source", "found.*")
+    return F.aggregate(listed, start, step)
+
+
+def labelled_amounts(lines: DataFrame) -> DataFrame:
+    """(source, total, tax, subtotal): each label once; a line gives its last amount to the first of its labels that is still open.
+
+    Which label a line serves depends on the lines before, so a document's lines
+    with amounts are folded in order.
+    """
+    # dealt by document first: a list is then made once, of what one pass over the lines found
+    found = lines.select("source", labelled_amount().alias("amount")).repartition("source").groupBy("source").agg(F.array_sort(F.collect_list("amount")).alias("l"))
+    return found.where(F.size("l") > 0).select("source", F.inline(F.array(dealt("l"))))  # a field of a struct each would fold anew
 
 
 def without_trailing_amounts(words: Column) -> Column:

@@ -40,3 +40,13 @@ def agrees(spark, name: str, folder: str) -> int:
 def test_amounts_of_zero_are_records(spark, tmp_path):
     events = "select * replace (case when event_id % 10 = 3 then 0 else value end as value) from 'events'"
     assert agrees(spark, "statement_records", tables(tmp_path, events=events)) == 1000
+
+
+def test_labels_of_a_line_are_looked_for_once(spark):
+    from tallyweave.operators import invoices
+
+    lines = spark.createDataFrame([("a", 1, "Subtotal 1.00", [("Subtotal",), ("1.00",)]), ("a", 2, "Total x 2.50 5", [("Total",), ("x",), ("2.50",), ("5",)]), ("b", 1, "Total", [("Total",)])],
+                                  "source string, line_no int, text string, words array<struct<text: string>>")
+    got = invoices.labelled_amounts(lines)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("grand") == 1
+    assert [(r["source"], r["total"], r["tax"], r["subtotal"]) for r in got.collect()] == [("a", 5, None, 1)]
