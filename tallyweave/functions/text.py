@@ -20,7 +20,9 @@ def text(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space of any kind at both ends (trim takes off spaces only)."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    first, last = F.ascii(col(c)), F.ascii(F.substring(col(c), -1, 1))
+    # most texts have nothing to take off: both ends are printable ASCII
+    return F.when(first.between(33, 126) & last.between(33, 126), col(c)).otherwise(F.regexp_replace(col(c), r"(?U)^\s+|\s+$", ""))
 
 
 def blank(c: Column | str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from tallyweave.functions.text import col, strip
-from tallyweave.schema import MONEY_PATTERN, MONEY_TOKEN
+from tallyweave.schema import MONEY_PATTERN, MONEY_TOKEN, PLAIN_MONEY
 
 
 def parse_money(c: Column | str, eu_format: bool = False) -> Column:
@@ -36,7 +36,14 @@ def parse_money(c: Column | str, eu_format: bool = False) -> Column:
 
     # bound by a lambda, so that the match is made once even inside other lambdas
     matched = F.filter(F.array(F.when(~raw.contains("\u0001"), parts)), lambda g: F.size(g) == 5)
-    return F.get(F.transform(matched, value), 0)
+    read = F.get(F.transform(matched, value), 0)
+    if eu_format:
+        return read
+    return F.when(col(c).rlike(PLAIN_MONEY), _plain(col(c))).otherwise(read)
+
+
+def _plain(c: Column) -> Column:
+    return F.replace(c, F.lit(","), F.lit("")).try_cast("decimal(38,6)")
 
 
 def is_money_token(c: Column | str) -> Column:
@@ -44,6 +51,11 @@ def is_money_token(c: Column | str) -> Column:
     return col(c).rlike(MONEY_TOKEN)
 
 
+def money_word(w: Column) -> Column:
+    """``parse_money`` of a word that has the looser shape, else null. No such word begins with a letter, and nearly all others are plain."""
+    return F.when(F.shiftright(F.ascii(w), 6) != 1, F.when(w.rlike(PLAIN_MONEY), _plain(w)).when(is_money_token(w), parse_money(w)))
+
+
 def looks_like_money(c: Column | str) -> Column:
     return parse_money(c).isNotNull()
 
@@ -79,33 +91,60 @@ def parse_date_listed(c: Column | str, dayfirst: bool = False) -> Column:
     return F.when(raw.rlike(r"^\d{1,4}$"), None).otherwise(F.coalesce(*tries))
 
 
+def read_date(s: str | None, d: bool, y: int) -> dt.date | None:
+    """Any date that dateutil reads (not fuzzily); missing parts come from 1 January of ``y``."""
+    from dateutil import parser
+
+    s = " ".join(s.split()) if s else ""
+    if not s or s.isdigit() and len(s) <= 4:
+        return None
+    try:
+        return parser.parse(s, dayfirst=bool(d), fuzzy=False, default=dt.datetime(int(y), 1, 1)).date()
+    except (ValueError, OverflowError, TypeError):
+        return None
+
+
 @F.pandas_udf(T.DateType())
 def parse_date(raw: pd.Series, dayfirst: pd.Series, year: pd.Series) -> pd.Series:
-    """Any date that dateutil reads (not fuzzily); missing parts come from 1 January of ``year``, which is always given."""
-    from dateutil import parser
+    """``read_date``; ``year`` is always given."""
+    asked = list(zip(raw, dayfirst, year))
+    known = {x: read_date(*x) for x in set(asked) if x[0]}
+    return pd.Series([known.get(x) for x in asked], dtype="object")
 
-    def one(s, d, y):
-        s = " ".join(s.split()) if s else ""
-        if not s or s.isdigit() and len(s) <= 4:
-            return None
-        try:
-            return parser.parse(s, dayfirst=bool(d), fuzzy=False, default=dt.datetime(int(y), 1, 1)).date()
-        except (ValueError, OverflowError, TypeError):
-            return None
 
-    return pd.Series([one(*x) for x in zip(raw, dayfirst, year)], dtype="object")
+@F.pandas_udf(T.ArrayType(T.DateType()))
+def parse_dates(raws: pd.Series, dayfirst: pd.Series, year: pd.Series) -> pd.Series:
+    """``read_date`` of each text of a list, or null for no list."""
+    asked = [None if r is None else [(s, d, y) for s in r] for r, d, y in zip(raws, dayfirst, year)]
+    known = {x: read_date(*x) for x in {x for r in asked if r for x in r}}
+    return pd.Series([None if r is None else [known[x] for x in r] for r in asked], dtype="object")
 
 
-def parse_any_date(raw: Column, dayfirst: Column, year: Column) -> Column:
-    """``parse_date``, with dates of two numbers and a year of four digits read without Python."""
+def plain_date(raw: Column, dayfirst: Column) -> tuple[Column, Column]:
+    """(whether, date): a date of two numbers and a year of four digits, read without Python."""
     said = F.trim(F.regexp_replace(raw, r"(?U)\s+", " "))
     plain = said.rlike(r"^[0-9]{1,2}([/-])[0-9]{1,2}\1[0-9]{4}$")
     slashed = F.translate(said, "-", "/")
     month_first, day_first = (F.try_to_timestamp(slashed, F.lit(f)).cast("date") for f in ("M/d/yyyy", "d/M/yyyy"))
-    read = F.when(plain, F.when(dayfirst, F.coalesce(day_first, month_first)).otherwise(F.coalesce(month_first, day_first)))
+    return plain, F.when(plain, F.when(dayfirst, F.coalesce(day_first, month_first)).otherwise(F.coalesce(month_first, day_first)))
+
+
+def parse_any_date(raw: Column, dayfirst: Column, year: Column) -> Column:
+    """``parse_date``, with plain dates read without Python."""
+    plain, read = plain_date(raw, dayfirst)
     return F.coalesce(read, parse_date(F.when(~plain, raw), dayfirst, year))
 
 
+def parse_any_dates(raws: Column, dayfirst: Column, year: Column) -> Column:
+    """``parse_any_date`` of each text of a list. Lists of plain dates alone don't reach Python."""
+    def other(raw: Column) -> Column:
+        return ~F.coalesce(plain_date(raw, dayfirst)[0], F.lit(True))
+
+    read = F.transform(raws, lambda r: plain_date(r, dayfirst)[1])
+    others = parse_dates(F.when(F.exists(raws, other), F.transform(raws, lambda r: F.when(other(r), r))), dayfirst, year)
+    return F.coalesce(F.zip_with(read, others, lambda a, b: F.coalesce(a, b)), read)
+
+
 def dayfirst_of(sample: Column | str) -> Column:
     """What one sample says: true, false, or null if it is not decisive."""
     a = F.nullif(F.regexp_extract(col(sample), r"^\s*(\d{1,2})[/-](\d{1,2})[/-]", 1), F.lit("")).cast("int")

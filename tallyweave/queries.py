@@ -569,9 +569,9 @@ def whole_invoices(spark: SparkSession, d: str) -> DataFrame:
     said = [(F.lit("INVOICE"), 10.0), (F.replace(F.col("vendor"), F.lit(" "), F.lit(" No")), 16.0), (F.when(k % 11 != 0, F.concat(F.lit("Invoice No: "), "reference")), 10.0), (F.lit("Due date: 01/31/2031"), 10.0),
             (F.concat(F.lit("Invoice date: "), F.when(k % 5 == 0, "soon enough").otherwise(F.date_format("date", "MM/dd/yyyy"))), 10.0), (F.lit("Description Qty Amount"), 10.0), (F.concat(F.lit("Goods K"), k, F.lit(" 3 "), F.lit("0.01")), 10.0), (F.lit("Carriage 0.02"), 10.0),
             (F.concat(F.lit("Subtotal "), F.format_number("subtotal", 2)), 10.0), (F.concat(F.lit("VAT 20% "), F.format_number("tax", 2)), 10.0), (F.when(k % 7 != 0, F.concat(F.lit("Total due "), F.format_number("total", 2))), 10.0)]
-    lines = F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(F.lit(i).alias("line_no"), c.alias("text"), F.lit(size).alias("size"))) for i, (c, size) in enumerate(said, 1)]))
-    one = o.select(k.cast("string").alias("source"), F.explode(lines).alias("l")).select("source", "l.*")
-    return one.withColumn("words", F.transform(F.split("text", " "), lambda w: F.struct(w.alias("text"))))
+    lines = F.array(*[F.struct(F.lit(i).alias("line_no"), c.alias("text"), F.lit(size).alias("size")) for i, (c, size) in enumerate(said, 1)])
+    one = o.select(k.cast("string").alias("source"), F.explode(lines).alias("l")).select("source", "l.*").where("text is not null")
+    return one.withColumn("words", F.arrays_zip(F.split("text", " ").alias("text")))
 
 
 @query(INVOICE_SQL, money=("total", "tax", "subtotal"))

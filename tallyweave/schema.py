@@ -55,6 +55,8 @@ FOLDER_SUFFIXES = (".pdf", ".json", ".png", ".jpg", ".jpeg", ".webp", ".tif", ".
 CURRENCY = "$£€₹¥"
 MONEY_PATTERN = (r"^(\()?\s*[$£€₹¥]?\s*([-+])?\s*(\d{1,3}(?:[,\s.]\d{3})*(?:[.,]\d{1,2})?|\d+(?:[.,]\d{1,2})?)"
                  r"\s*(\))?\s*([Cc][Rr]|[Dd][Rr]|-)?$")
+#: Grouped by commas or not, with a point: what MONEY_PATTERN would read of it is the text without commas.
+PLAIN_MONEY = r"^(?:[0-9]{1,3}(?:,[0-9]{3})*|[0-9]+)(?:\.[0-9]{1,2})?\z"
 MONEY_TOKEN = r"^\(?[$£€₹¥]?-?\d[\d,\s.]*\d?(?:[.,]\d{2})?\)?(?:\s?(?:[Cc][Rr]|[Dd][Rr]))?$"
 CURRENCY_SHAPED = r"[$£€₹¥]|\d[.,]\d{2}\b|\(|\)|(?:[Cc][Rr]|[Dd][Rr])$"
 REFERENCE_PATTERN = r"(?i)\b(?:REF|REFERENCE|CHQ|CHEQUE|CHECK|TXN|TRN)\b[:#\s]*([A-Z0-9-]{3,})\b"
@@ -71,8 +73,8 @@ STATEMENT_HINTS = (r"(?i)\b(statement|account\s*(?:number|no|summary)|sort\s*cod
 INVOICE_HINTS = (r"(?i)\b(invoice|bill\s*to|remit\s*to|due\s*date|purchase\s*order|subtotal|vat|gst|tax\s*invoice"
                  r"|payment\s*terms|amount\s*due)\b")
 DATED_ROW = r"(?m)^\s*\d{1,4}[/-]\d{1,2}[/-]\d{1,4}"
-INVOICE_NUMBER = (r"(?i)\b(?:invoice|inv|bill|document)\s*(?:number|no\.?|num|#)?\s*[:#]\s*([A-Za-z0-9][A-Za-z0-9/_-]{2,})"
-                  r"|\b(?:invoice|inv)\s*(?:number|no\.?|#)\s+([A-Za-z0-9][A-Za-z0-9/_-]{2,})")
+INVOICE_NUMBER = (r"(?i)\b(?:(?:invoice|inv|bill|document)\s*(?:number|no\.?|num|#)?\s*[:#]\s*"
+                  r"|(?:invoice|inv)\s*(?:number|no\.?|#)\s+)([A-Za-z0-9][A-Za-z0-9/_-]{2,})")
 DATE_LABEL = r"(?i)\b(invoice\s*date|date\s*of\s*issue|issue\s*date|bill\s*date|dated|date)\b\s*[:#]?\s*(.{4,30})"
 OTHER_DATE = r"(?i)\b(due|payment|period|delivery|service)\s*date\b|\bdue\b"
 TOTAL_LABELS = (
@@ -81,6 +83,9 @@ TOTAL_LABELS = (
     ("subtotal", r"(?i)\b(?:sub[\s-]*total|net\s*(?:amount|total)?|amount\s*before\s*tax)\b"),
 )
 ITEM_HEADER = r"(?i)\b(description|item|details|service|product|qty|quantity)\b"
+#: Words in lower case of which a text has one if the pattern is found in it: looking for these is much cheaper.
+NEEDED = {DATE_LABEL: ("date",), ITEM_HEADER: ("description", "item", "details", "service", "product", "qty", "quantity"),
+          **dict(zip((p for _, p in TOTAL_LABELS), (("total", "due"), ("vat", "gst", "hst", "tax"), ("total", "net", "tax"))))}
 VENDOR_NOISE = r"(?i)^\s*(invoice|tax invoice|bill|statement|receipt|proforma)\s*$"
 MONEY_ROLES = ("withdrawal", "deposit", "amount", "balance")
 INVOICE_ONLY, BANK_ONLY = ("vendor", "tax", "subtotal", "total"), ("deposit", "withdrawal", "balance")

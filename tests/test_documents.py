@@ -156,3 +156,24 @@ def test_stream_of_repeats(spark, tmp_path):
 def test_roles(spark):
     rows = spark.createDataFrame([("Withdrawals:",), ("Paid",), ("BALANCE",)], "w string")
     assert [r[0] for r in rows.select(statements.role_of("w")).collect()] == ["withdrawal", None, "balance"]
+
+
+def test_invoices_meet_once(spark, monkeypatch):
+    """One grouping of a document's lines gives what the steps give one by one; nothing is joined or grouped again."""
+    said = {"a": ["INVOICE", "Kiln Ltd", "Invoice No: A-17", "Due date: 01/02/2025", "Date: soon enough", "Invoice date: 2 Sep 2025", "Invoice date: 13/09/2025", "Item Qty", "", "Bowls (3) 12.00 -", "42", "Glaze \u2013 3 1,060.00", "Net 9.00 x", "VAT (2.00)", "Total $11.00"],
+            "b": ["  ", " Acme ", "13/01/2025 Item", "Due 5 CR", "Grand total", "Total due 1,234,567.8"], "c": ["Date: 03/04/2025", "25/12/2024 seen", "Date: never", "Description " * 9], "d": [""], "e": ["dated: 99/99/2025", "Service", "- 5 tax", "sub-total .5 total"]}
+    rows = [(k, i, t, float(len(t) % 7), [(w,) for w in t.split(" ")]) for k, ls in said.items() for i, t in enumerate(ls, 1)]
+    lines = spark.createDataFrame(rows, "source string, line_no int, text string, size double, words array<struct<text:string>>").cache()
+    kept = []
+    monkeypatch.setattr(invoices, "written", lambda df, name: kept.append(df) or df.sparkSession.createDataFrame(df.collect(), df.schema))
+    records, flags = invoices.parse_invoices(lines, 2026)
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (*kept, records, flags)]
+    assert sum(p.count("Aggregate [") for p in plans) == 1 and not any("Join" in p for p in plans)
+    got = {r["source"]: r for r in kept[0].collect()}
+    assert set(got) == set(said)
+    for part, names in ((invoices.vendors(lines), ["vendor"]), (invoices.invoice_dates(lines, 2026), ["date", "unread"]), (invoices.labelled_amounts(lines), ["total", "tax", "subtotal"]), (invoices.line_items(lines), ["line_items"])):
+        alone = {r["source"]: r for r in part.collect()}
+        for k in said:
+            assert [got[k][n] or None for n in names] == [alone[k][n] or None if k in alone else None for n in names], (k, names)
+    assert (got["a"]["date"], got["a"]["reference"], got["a"]["line_items"]) == (dt.date(2025, 9, 2), "A-17", ["Bowls (3) 12.00", "Glaze"])
+    assert (got["a"]["total"], got["a"]["tax"], got["a"]["subtotal"]) == (Decimal("11.00"), Decimal("-2.00"), Decimal("9.00")) and got["b"]["largest"] == Decimal("1234567.8")
